@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from folioscan.llm import media, sharding, warc
+from folioscan.llm import fuzzy, language, media, mixing, packing, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
+        "op3_fingerprints": fuzzy.op3_fingerprints,
+        "op4_language": language.op4_language,
         "op5_sharding": sharding.op5_sharding,
+        "op6_mixing": mixing.op6_mixing,
+        "op7_quality": quality.op7_quality,
         "op8_media": media.op8_media,
         "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": warc.SQL}
+    return {"op6_mixing": mixing.SQL, "op10_warc": warc.SQL}
