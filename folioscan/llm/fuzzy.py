@@ -2,7 +2,7 @@
 
 A rolling hash of the last WINDOW bytes ends a chunk wherever it is -1 modulo the block size, so chunks depend on their
 context alone and an edit changes only the chunks it touches. Each chunk gives one of 64 signs. A fingerprint is
-`block size:signs at it:signs at its double`. Two fingerprints are compared where they share a block size, by the edit
+`block size:signs at it:signs at its double:signs at its fourfold`. Two fingerprints are compared where they share a block size, by the edit
 distance of their signs. All bytes of a text are hashed at once with numpy: the rolling hash as a sum of shifted
 arrays, the chunks' hashes as differences of one polynomial prefix sum.
 """
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import materialize, only, range_bounds, range_of, read_table, schema
 
 WINDOW, LEAST_BLOCK, SIGNS = 7, 3, 64
+#: Block sizes of a fingerprint, each the double of the one before.
+LEVELS = 3
+#: Boundaries below which the block size is halved; signs at most; equal signs in a row at most.
+FEW_SIGNS, MOST_SIGNS, RUN = 24, 256, 3
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Signs that two signatures must share in a row, else they are unlike; fewer for short signatures.
 COMMON = 7
@@ -58,7 +62,9 @@ def rolling(data: np.ndarray) -> np.ndarray:
 
 
 def _signs(sums: np.ndarray, inverse: np.ndarray, ends: np.ndarray, n: int) -> str:
-    """A sign for each chunk, the last of which is what follows the last boundary, if anything does."""
+    """A sign for each chunk, the last of which is what follows the last boundary, if anything does; at most
+    MOST_SIGNS, of which the last is then of all the rest. Of a run of equal signs RUN stay."""
+    ends = ends[: MOST_SIGNS - 1]
     if not len(ends) or ends[-1] != n - 1:
         ends = np.append(ends, n - 1)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -66,15 +72,21 @@ def _signs(sums: np.ndarray, inverse: np.ndarray, ends: np.ndarray, n: int) -> s
     h = (sums[ends] - before) * inverse[starts]  # of the chunk's bytes alone, wherever it stands
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return _SIGN_CODES[(h >> np.uint64(58)).astype(np.int64)].tobytes().decode()
+    signs = _SIGN_CODES[(h >> np.uint64(58)).astype(np.int64)]
+    if len(signs) > RUN:
+        same = signs[1:] == signs[:-1]
+        kept = np.ones(len(signs), bool)
+        kept[RUN:] = ~np.logical_and.reduce([same[k : len(same) - RUN + 1 + k] for k in range(RUN)])
+        signs = signs[kept]
+    return signs.tobytes().decode()
 
 
 def fuzzy_hash(raw: bytes) -> str:
-    """The fingerprint of some bytes; that of none is `3::`. The block size is the largest of 3, 6, 12, ... at which
-    there are SIGNS / 2 signs or more, and LEAST_BLOCK if none is."""
+    """The fingerprint of some bytes; that of none is `3:::`. The block size is the least of 3, 6, 12, ... at which
+    SIGNS of them would cover the text, or the next smaller one at which there are FEW_SIGNS boundaries."""
     n = len(raw)
     if not n:
-        return f"{LEAST_BLOCK}::"
+        return f"{LEAST_BLOCK}" + ":" * LEVELS
     data = np.frombuffer(raw, np.uint8)
     # powers in steps, so that few arrays are ever made
     size = 1 << max(12, (n - 1).bit_length())
@@ -82,16 +94,18 @@ def fuzzy_hash(raw: bytes) -> str:
     sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)
     r = rolling(data)
     block = LEAST_BLOCK
-    at = np.flatnonzero(r % np.uint32(block) == block - 1)
-    levels = [at]
-    while len(at) >= SIGNS // 2:  # boundaries of the double are among those of the single
+    while block * SIGNS < n:
         block *= 2
-        at = at[r[at] % np.uint32(block) == block - 1]
-        levels.append(at)
-    k = max(0, len(levels) - 2)
-    block = LEAST_BLOCK << k
-    double = levels[k + 1] if k + 1 < len(levels) else levels[k][r[levels[k]] % np.uint32(2 * block) == 2 * block - 1]
-    return f"{block}:{_signs(sums, inverse, levels[k], n)}:{_signs(sums, inverse, double, n)}"
+    at = np.flatnonzero(r % np.uint32(block) == block - 1)
+    while len(at) < FEW_SIGNS and block > LEAST_BLOCK:
+        block //= 2
+        at = np.flatnonzero(r % np.uint32(block) == block - 1)
+    parts, size = [f"{block}"], block
+    for _ in range(LEVELS):  # boundaries of the double are among those of the single
+        at = at[r[at] % np.uint32(size) == size - 1]
+        parts.append(_signs(sums, inverse, at, n))
+        size *= 2
+    return ":".join(parts)
 
 
 def common_length(a: str, b: str) -> int:
@@ -125,15 +139,9 @@ def likeness(a: str | None, b: str | None) -> float | None:
         return None
     if a == b:
         return 1.0
-    (na, a1, a2), (nb, b1, b2) = a.split(":"), b.split(":")
-    na, nb = int(na), int(nb)
-    found = 0.0
-    if na == nb:
-        found = max(_alike(a1, b1), _alike(a2, b2))
-    elif na == 2 * nb:
-        found = _alike(a1, b2)
-    elif nb == 2 * na:
-        found = _alike(a2, b1)
+    (na, *sa), (nb, *sb) = a.split(":"), b.split(":")
+    at = {int(na) << k: x for k, x in enumerate(sa)}
+    found = max([0.0, *(_alike(x, y) for k, x in enumerate(sb) if (y := at.get(int(nb) << k)) is not None and (x or y))])
     return found if found < 1 else 0.999999  # equal at one block size, but not the same
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscan.llm import fuzzy, language, media, mixing, packing, quality, sharding, warc
+from folioscan.llm import fuzzy, language, media, mixing, packing, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_mixing": mixing.op6_mixing,
         "op7_quality": quality.op7_quality,
         "op8_media": media.op8_media,
+        "op9_simhash": simhash.op9_simhash,
         "op10_warc": warc.op10_warc,
     }
 
