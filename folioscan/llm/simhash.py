@@ -1,11 +1,12 @@
 """Near duplicates by SimHash and random bit sampling.
 
-A document's fingerprint has BITS signs of weighted sums over its words. Fingerprints that are equal are one row from
-then on. Each of several tables groups the rows by a random sample of coordinates. All rows of a bucket are compared;
-a bucket of more than BUCKET_ROWS rows is cut by additional coordinates, and every pair of its parts is compared as a
-bucket of its own, so none of its pairs is left out. A pair counts in the first table alone in which it meets. A bucket
-gives each row its number of links and one link to its connected part of the bucket, so what leaves a bucket grows with
-its rows and not with their pairs. Classes are the connected components of these links.
+A document's fingerprint has BITS signs of weighted sums over its words and its pairs of following words. Fingerprints
+that are equal are one row from then on. Each of several tables groups the rows by a random sample of coordinates. All
+rows of a bucket are compared; a bucket of more than about BUCKET_ROWS rows is cut by additional coordinates, and every
+pair of its parts is compared as a bucket of its own, so none of its pairs is left out. A pair counts in the first table
+alone in which it meets. A bucket gives each row its number of links and one link to its connected part of the bucket,
+so what leaves a bucket grows with its rows and not with their pairs. Classes are the connected components of these
+links.
 """
 
 from __future__ import annotations
@@ -19,77 +20,72 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from folioscan.llm.common import materialize, read_table, schema
 
-BITS, WORDS = 128, 2
-#: Tables, least sampled coordinates, and coordinates beyond the logarithm of the rows.
-TABLES, LEAST_SAMPLE, BEYOND = 48, 12, 1
+BITS, WORDS = 256, 4
+#: Tables, the least sampled coordinates, and how many fewer than the logarithm of the rows.
+TABLES, LEAST_SAMPLE, FEWER = 48, 10, 4
 #: Greatest Hamming distance of near duplicates.
-DISTANCE = 30
-#: Rows of a bucket that are compared at once; additional coordinates that cut a larger one.
-BUCKET_ROWS, EXTRA = 4096, 6
+DISTANCE = 64
+#: Rows of a bucket beyond which it is cut, about; additional coordinates that cut it; one row in so many is counted
+#: to find such buckets.
+BUCKET_ROWS, EXTRA, COUNTED = 4096, 4, 64
 SEED = 20240501
 WORD = re.compile(r"\w+")
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: By the length of a word: long words tell documents apart, of the short ones all texts of a language are full.
+_WEIGHTS = np.array([1, 1, 1, 1, *[(n - 2) ** 2 for n in range(4, 13)]], np.float32)
+
+
+def _sum(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weighted sum of the features' signs, over its length if they were independent."""
+    total = np.zeros(BITS, np.float32)
+    for s in range(0, len(features), 8192):
+        x = features[s : s + 8192, None] * _MIX
+        x ^= x >> np.uint64(32)
+        x *= _MIX[::-1]
+        x ^= x >> np.uint64(29)
+        w = weights[s : s + 8192]
+        total += 2 * np.einsum("i,ij->j", w, np.unpackbits(x.view(np.uint8), axis=1)) - w.sum()
+    return total / np.sqrt((weights * weights).sum())
+
+
+def simhash(text: str) -> bytes | None:
+    """BITS bits of a text; None of one without words. The distinct words weigh by their length, the pairs by the root
+    of their number, and both halves alike."""
+    found = WORD.findall(text.lower())
+    if not found:
+        return None
+    h = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
+    words, first = np.unique(h, return_index=True)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))[first]
+    v = _sum(words, _WEIGHTS[np.minimum(lengths, 12)])
+    if len(h) > 1:
+        pairs, n = np.unique(h[:-1] * _MIX[0] + (h[1:] ^ h[1:] >> np.uint64(31)) * _MIX[1], return_counts=True)
+        v += _sum(pairs, np.sqrt(n).astype(np.float32))
+    return np.packbits(v > 0).tobytes()
 
 
-def weight(word: str) -> int:
-    """Long words tell documents apart; of the short ones all texts of a language are full."""
-    n = min(len(word), 12)
-    return 1 if n <= 3 else (n - 2) ** 2
-
-
-class Hasher:
-    """Fingerprints of texts; remembers the signs of up to `held` words."""
-
-    def __init__(self, held: int = 150_000):
-        self.held, self.index = held, {}
-        self.signs = np.empty((1024, BITS), np.int16)
-
-    def _add(self, word: str) -> int:
-        k = len(self.index)
-        if k == len(self.signs):
-            self.signs = np.vstack([self.signs, np.empty_like(self.signs)])
-        bits = np.unpackbits(np.frombuffer(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=BITS // 8).digest(), np.uint8))
-        self.signs[k] = (bits.astype(np.int16) * 2 - 1) * weight(word)
-        self.index[word] = k
-        return k
-
-    def __call__(self, text: str) -> bytes | None:
-        """BITS bits: whether the sum over the distinct words is positive. None for a text without words."""
-        found = set(WORD.findall(text.lower()))
-        if not found:
-            return None
-        if len(self.index) > self.held:
-            self.index = {}
-            self.signs = np.empty((1024, BITS), np.int16)
-        at = [k if (k := self.index.get(w)) is not None else self._add(w) for w in found]
-        return np.packbits(self.signs[at].sum(axis=0, dtype=np.int32) > 0).tobytes()
-
-
-FINGERPRINTS = "doc_id bigint, text_hash binary, fingerprint binary"
+FINGERPRINTS = "doc_id bigint, fingerprint binary"
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, and its fingerprint. A text without words (null too) has its hash, or that of the
-    empty text, as fingerprint, so it is like its exact copies alone."""
+    """doc_id and the fingerprint of its text. A text without words (null: empty) has a hash of itself, so it is like
+    its exact copies alone."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for b in batches:
-            hashes, prints = [], []
-            for t in b.column(1):
-                t = t.as_py() or ""
-                hashes.append(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                prints.append(hasher(t) or hashes[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary()), pa.array(prints, pa.binary())], ["doc_id", "text_hash", "fingerprint"])
+            prints = [simhash(t) or blake2b(t.encode(), digest_size=BITS // 8).digest() for x in b.column(1) for t in (x.as_py() or "",)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary())], ["doc_id", "fingerprint"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(compute, FINGERPRINTS)
 
 
 def sample_size(rows: int) -> int:
-    """So many coordinates that unlike rows meet about once a table or less, at any number of rows."""
-    return max(LEAST_SAMPLE, min(56, int(np.ceil(np.log2(max(rows, 2)))) + BEYOND))
+    """So many coordinates that a row meets about as many unlike ones in a table at any number of rows."""
+    return max(LEAST_SAMPLE, min(48, int(np.ceil(np.log2(max(rows, 2)))) - FEWER))
 
 
 def coordinates(tables: int, size: int) -> np.ndarray:
@@ -105,12 +101,6 @@ def masks(chosen: np.ndarray) -> np.ndarray:
     return np.packbits(m, axis=1).view(np.uint64)
 
 
-def _pack(fp: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Those bits of each fingerprint as a number."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1)[:, chosen].astype(np.int64)
-    return bits @ (1 << np.arange(len(chosen), dtype=np.int64))
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     """Fingerprints as rows of WORDS unsigned numbers."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
@@ -179,16 +169,18 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 LINKS = "id bigint, other bigint, links bigint"
 
 
-def compare(rows: DataFrame, before: list, column: str = "t") -> DataFrame:
-    """id, other, links of sorted rows (t, key, side, id, fp): a row for each place with a near one in its bucket, with
-    the number of its links that this table is the first to find, and one link towards the least place it reaches."""
+def compare(rows: DataFrame, before: list) -> DataFrame:
+    """id, other, links of rows (bucket, side, id, fp) in the order of bucket: a row for each place with a near one in
+    its bucket, with the number of its links that its table is the first to find, and one link towards the least place
+    that it reaches. The upper bits of bucket are the table's number."""
     before = np.array(before, np.uint64).reshape(-1, WORDS)
 
-    def run(t: np.ndarray, key: np.ndarray, side: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def run(bucket: np.ndarray, side: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         a, b, n = [], [], np.zeros(len(ids), np.int64)
-        for k in np.unique(t):
-            at = np.flatnonzero(t == k)
-            for i, j, x in _pairs(key[at], side[at], fp[at]):
+        table = bucket >> 56
+        for k in np.unique(table):
+            at = np.flatnonzero(table == k)
+            for i, j, x in _pairs(bucket[at], side[at], fp[at]):
                 i, j = at[i], at[j]
                 a.append(i)
                 b.append(j)
@@ -206,61 +198,73 @@ def compare(rows: DataFrame, before: list, column: str = "t") -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)] + [_matrix(batch.column(4))]
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [_matrix(batch.column(3))]
             held = new if held is None else [np.concatenate([h, x]) for h, x in zip(held, new)]
-            t, key = held[0], held[1]
-            # the last bucket may go on
-            cut = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1 if ((t != t[-1]) | (key != key[-1])).any() else 0
-            if cut:
-                yield run(*[h[:cut] for h in held])
-                held = [h[cut:] for h in held]
+            done = np.flatnonzero(held[0] != held[0][-1])  # the last bucket may go on
+            if len(done):
+                yield run(*[h[: done[-1] + 1] for h in held])
+                held = [h[done[-1] + 1 :] for h in held]
         if held is not None:
             yield run(*held)
 
-    return rows.select("t", "key", "side", "id", "fp").mapInArrow(all_buckets, LINKS)
+    return rows.select("bucket", "side", "id", "fp").mapInArrow(all_buckets, LINKS)
 
 
-def bucketed(rows: DataFrame, tables: int, size: int) -> DataFrame:
-    """t, key, extra, id, fp: each row (id, fp) in each table."""
-    chosen = coordinates(tables, size)
+def bucketed(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """bucket, id, fp: each row (id, fp) in each table, which has a row of coordinates."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 20_000):
                 part = b.slice(s, 20_000)
-                fp = _matrix(part.column(1))
-                for t in range(tables):
-                    n = len(fp)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(_pack(fp, chosen[t, :size])), pa.array(_pack(fp, chosen[t, size:]).astype(np.int32)), part.column(0), part.column(1)], ["t", "key", "extra", "id", "fp"])
+                bits = np.unpackbits(_matrix(part.column(1)).view(np.uint8), axis=1)
+                for t, own in enumerate(chosen):
+                    key = bits[:, own].astype(np.int64) @ (1 << np.arange(len(own), dtype=np.int64)) | t << 56
+                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), part.column(1)], ["bucket", "id", "fp"])
+
+    return rows.select("id", "fp").mapInArrow(sample, "bucket bigint, id bigint, fp binary")
 
-    return rows.select("id", "fp").mapInArrow(sample, "t int, key bigint, extra int, id bigint, fp binary")
+
+def _part(chosen: np.ndarray):
+    """A column function: the part of a large bucket that a row is in, by the additional coordinates of its table."""
+
+    @F.pandas_udf("int")
+    def part(bucket: pd.Series, fp: pd.Series) -> pd.Series:
+        bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1)
+        at = chosen[(bucket.to_numpy(np.int64) >> 56)]
+        return pd.Series(np.take_along_axis(bits, at, 1).astype(np.int32) @ (1 << np.arange(EXTRA, dtype=np.int32)), dtype="int32")
+
+    return part
 
 
 def near_links(rows: DataFrame, tables: int = TABLES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """id, other, links over rows with distinct fingerprints (id, fp), as compare() gives them."""
-    n = rows.count()
-    size = sample_size(n)
-    before = masks(coordinates(tables, size)[:, :size]).tolist()
-    b = bucketed(rows, tables, size)
-    large = materialize(b.groupBy("t", "key").count().where(F.col("count") > bucket_rows).select(F.col("t").alias("lt"), F.col("key").alias("lkey")), "large")
-    found = large.count()  # at most tables * n / bucket_rows
+    size = sample_size(rows.count())
+    chosen = coordinates(tables, size)
+    before = masks(chosen[:, :size]).tolist()
+    b = bucketed(rows, chosen[:, :size])
+    # which buckets are cut changes no result, so they are found from a part of the rows
+    counted = COUNTED if bucket_rows >= COUNTED else 1
+    some = bucketed(rows.where(F.pmod("id", F.lit(counted)) == 0), chosen[:, :size])
+    large = materialize(some.groupBy("bucket").count().where(F.col("count") > bucket_rows // counted).select(F.col("bucket").alias("large")), "large")
+    found = large.count()
     if not found:
         parts = b.withColumn("side", F.lit(0))
     else:
         large = F.broadcast(large) if found <= 100_000 else large
-        j = b.join(large, (b.t == F.col("lt")) & (b.key == F.col("lkey")), "left")
-        ordinary = j.where(F.col("lt").isNull()).select("t", "key", F.lit(0).alias("side"), "id", "fp")
-        # a row of part e goes to the pairs {e, f} of parts; that of {e, e} has side 0, in which all are paired
-        cut = j.where(F.col("lt").isNotNull()).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit((1 << EXTRA) - 1))))
-        low, high = F.least("extra", "f"), F.greatest("extra", "f")
-        sub = F.xxhash64("key", low, high)
-        cut = cut.select("t", sub.alias("key"), F.when(F.col("extra") == F.col("f"), 0).otherwise(F.when(F.col("extra") < F.col("f"), 1).otherwise(2)).alias("side"), "id", "fp")
+        j = b.join(large, b.bucket == F.col("large"), "left")
+        ordinary = j.where(F.col("large").isNull()).select("bucket", F.lit(0).alias("side"), "id", "fp")
+        # a row of part e goes to the pairs {e, f} of parts; in that of {e, e} all rows are paired, else those of e with those of f
+        cut = j.where(F.col("large").isNotNull()).withColumn("e", _part(chosen[:, size:])("bucket", "fp"))
+        cut = cut.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit((1 << EXTRA) - 1))))
+        own = F.shiftrightunsigned(F.xxhash64("bucket", F.least("e", "f"), F.greatest("e", "f")), 8).bitwiseOR(F.shiftleft(F.shiftright("bucket", 56), 56))
+        cut = cut.select(own.alias("bucket"), F.when(F.col("e") == F.col("f"), 0).when(F.col("e") < F.col("f"), 1).otherwise(2).alias("side"), "id", "fp")
         parts = ordinary.unionByName(cut)
-    parts = parts.repartition("t", "key").sortWithinPartitions("t", "key", "id")
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket")
     return compare(parts, before).groupBy("id", "other").agg(F.sum("links").alias("links"))
 
 
-def components(links: DataFrame, checkpoint_each: int = 1) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """id, root: for each id of the links (id, other) the least id it is connected with. Each round every id takes the
     least root among its neighbours and its root's, so long chains halve."""
     edges = links.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"))
