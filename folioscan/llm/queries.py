@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioscan.llm import fuzzy, language, media, mixing, packing, quality, sharding, simhash, warc
+from folioscan.llm import extract, fuzzy, language, media, mixing, packing, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_extract": extract.op1_extract,
         "op2_packing": packing.op2_packing,
         "op3_fingerprints": fuzzy.op3_fingerprints,
         "op4_language": language.op4_language,
