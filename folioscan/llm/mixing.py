@@ -41,8 +41,9 @@ def rates(documents: DataFrame, weights: dict[str, float] | None = None, epochs:
         for k, v in weights.items():
             stated = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(stated)
         s = s.withColumn("weight", stated)
-    total = s.agg(F.sum("size").alias("_total"), F.sum("weight").alias("_weights"))
-    return s.crossJoin(F.broadcast(total)).select("source", "size", (F.col("_total") * epochs * F.col("weight") / F.col("_weights") / F.col("size")).alias("rate"))  # one row of totals
+    s = materialize(s, "sources")
+    total, all_weights = s.agg(F.sum("size"), F.sum("weight")).first()
+    return s.select("source", "size", (F.lit(total or 0) * epochs * F.col("weight") / F.lit(all_weights or 1.0) / F.col("size")).alias("rate"))
 
 
 def with_distribution(r: DataFrame) -> DataFrame:
@@ -60,8 +61,7 @@ def with_distribution(r: DataFrame) -> DataFrame:
 
 def repetitions(documents: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
     """Adds rate and copies, the number of repetitions of each row, to a table with doc_id, text and source."""
-    spark = documents.sparkSession
-    r = with_distribution(materialize(rates(documents, weights, epochs), "rates"))
+    r = with_distribution(rates(documents, weights, epochs))
     names = {c: f"_mix_{c}" for c in r.columns}
     r = r.select(*[F.col(c).alias(n) for c, n in names.items()])
     # the table of sources is broadcast only if it is small; else joined by shuffle

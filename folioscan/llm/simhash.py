@@ -68,19 +68,20 @@ def simhash(text: str) -> bytes | None:
     return np.packbits(v > 0).tobytes()
 
 
-FINGERPRINTS = "doc_id bigint, fingerprint binary"
+FINGERPRINTS = "doc_id bigint, text_hash bigint, fingerprint binary"
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint of its text. A text without words (null: empty) has a hash of itself, so it is like
-    its exact copies alone."""
+    """doc_id, a hash of the text (null: empty) and its fingerprint. A text without words has a hash of itself, so it
+    is like its exact copies alone."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [simhash(t) or blake2b(t.encode(), digest_size=BITS // 8).digest() for x in b.column(1) for t in (x.as_py() or "",)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary())], ["doc_id", "fingerprint"])
+            prints = [simhash(t) or blake2b(t.encode(), digest_size=BITS // 8).digest() for x in b.column(2) for t in (x.as_py(),)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.binary())], ["doc_id", "text_hash", "fingerprint"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(compute, FINGERPRINTS)
+    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return d.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(compute, FINGERPRINTS)
 
 
 def sample_size(rows: int) -> int:
@@ -286,35 +287,38 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, tables: int = TABLES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, class_id, links and copies of each document (doc_id, text).
+    """doc_id, class_id, links, copies, text_hash and first of each document (doc_id, text).
 
     class_id is the least doc_id of the document's class: documents are in one class if a chain of links connects them.
     links is the number of other distinct fingerprints within DISTANCE that share a bucket with the document's in any
     table, and copies the number of documents with the document's own fingerprint, itself among them; equal texts have
-    equal fingerprints. A text without words (null: empty) is like its exact copies alone. A null doc_id counts as
-    the least. Repeated rows give repeated rows, no documents none; other columns are ignored.
+    equal fingerprints. first marks the document of the class with the least doc_id and, of those, the least text_hash;
+    all of equal rows are marked. A text without words (null: empty) is like its exact copies alone. A null doc_id
+    counts as the least. Repeated rows give repeated rows, no documents none; other columns are ignored.
     """
-    f = materialize(fingerprints(documents).select("doc_id", "fingerprint"), "fingerprints")
-    rows = f.groupBy("fingerprint").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("least"), F.count(F.lit(1)).alias("copies"))
+    lowest = -(1 << 63)
+    f = materialize(fingerprints(documents).withColumn("number", F.coalesce("doc_id", F.lit(lowest))), "fingerprints")
+    rows = f.groupBy("fingerprint").agg(F.min(F.struct("number", "text_hash")).alias("least"), F.count(F.lit(1)).alias("copies"))
     # a number for each fingerprint, from the fingerprint itself; two with one number are unlikely even among 10^9, and caught
     rows = materialize(rows.select(F.xxhash64("fingerprint").alias("id"), F.col("fingerprint").alias("fp"), "least", "copies"), "rows")
-    if rows.agg(F.count(F.lit(1)) - F.count_distinct("id")).first()[0]:
+    if rows.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("two fingerprints with one number")
     links = materialize(near_links(rows, tables, bucket_rows), "links")
     roots = components(links)
     by = links.groupBy("id").agg(F.sum("links").alias("links"))
     r = rows.join(roots, "id", "left").join(by, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = r.groupBy("root").agg(F.min("least").alias("class_id"))
-    r = materialize(r.join(least, "root").select("fp", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    least = r.groupBy("root").agg(F.min("least").alias("class"))
+    r = materialize(r.join(least, "root").select("fp", "copies", "class", F.coalesce("links", F.lit(0)).alias("links")), "classes")
     # only fingerprints of several rows can be hot; fewer than 1000 have more than a thousandth of the rows each
     total = f.count()
-    hot = F.broadcast(r.where(F.col("copies") > total / 1000).withColumnsRenamed({"fp": "hfp", "copies": "hcopies", "class_id": "hclass", "links": "hlinks"}))
+    hot = F.broadcast(r.where(F.col("copies") > total / 1000).select(*[F.col(c).alias(f"h{c}") for c in r.columns]))
     j = f.join(hot, F.col("fingerprint") == F.col("hfp"), "left")
     key = F.when(F.col("hfp").isNull(), F.col("fingerprint")).otherwise(F.xxhash64("doc_id").cast("string").cast("binary"))
     cold = r.where(F.col("copies") <= total / 1000)
-    j = j.withColumn("key", key).join(cold, F.col("key") == F.col("fp"), "left")
-    class_id = F.coalesce("hclass", "class_id")
-    return j.select("doc_id", F.when(class_id != -(1 << 63), class_id).alias("class_id"), F.coalesce("hlinks", "links").alias("links"), F.coalesce("hcopies", "copies").alias("copies"))
+    j = j.withColumn("key", key).join(cold, F.col("key") == F.col("fp"), "left").withColumn("class", F.coalesce("hclass", "class"))
+    first = (F.col("class.number") == F.col("number")) & (F.col("class.text_hash") == F.col("text_hash"))
+    class_id = F.when(F.col("class.number") != lowest, F.col("class.number"))
+    return j.select("doc_id", class_id.alias("class_id"), F.coalesce("hlinks", "links").alias("links"), F.coalesce("hcopies", "copies").alias("copies"), "text_hash", first.alias("first"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
