@@ -7,11 +7,13 @@ Runs in the tasks, a file at a time; what it finds becomes rows in folioscan.sou
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 
 from folioscan.functions.decoders import decode_chain
 
 MAX_DEPTH = 1000
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))  # two frames a level
 SPACE = b" \t\r\n\f\0"
 DELIMITERS = b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^ \t\r\n\f\0()<>\[\]{}/%]+")
