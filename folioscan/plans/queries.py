@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from folioscan.functions import pdf_fixture, scalars
 from folioscan.operators import graph, results, schema
+from folioscan.operators.convert import convert, text_of
 from folioscan.operators.fixpoint import repair
 from folioscan.operators.rules import OPERATORS, verify
 from folioscan.plans import conditions as c
@@ -609,3 +610,19 @@ CASE doc_id % {_N} WHEN {_D['xmp_missing']} THEN NULL WHEN {_D['xmp_part']} THEN
 CASE WHEN doc_id % {_N} = {_D['info_array']} THEN NULL WHEN doc_id % {_N} = {_D['info_differs']} THEN 'another' ELSE trim(substr(text, 1, 40), ' ' || chr(10)) END AS title FROM documents""")
 def pdf_metadata(spark, sf_dir):
     return files_meta(_files(spark, sf_dir)).select("file_id", "version", "pages", "declared_pages", "part", "conformance", F.col("info")["Title"].alias("title"))
+
+
+#: Defects that no fixer mends.
+_LEFT = ("cmyk", "image_bits", "image_mask", "image_cmyk", "soft_mask", "font_subtype", "font_base", "font_program", "font_missing")
+
+
+@query(f"SELECT doc_id AS file_id, check_id, n::BIGINT AS n FROM documents JOIN {_WANTED} ON doc_id % {_N} = defect WHERE defect IN ({', '.join(str(_D[k]) for k in _LEFT)})")
+def pdf_convert_residual(spark, sf_dir):
+    return results.issues_by_check(convert(_files(spark, sf_dir), "strict_1b")[2])
+
+
+@query(f"""SELECT doc_id AS file_id, CASE doc_id % {_N} WHEN {_D['info_array']} THEN NULL WHEN {_D['info_differs']} THEN 'another' ELSE regexp_replace(trim(substr(text, 1, 40), ' ' || chr(10)), '\\s+', ' ', 'g') END AS title,
+CASE WHEN doc_id % {_N} = 0 THEN 0 ELSE 1 END AS rounds FROM documents""")
+def pdf_convert_roundtrip(spark, sf_dir):
+    title = F.udf(text_of, "string")
+    return convert(_files(spark, sf_dir), "strict_1b")[0].select("file_id", title("content").alias("title"), "rounds")
