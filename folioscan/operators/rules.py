@@ -6,12 +6,15 @@ the operators of a stream use a window by stream. Only enabled rules become part
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.operators.graph import written
-from folioscan.operators.results import results, to_issues
+from folioscan.operators.results import results
 from folioscan.plans.catalog import Profile, check_by_name, profiles
 from folioscan.sources.pdf import nodes
 
@@ -46,10 +49,6 @@ def truth(key: str) -> Column:
     return (e(key).k == "bool") & (e(key).s == "true")
 
 
-def any_value(test) -> Column:
-    return F.exists(F.map_values("entries"), test)
-
-
 def own_keys() -> Column:
     return F.filter(F.map_keys("entries"), lambda k: ~k.startswith("~"))
 
@@ -62,18 +61,29 @@ def uncovered(key: str) -> Column:
     return ~F.array_contains("coverage", e(key).s)
 
 
-def value_rules() -> dict[str, Column]:
-    """Of the values of containers and of operands."""
+def value_tests(v: Column) -> dict[str, Column]:
+    """Of one value of a container or one operand."""
     return {
-        "HexStringInvalidChar": any_value(lambda v: (v.k == "hex") & v.s.rlike("[^0-9A-Fa-f \\t\\r\\n\\f\\x00]")),
-        "HexStringOddLength": any_value(lambda v: (v.k == "hex") & (F.length(F.regexp_replace(v.s, "[ \\t\\r\\n\\f\\x00]", "")) % 2 == 1)),
-        "IntegerOutOfRange": any_value(lambda v: (v.k == "int") & ((v.n > 2147483647) | (v.n < -2147483648))),
-        "RealOutOfRange": any_value(lambda v: (v.k == "real") & (F.abs(v.n.cast("float")) > 32767)),
-        "StringTooLong": any_value(lambda v: (v.k == "str") & (v.len > 65535)),
-        "NameTooLong": any_value(lambda v: (v.k == "name") & (v.len > 127)) | F.exists(own_keys(), lambda k: F.length(k) > 127),
+        "HexStringInvalidChar": (v.k == "hex") & v.s.rlike("[^0-9A-Fa-f \\t\\r\\n\\f\\x00]"),
+        "HexStringOddLength": (v.k == "hex") & (F.length(F.regexp_replace(v.s, "[ \\t\\r\\n\\f\\x00]", "")) % 2 == 1),
+        "IntegerOutOfRange": (v.k == "int") & ((v.n > 2147483647) | (v.n < -2147483648)),
+        "RealOutOfRange": (v.k == "real") & (F.abs(v.n.cast("float")) > 32767),
+        "StringTooLong": (v.k == "str") & (v.len > 65535),
+        "NameTooLong": (v.k == "name") & (v.len > 127),
     }
 
 
+def value_findings(enabled: dict[str, int]) -> Column:
+    """The rules that any value breaks, once each: one pass over the values that can break one."""
+    risky = lambda v: v.k.isin("hex", "real") | (v.k.isin("int") & (F.abs(v.n) > 2147483647)) | (v.len > 127)
+    one = lambda v: F.array_compact(F.array(*[F.when(t, F.lit(enabled[k])) for k, t in value_tests(v).items() if k in enabled]))
+    found = F.flatten(F.transform(F.filter(F.map_values("entries"), risky), one))
+    if "NameTooLong" in enabled:
+        keys = F.exists(own_keys(), lambda k: F.length(k) > 127)
+        found = F.concat(found, F.when(keys, F.array(F.lit(enabled["NameTooLong"]))).otherwise(F.array().cast("array<int>")))
+    return F.array_distinct(found)
+
+
 def container_rules() -> dict[str, Column]:
     """Of dictionaries, streams and arrays."""
     d, stream = F.col("kind").isin("dict", "stream"), F.col("kind") == "stream"
@@ -167,7 +177,7 @@ def container_rules() -> dict[str, Column]:
         "XFA": role("acroform") & has("XFA"),
         "ObjectXMPNoXPacket": stream & role("metadata") & (e("~Catalog").s == "false") & (e("~XPacket").s == "false"),
     }
-    return r | {k: (F.col("kind") != "op") & (F.col("kind") != "file") & v for k, v in value_rules().items()}
+    return r
 
 
 def mask_or_false(mask: Column) -> Column:
@@ -185,7 +195,7 @@ def operator_rules() -> dict[str, Column]:
         "InlineImageLZWFilter": op & (o == "BI") & F.coalesce(name("F"), name("Filter")).isin("LZW", "LZWDecode"),
         "ImageInterpolate": op & (o == "BI") & (truth("I") | truth("Interpolate")),
         "DeviceColourContentStream": op & ~F.array_contains("coverage", model),
-    } | {k: op & v for k, v in value_rules().items()}
+    }
 
 
 def file_rules() -> dict[str, Column]:
@@ -203,17 +213,52 @@ def file_rules() -> dict[str, Column]:
     }
 
 
+#: Rules of containers by the gate that their rows must pass: role names, or = and a Subtype. The rest are for all.
+GATES = {
+    "gs": "TransferFunction DefaultTransferFunction ExtGStateRenderingIntent SoftMaskExtGState BlendMode StrokingAlpha NonStrokingAlpha",
+    "annot": "DisallowedSubtype PrintFlagNotSet HiddenFlagSet InvisibleFlagSet NoViewFlagSet OpacityNotOne MissingAppearance AppearanceMissingN AppearanceExtraEntries AppearanceNNotStream ColourWithoutIntent",
+    "font cidfont": "InvalidSubtype FontBaseFont InvalidProgram CIDSystemInfoMismatch CIDToGIDMapMissing CMapNotEmbedded SimpleNotEmbedded CIDNotEmbedded TrueTypeEncoding SymbolicTrueTypeEncoding",
+    "intent": "OutputIntentInvalidS OutputIntentWrongS OutputIntentMissingIdentifier OutputIntentUnresolvedProfile OutputIntentInvalidProfile OutputIntentMissingN OutputIntentInvalidN OutputIntentICCVersion",
+    "trailer catalog viewer acroform": "TrailerID TrailerEncrypt OptionalContent PostPDF14ViewerPref OutputIntentNotArray NeedAppearances XFA",
+    "annot field": "WidgetMissingAppearance FieldAdditionalActions FieldAction",
+    "=Image": "ImageInterpolate ImageAlternates ImageOPI ImageRenderingIntent ImageBitsPerComponent ImageMaskBitsPerComponent ImageWithSoftMask",
+    "=Form": "FormOPI FormSubtype2PS FormPSEntry FormPostScript ReferenceXObject",
+}
+
+
+def found(profile: Profile) -> Column:
+    """The rules that a row breaks. A row is held against the rules of its kind and roles alone."""
+    return _found(SparkContext.getOrCreate().applicationId, profile)
+
+
+@lru_cache(32)
+def _found(application: str, profile: Profile) -> Column:
+    """Building some thousand nodes of an expression from Python takes seconds, so it is done once a context."""
+    enabled = {c.name: c.check_id for c in profile.checks()}
+    empty = F.array().cast("array<int>")
+
+    def of(gate: Column, rules: dict[str, Column]) -> list[Column]:
+        own = [F.when(v, F.lit(enabled[k])) for k, v in rules.items() if k in enabled]
+        return [F.when(gate, F.array_compact(F.array(*own))).otherwise(empty)] if own else []
+
+    kind, rules = F.col("kind"), container_rules()
+    container = ~kind.isin("op", "file")
+    parts = of(kind == "op", operator_rules()) + of(kind == "file", file_rules())
+    for gate, names in GATES.items():
+        if gate[0] == "=":
+            test = (kind == "stream") & (name("Subtype") == gate[1:])
+        else:
+            test = container & F.arrays_overlap("roles", F.array(*map(F.lit, gate.split())))
+        parts += of(test, {k: rules.pop(k) for k in names.split()})
+    parts += of(container, rules)
+    if set(enabled) & set(value_tests(F.lit(None).cast("struct<k:string,s:string,n:double,len:int>"))):
+        parts.append(F.when(kind != "file", value_findings(enabled)).otherwise(empty))
+    return F.concat(*parts) if parts else empty
+
+
 def evaluate(rows: DataFrame, profile: Profile) -> DataFrame:
     """file_id, check_id, page of the issues that a profile's rules find in rows of nodes()."""
-    on = lambda rules: {k: v for k, v in rules.items() if profile.has(k)}
-    parts = []
-    # rules of one name over containers and operators are one predicate
-    merged: dict[str, Column] = {}
-    for rules in (container_rules(), operator_rules(), file_rules()):
-        for k, v in on(rules).items():
-            merged[k] = F.coalesce(merged[k], F.lit(False)) | F.coalesce(v, F.lit(False)) if k in merged else v
-    if merged:
-        parts.append(to_issues(rows, F.col("file_id"), merged, F.col("page")))
+    parts = [rows.select("file_id", F.explode(found(profile)).alias("check_id"), "page")]
     enabled = {c.name: c.check_id for c in profile.checks()}
     if enabled:
         ids = F.create_map(*[x for k, v in enabled.items() for x in (F.lit(k), F.lit(v))])
@@ -224,7 +269,7 @@ def evaluate(rows: DataFrame, profile: Profile) -> DataFrame:
         q = rows.where("kind = 'op' and op in ('q', 'Q')").select("file_id", "obj_num", "seq", "page", "op", F.when(F.col("op") == "q", 1).otherwise(-1).alias("step"))
         q = q.withColumn("sum", F.sum("step").over(w)).withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(w)))
         parts.append(q.where("op = 'q' and depth > 28").select("file_id", F.lit(check_by_name("GraphicsStateNesting").check_id).alias("check_id"), "page"))
-    out = parts[0] if parts else rows.limit(0).select("file_id", F.lit(0).alias("check_id"), "page")
+    out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("file_id", F.col("check_id").cast("int").alias("check_id"), F.col("page").cast("int").alias("page"))

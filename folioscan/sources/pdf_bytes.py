@@ -18,7 +18,11 @@ SPACE = b" \t\r\n\f\0"
 DELIMITERS = b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^ \t\r\n\f\0()<>\[\]{}/%]+")
 _GAP = re.compile(rb"(?:[ \t\r\n\f\0]+|%[^\r\n]*)+")
-_NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)\Z")
+#: White space and comments, then a name, a number, another word, or a delimiter.
+_TOKEN = re.compile(
+    rb"(?:[ \t\r\n\f\0]+|%[^\r\n]*)*(?:/(?P<name>[^ \t\r\n\f\0()<>\[\]{}/%]*)|(?P<int>[+-]?\d+)(?=[ \t\r\n\f\0()<>\[\]{}/%]|\Z)|(?P<real>[+-]?(?:\d+\.\d*|\.\d+))(?=[ \t\r\n\f\0()<>\[\]{}/%]|\Z)"
+    rb"|(?P<word>[^ \t\r\n\f\0()<>\[\]{}/%]+)|(?P<mark><<|>>|[()<>\[\]{}]))"
+)
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[ \t\r\n\f\0]+(\d{1,5})[ \t\r\n\f\0]+obj(?![a-z])")
 
 
@@ -65,6 +69,8 @@ class ParseError(ValueError):
 
 
 def unescape_name(raw: bytes) -> Name:
+    if b"#" not in raw:
+        return Name(raw.decode("latin-1"))
     return Name(re.sub(rb"#([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]), raw).decode("latin-1"))
 
 
@@ -118,55 +124,54 @@ class Lexer:
         """The next value; a Keyword for a bare word, None for null. At the end of the data, ParseError."""
         if depth > MAX_DEPTH:
             raise ParseError("too deep")
-        self.gap()
-        d, k = self.data, self.at
-        if k >= len(d):
+        d = self.data
+        m = _TOKEN.match(d, self.at)
+        if m is None:
+            self.at = len(d)
             raise ParseError("end of data")
-        c = d[k]
-        if c == 0x2F:
-            m = _REGULAR.match(d, k + 1)
-            self.at = m.end() if m else k + 1
-            return unescape_name(m[0] if m else b"")
-        if c == 0x28:
+        kind = m.lastgroup
+        self.at = m.end()
+        if kind == "name":
+            return unescape_name(m["name"])
+        if kind == "int":
+            return int(m["int"])
+        if kind == "real":
+            return float(m["real"])
+        if kind == "word":
+            word = m["word"]
+            if word in (b"true", b"false"):
+                return word == b"true"
+            return None if word == b"null" else Keyword(word.decode("latin-1"))
+        mark = m["mark"]
+        if mark == b"<<":
+            self.at -= 2
+            return self.dictionary(depth, content)
+        if mark == b"(":
+            self.at -= 1
             return self.literal()
-        if c == 0x3C:
-            if d[k + 1 : k + 2] == b"<":
-                return self.dictionary(depth, content)
-            end = d.find(b">", k)
+        if mark == b"<":
+            end = d.find(b">", self.at)
             if end < 0:
                 raise ParseError("a hexadecimal string without its end")
+            v = Hex(d[self.at : end])
             self.at = end + 1
-            return Hex(d[k + 1 : end])
-        if c == 0x5B:
-            self.at, out = k + 1, []
-            while True:
-                self.gap()
-                if d[self.at : self.at + 1] == b"]":
-                    self.at += 1
+            return v
+        if mark != b"[":
+            return Keyword(mark.decode())
+        out: list = []
+        while True:
+            v = self.value(depth + 1, content)
+            if type(v) is Keyword:
+                if v == "]":
                     return out
-                v = self.value(depth + 1, content)
-                if type(v) is Keyword:
-                    if v == "R" and len(out) >= 2 and type(out[-1]) is type(out[-2]) is int:
-                        gen, num = out.pop(), out.pop()
-                        out.append(Ref(num, gen))
-                        continue
-                    if v in ("endobj", "stream", ">>"):
-                        raise ParseError("an array without its end")
+                if v == "R" and len(out) >= 2 and type(out[-1]) is type(out[-2]) is int:
+                    gen, num = out.pop(), out.pop()
+                    v = Ref(num, gen)
+                elif v in ("endobj", "stream", ">>"):
+                    raise ParseError("an array without its end")
+                else:
                     v = Name(v)
-                out.append(v)
-        if c == 0x3E and d[k + 1 : k + 2] == b">":
-            self.at = k + 2
-            return Keyword(">>")
-        m = _REGULAR.match(d, k)
-        if not m:
-            self.at = k + 1
-            return Keyword(chr(c))
-        self.at, word = m.end(), m[0]
-        if _NUMBER.match(word):
-            return float(word) if b"." in word else int(word)
-        if word in (b"true", b"false"):
-            return word == b"true"
-        return None if word == b"null" else Keyword(word.decode("latin-1"))
+            out.append(v)
 
     def dictionary(self, depth: int, content: bool) -> Dict:
         self.at += 2

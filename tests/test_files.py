@@ -70,7 +70,7 @@ def test_incremental_update_and_recovery():
 
 
 def test_object_streams():
-    body = b"2 0 3 27 <</Type /Pages /Kids [3 0 R]>> <</Type /Page>>"
+    body = b"2 0 3 31 <</Type /Pages /Kids [3 0 R]>> <</Type /Page>>"
     first = 9
     objects = {1: Dict(Type=Name("Catalog"), Pages=Ref(2, 0)), 4: fx.stream(zlib.compress(body), Type=Name("ObjStm"), N=2, First=first, Filter=Name("FlateDecode"))}
     plain = write_document(objects, {"Root": Ref(1, 0)})
