@@ -101,6 +101,29 @@ def _image(data: bytes, **x: object):
     return change
 
 
+def _type0(encoding: object = None, system: bytes = b"Adobe", cmap: bytes = b"", **x: object):
+    """The font as a composite one."""
+
+    def change(o: dict[int, object], t: dict, text: str) -> None:
+        info = lambda r: Dict(Registry=Lit(r), Ordering=Lit(b"Identity"), Supplement=0)
+        o[17] = stream(b"begincmap " + cmap + b" endcmap", Type=Name("CMap"), CIDSystemInfo=info(b"Adobe"), **{k: v for k, v in x.items() if k == "WMode"})
+        o[18] = Dict({k: v for k, v in dict(Type=Name("Font"), Subtype=Name("CIDFontType2"), BaseFont=Name("ABCDEF+Own"), CIDSystemInfo=info(system), FontDescriptor=Ref(9, 0), CIDToGIDMap=x.get("gids", Name("Identity"))).items() if v is not None})
+        o[8] = Dict(Type=Name("Font"), Subtype=Name("Type0"), BaseFont=Name("ABCDEF+Own"), Encoding=encoding or Ref(17, 0), DescendantFonts=[Ref(18, 0)])
+
+    return change
+
+
+def _second_intent(o: dict[int, object], t: dict, text: str) -> None:
+    o[17] = stream(icc() + b"more", N=3)
+    o[1]["OutputIntents"] = [Ref(5, 0), Dict(Type=Name("OutputIntent"), S=Name("GTS_PDFA1"), OutputConditionIdentifier=Lit(b"x"), DestOutputProfile=Ref(17, 0))]
+
+
+def _symbolic_cmap(o: dict[int, object], t: dict, text: str) -> None:
+    o[9]["Flags"] = 4
+    o[8].pop("Encoding")
+    o[15] = stream(b"\0\1\0\0\0\1" + b"\0" * 6 + b"cmap" + b"\0" * 4 + (28).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"\0\0\0\2")
+
+
 #: Defects by name: a change of the objects, or of the bytes, and the rules that must be found, with their counts.
 DEFECTS: list[tuple[str, object, list[str]]] = [
     ("none", lambda o, t, x: None, []),
@@ -163,6 +186,17 @@ DEFECTS: list[tuple[str, object, list[str]]] = [
     ("xmp_level", _xmp(level="U"), ["PDFAConformanceLevel"]),
     ("xmp_broken", _xmp(extra="<a><b></a>"), ["XMPNotWellFormed"]),
     ("xmp_bytes", _xmp(head=' bytes="10"'), ["XPacketBytesAttribute"]),
+    ("intent_not_dict", _set(1, OutputIntents=[Ref(5, 0), 7]), ["OutputIntentNotDict"]),
+    ("intent_two", _second_intent, ["OutputIntentMultipleProfiles"]),
+    ("icc_components", lambda o, t, x: o.__setitem__(6, stream(icc(b"GRAY"), N=3)), ["ICCBasedComponentsMismatch"]),
+    ("separation", _image(b"\0", ColorSpace=[Name("Separation"), Name("Spot"), Name("DeviceCMYK"), Ref(14, 0)]), ["SeparationAlternateColour"]),
+    ("composite", _type0(), []),
+    ("cmap_cid", _type0(cmap=b"1 begincidrange <0000> <ffff> 70000 endcidrange"), ["CMapCIDOutOfRange"]),
+    ("cmap_wmode", _type0(cmap=b"/WMode 0 def", WMode=1), ["CMapWModeInconsistent"]),
+    ("cmap_name", _type0(encoding=Name("Own-H")), ["CMapNotEmbedded"]),
+    ("cid_system", _type0(system=b"Other"), ["CIDSystemInfoMismatch"]),
+    ("cid_map", _type0(gids=None), ["CIDToGIDMapMissing"]),
+    ("symbolic_cmap", _symbolic_cmap, ["SymbolicTrueTypeCmap"]),
     ("eof", lambda b: b + b"trailing bytes after the end", ["TrailerEOF"]),
     ("header", lambda b: b.replace(b"%PDF-1.4\n", b"%PDF-1x4\n", 1), ["FileHeaderSignature"]),
     ("comment_bytes", lambda b: b.replace(b"%\xe2\xe3\xcf\xd3", b"%abcd", 1), ["FileHeaderCommentBytes"]),

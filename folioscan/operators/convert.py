@@ -237,6 +237,31 @@ def font_dicts(e: Editor) -> None:
             d.setdefault("CIDToGIDMap", Name("Identity"))
 
 
+def composite_fonts(e: Editor) -> None:
+    """The writing mode of a character map's text, and its character collection in the descendant."""
+    for d in list(e.dicts()):
+        m = e.get(d.get("Encoding"))
+        if d.get("Subtype") != "Type0" or not isinstance(m, Dict) or not m.is_stream:
+            continue
+        if (w := re.search(rb"/WMode\s+(\d+)", e.body(m))) and isinstance(m.get("WMode"), int):
+            m["WMode"] = int(w[1])
+        kids = e.get(d.get("DescendantFonts"))
+        c = e.get(kids[0]) if isinstance(kids, list) and kids else None
+        if isinstance(c, Dict) and isinstance(i := e.get(m.get("CIDSystemInfo")), Dict):
+            c["CIDSystemInfo"] = Dict(i)
+
+
+def cmap_cids(e: Editor) -> None:
+    """Numbers beyond the limit in the blocks of character maps become the limit."""
+    for d in list(e.dicts()):
+        m = e.get(d.get("Encoding"))
+        if isinstance(m, Dict) and m.is_stream:
+            body = e.body(m)
+            new = re.sub(rb"(begincid(?:range|char))(.*?)(endcid)", lambda b: b[1] + re.sub(rb"(?<![<\w])\d+(?![\w>])", lambda x: b"65535" if int(x[0]) > 65535 else x[0], b[2]) + b[3], body, flags=re.S)
+            if new != body:
+                e.set_body(m, new)
+
+
 def true_type_encodings(e: Editor) -> None:
     for d in e.dicts():
         if d.get("Type") == "Font" and d.get("Subtype") == "TrueType":
@@ -361,7 +386,7 @@ def plain_groups(e: Editor) -> None:
 FIXERS: dict[str, Callable[[Editor], None]] = {
     "disallowedAnnotFixer": disallowed_annotations, "annotColourFixer": annotation_colours, "appearanceFixer": appearances, "contentLimitsFixer": content_limits, "actionFixer": actions,
     "extGStateFixer": graphics_states, "annotationFlagsFixer": annotation_flags, "formFixer": fields, "imageMetadataFixer": image_metadata, "postScriptXObjectFixer": postscript,
-    "optionalContentFixer": drop("OCProperties"), "viewerPrefFixer": viewer, "fileSpecFixer": file_specs, "fontDictFixer": font_dicts, "trueTypeEncodingFixer": true_type_encodings,
+    "optionalContentFixer": drop("OCProperties"), "viewerPrefFixer": viewer, "fileSpecFixer": file_specs, "fontDictFixer": font_dicts, "type0FontFixer": composite_fonts, "cmapCIDClampFixer": cmap_cids, "trueTypeEncodingFixer": true_type_encodings,
     "pagesTreeArrayFixer": big_arrays, "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "transparencyFlattener": plain_groups,
 }
 

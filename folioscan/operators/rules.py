@@ -99,6 +99,7 @@ def container_rules() -> dict[str, Column]:
     embedded = e("~Embedded").s
     symbolic = e("~Flags").n.cast("bigint").bitwiseAND(F.lit(4)) != 0
     trailer = role("trailer")
+    device = F.create_map(*[F.lit(x) for x in ("DeviceRGB", "rgb", "DeviceCMYK", "cmyk", "DeviceGray", "gray")])
     action = d & (role("action") | (has("S") & name("S").isin(FORBIDDEN_ACTIONS + ["Named"]) & ~has("Type") | (name("Type") == "Action")))
     field = d & (role("field") | (role("annot") & (name("Subtype") == "Widget")))
     r = {
@@ -116,6 +117,13 @@ def container_rules() -> dict[str, Column]:
         "OptionalContent": role("catalog") & F.map_contains_key("entries", F.lit("OCProperties")),
         "PostPDF14ViewerPref": role("viewer") & F.exists(own_keys(), lambda k: k.isin(*LATER_VIEWER_KEYS)),
         "OutputIntentNotArray": role("catalog") & has("OutputIntents") & (e("OutputIntents").k != "array"),
+        "OutputIntentNotDict": role("catalog") & truth("~IntentNotDict"),
+        "OutputIntentMultipleProfiles": role("catalog") & truth("~IntentProfiles"),
+        "ICCBasedComponentsMismatch": intent & (e("~N").k == "int") & (e("~Space").k == "int") & (e("~N").n != e("~Space").n),
+        "SeparationAlternateColour": (F.col("kind") == "array") & name("0").isin("Separation", "DeviceN") & ~F.array_contains("coverage", F.element_at(device, F.coalesce(name("2"), F.lit("")))),
+        "CMapCIDOutOfRange": font & (e("~CID").n > 65535),
+        "CMapWModeInconsistent": font & (e("~WModes").s == "false"),
+        "SymbolicTrueTypeCmap": font & (name("Subtype") == "TrueType") & symbolic & (e("~Cmaps").n != 1),
         "OutputIntentInvalidS": intent & (e("S").k.isNull() | (e("S").k != "name")),
         "OutputIntentWrongS": intent & (name("S") != "GTS_PDFA1"),
         "OutputIntentMissingIdentifier": intent & (name("S").isNotNull()) & ~has("OutputConditionIdentifier"),
@@ -217,9 +225,9 @@ def file_rules() -> dict[str, Column]:
 GATES = {
     "gs": "TransferFunction DefaultTransferFunction ExtGStateRenderingIntent SoftMaskExtGState BlendMode StrokingAlpha NonStrokingAlpha",
     "annot": "DisallowedSubtype PrintFlagNotSet HiddenFlagSet InvisibleFlagSet NoViewFlagSet OpacityNotOne MissingAppearance AppearanceMissingN AppearanceExtraEntries AppearanceNNotStream ColourWithoutIntent",
-    "font cidfont": "InvalidSubtype FontBaseFont InvalidProgram CIDSystemInfoMismatch CIDToGIDMapMissing CMapNotEmbedded SimpleNotEmbedded CIDNotEmbedded TrueTypeEncoding SymbolicTrueTypeEncoding",
-    "intent": "OutputIntentInvalidS OutputIntentWrongS OutputIntentMissingIdentifier OutputIntentUnresolvedProfile OutputIntentInvalidProfile OutputIntentMissingN OutputIntentInvalidN OutputIntentICCVersion",
-    "trailer catalog viewer acroform": "TrailerID TrailerEncrypt OptionalContent PostPDF14ViewerPref OutputIntentNotArray NeedAppearances XFA",
+    "font cidfont": "InvalidSubtype FontBaseFont InvalidProgram CIDSystemInfoMismatch CIDToGIDMapMissing CMapNotEmbedded SimpleNotEmbedded CIDNotEmbedded TrueTypeEncoding SymbolicTrueTypeEncoding CMapCIDOutOfRange CMapWModeInconsistent SymbolicTrueTypeCmap",
+    "intent": "OutputIntentInvalidS OutputIntentWrongS OutputIntentMissingIdentifier OutputIntentUnresolvedProfile OutputIntentInvalidProfile OutputIntentMissingN OutputIntentInvalidN OutputIntentICCVersion ICCBasedComponentsMismatch",
+    "trailer catalog viewer acroform": "TrailerID TrailerEncrypt OptionalContent PostPDF14ViewerPref OutputIntentNotArray OutputIntentNotDict OutputIntentMultipleProfiles NeedAppearances XFA",
     "annot field": "WidgetMissingAppearance FieldAdditionalActions FieldAction",
     "=Image": "ImageInterpolate ImageAlternates ImageOPI ImageRenderingIntent ImageBitsPerComponent ImageMaskBitsPerComponent ImageWithSoftMask",
     "=Form": "FormOPI FormSubtype2PS FormPSEntry FormPostScript ReferenceXObject",

@@ -62,6 +62,26 @@ def icc_fault(data: bytes) -> bool:
     return len(data) < 128 or data[36:40] != b"acsp" or data[8] >= 3 or data[12:16] not in (b"scnr", b"mntr", b"prtr", b"spac") or data[16:20] not in (b"RGB ", b"CMYK", b"GRAY", b"Lab ")
 
 
+def cmap_subtables(program: bytes) -> int | None:
+    """The number of subtables of a font program's character map; None without a map."""
+    for k in range(int.from_bytes(program[4:6], "big")):
+        entry = program[12 + 16 * k : 28 + 16 * k]
+        if entry[:4] == b"cmap":
+            at = int.from_bytes(entry[8:12], "big")
+            return int.from_bytes(program[at + 2 : at + 4], "big") if at + 4 <= len(program) else None
+    return None
+
+
+def largest_cid(cmap: str) -> int:
+    """The largest third number of a range or second of a single in a character map's blocks."""
+    out = 0
+    for kind, body in re.findall(r"begincid(range|char)(.*?)endcid", cmap, re.S):
+        tokens = re.findall(r"<[^>]*>|[^\s<]+", body)
+        step = 3 if kind == "range" else 2
+        out = max([out, *(int(t) for t in tokens[step - 1 :: step] if t.isdigit())])
+    return out
+
+
 class Walk:
     """All rows of one file."""
 
@@ -159,19 +179,34 @@ class Walk:
                         body = b""
                     good = {"FontFile": body[:2] == b"%!", "FontFile2": body[:4] in (b"\0\1\0\0", b"true", b"OTTO"), "FontFile3": body[:1] == b"\1" or body[:4] in (b"\0\1\0\0", b"OTTO")}
                     out["Program"] = good[k]
+                    if k == "FontFile2" and good[k] and (n := cmap_subtables(body)) is not None:
+                        out["Cmaps"] = n
             e = d.resolve(v.get("Encoding"))
             if isinstance(e, Dict) and isinstance(i := d.resolve(e.get("CIDSystemInfo")), Dict):
                 kids = d.resolve(v.get("DescendantFonts"))
                 c = d.resolve(kids[0]) if isinstance(kids, list) and kids else None
                 j = d.resolve(c.get("CIDSystemInfo")) if isinstance(c, Dict) else None
                 out["SameSystem"] = isinstance(j, Dict) and all(text_string(d.resolve(i.get(k))) == text_string(d.resolve(j.get(k))) for k in ("Registry", "Ordering"))
+            if isinstance(e, Dict) and e.is_stream:
+                try:
+                    text = d.decoded(e).decode("latin-1")
+                except ValueError:
+                    text = ""
+                out["CID"] = largest_cid(text)
+                stated, own = re.search(r"/WMode\s+(\d+)", text), d.resolve(e.get("WMode"))
+                out["WModes"] = not (stated and isinstance(own, int) and own != int(stated[1]))
+        if "catalog" in roles and isinstance(i := d.resolve(v.get("OutputIntents")), list):
+            i = [d.resolve(x) for x in i]
+            profiles = [p for x in i if isinstance(x, Dict) and isinstance(p := d.resolve(x.get("DestOutputProfile")), Dict)]
+            out |= {"IntentNotDict": any(not isinstance(x, Dict) for x in i), "IntentProfiles": any(p is not profiles[0] and (dict(p) != dict(profiles[0]) or p.raw != profiles[0].raw) for p in profiles)}
         if "intent" in roles:
             p = d.resolve(v.get("DestOutputProfile"))
             if isinstance(p, Dict):
                 n = d.resolve(p.get("N"))
                 out |= {"N": n if isinstance(n, int) else None}
                 try:
-                    out["BadICC"] = icc_fault(d.decoded(p))
+                    out["BadICC"] = icc_fault(body := d.decoded(p))
+                    out["Space"] = {b"RGB ": 3, b"CMYK": 4, b"GRAY": 1, b"Lab ": 3}.get(body[16:20])
                 except ValueError:
                     out["BadICC"] = True
         if "annot" in roles or "field" in roles:
