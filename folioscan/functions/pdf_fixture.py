@@ -129,7 +129,7 @@ DEFECTS: list[tuple[str, object, list[str]]] = [
     ("none", lambda o, t, x: None, []),
     ("no_id", _trailer("ID", None), ["TrailerID"]),
     ("encrypted", _trailer("Encrypt", Dict(Filter=Name("Standard"))), ["TrailerEncrypt"]),
-    ("info_array", _trailer("Info", [1]), ["InfoDictUnreadable"]),
+    ("info_array", _trailer("Info", [1]), ["InfoDictUnreadable", "WrongValueType"]),
     ("info_empty", _set(16, Author=Lit(b"")), ["InfoDictEmptyValues"]),
     ("info_differs", _set(16, Title=Lit(b"another")), ["InfoXMPSync", "InfoDictXMPMismatch"]),
     ("stream_f", _set(14, F=Lit(b"x.bin")), ["StreamFileSpec"]),
@@ -142,10 +142,10 @@ DEFECTS: list[tuple[str, object, list[str]]] = [
     ("hex_bad", _set(9, CharSet=Hex(b"0g")), ["HexStringInvalidChar"]),
     ("hex_odd", _set(9, CharSet=Hex(b"0 0 1")), ["HexStringOddLength"]),
     ("long_name", _set(9, FontFamily=Name("n" * 128)), ["NameTooLong"]),
-    ("optional", _set(1, OCProperties=Dict(OCGs=[], D=Dict())), ["OptionalContent"]),
+    ("optional", _set(1, OCProperties=Dict(OCGs=[], D=Dict())), ["OptionalContent", "KeyIntroducedAfterPDF14"]),
     ("viewer", _set(1, ViewerPreferences=Dict(Duplex=Name("Simplex"))), ["PostPDF14ViewerPref"]),
     ("intent_s", _set(5, S=Name("GTS_PDFX")), ["OutputIntentWrongS", "DeviceColourContentStream", "DeviceColourSpaceUsage"]),
-    ("intent_id", _set(5, OutputConditionIdentifier=None), ["OutputIntentMissingIdentifier"]),
+    ("intent_id", _set(5, OutputConditionIdentifier=None), ["OutputIntentMissingIdentifier", "MissingRequiredKey"]),
     ("intent_icc", lambda o, t, x: o.__setitem__(6, stream(icc(major=4), N=3)), ["OutputIntentICCVersion"]),
     ("cmyk", _content(b"0 0 0 1 k 0 0 1 1 re f"), ["DeviceColourContentStream"]),
     ("nesting", _content(b"q " * 30 + b"Q " * 30), ["GraphicsStateNesting"] * 2),
@@ -165,7 +165,7 @@ DEFECTS: list[tuple[str, object, list[str]]] = [
     ("fill_alpha", _set(10, ca=0.999), ["NonStrokingAlpha"]),
     ("gs_mask", _set(10, SMask=Dict()), ["SoftMaskExtGState"]),
     ("font_subtype", _set(8, Subtype=Name("Type9")), ["InvalidSubtype"]),
-    ("font_base", _set(8, BaseFont=None), ["FontBaseFont"]),
+    ("font_base", _set(8, BaseFont=None), ["FontBaseFont", "MissingRequiredKey"]),
     ("font_program", lambda o, t, x: o.__setitem__(15, stream(b"nothing")), ["InvalidProgram"]),
     ("font_missing", _set(9, FontFile2=None), ["SimpleNotEmbedded"]),
     ("font_symbolic", _set(9, Flags=4), ["SymbolicTrueTypeEncoding"]),
@@ -197,6 +197,14 @@ DEFECTS: list[tuple[str, object, list[str]]] = [
     ("cid_system", _type0(system=b"Other"), ["CIDSystemInfoMismatch"]),
     ("cid_map", _type0(gids=None), ["CIDToGIDMapMissing"]),
     ("symbolic_cmap", _symbolic_cmap, ["SymbolicTrueTypeCmap"]),
+    ("model_enum", _set(1, PageMode=Name("Odd")), ["DisallowedValue"]),
+    ("model_rotate", _set(3, Rotate=45), ["ConstraintViolated"]),
+    ("model_missing", _set(14, BBox=None), ["MissingRequiredKey"]),
+    ("model_kind", _set(14, FormType=Name("One")), ["WrongValueType"]),
+    ("model_direct", lambda o, t, x: o[8].__setitem__("FontDescriptor", Dict(o[9])), ["IndirectRequired"]),
+    ("model_widths", _set(8, Widths=[500, 500]), ["ConstraintViolated"]),
+    ("model_range", _set(10, LW=-1), ["DisallowedValue"]),
+    ("model_later", _set(3, UserUnit=2.0), ["KeyIntroducedAfterPDF14"]),
     ("eof", lambda b: b + b"trailing bytes after the end", ["TrailerEOF"]),
     ("header", lambda b: b.replace(b"%PDF-1.4\n", b"%PDF-1x4\n", 1), ["FileHeaderSignature"]),
     ("comment_bytes", lambda b: b.replace(b"%\xe2\xe3\xcf\xd3", b"%abcd", 1), ["FileHeaderCommentBytes"]),

@@ -20,8 +20,11 @@ from folioscan.operators.fixpoint import MAX_ROUNDS, repair
 from folioscan.operators.graph import written
 from folioscan.operators.results import results
 from folioscan.operators.rules import ANNOTATIONS, FORBIDDEN_ACTIONS, INTENTS, LATER_VIEWER_KEYS, NAMED_ACTIONS, OPERATORS, evaluate
+from folioscan.operators.schema import KINDS, condition_bounds
 from folioscan.plans.catalog import Profile, all_checks, profiles
-from folioscan.sources.pdf import INFO_KEYS, nodes
+from folioscan.plans.conditions import TOLERANCE
+from folioscan.plans.object_model import TYPES
+from folioscan.sources.pdf import INFO_KEYS, entry, nodes
 from folioscan.sources.pdf_bytes import Dict, Document, Hex, Lit, Name, ParseError, Ref, format_value, text_string, tokenize_content, write_document
 
 MAX_INT, MAX_REAL, MAX_STRING, MAX_NAME, MAX_NESTING = 2147483647, 32767.0, 65535, 127, 28
@@ -383,11 +386,62 @@ def plain_groups(e: Editor) -> None:
                 d.pop("SMask")
 
 
+def model_type(e: Editor, d: Dict) -> str | None:
+    """The type of folioscan.plans.object_model that a dictionary's own entries tell."""
+    t, s = e.get(d.get("Type")), e.get(d.get("Subtype"))
+    if d is e.trailer:
+        return "Trailer"
+    if d.is_stream:
+        return s if s in ("Image", "Form") else None
+    if t == "Font":
+        return "Font" if s == "TrueType" else None
+    return {"Annot": "Annotation", "ExtGState": "GraphicsState"}.get(t, t if t in TYPES else None)
+
+
+def _ordered(a: object, op: str, b: float) -> bool:
+    return isinstance(a, (int, float)) and not isinstance(a, bool) and {">=": a >= b - TOLERANCE, "<=": a <= b + TOLERANCE, ">": a > b + TOLERANCE, "<": a < b - TOLERANCE}.get(op, True)
+
+
+def object_model(e: Editor) -> None:
+    """Keys of the schema that can be mended without a guess: a missing key with one legal value, a value outside an
+    enumeration or a range, of a wrong kind, or bound by a rule it breaks goes if it is optional (a number is clamped);
+    a dictionary that must be a reference becomes an object; later keys go."""
+    for d in list(e.dicts()):
+        name = model_type(e, d)
+        for k in TYPES[name][1] if name else ():
+            v = e.get(d.get(k.key))
+            if v is None:
+                if k.required is True and len(k.enum) == 1 and "name" in k.types:
+                    d[k.key] = Name(k.enum[0])
+                continue
+            if k.later:
+                d.pop(k.key)
+                continue
+            kind = entry(v)["k"]
+            bad = bool(k.types) and kind not in set().union(*[KINDS[t] for t in k.types])
+            bad |= bool(k.enum) and kind in ("name", "int", "bool") and str(v if not isinstance(v, bool) else v).lower() not in [x.lower() for x in k.enum]
+            if not bad and k.value_cond is not None and kind in ("int", "real"):
+                low, high = condition_bounds(k.value_cond)
+                if low is not None and not _ordered(v, ">=", low) or high is not None and not _ordered(v, "<=", high):
+                    d[k.key] = type(v)(min(max(v, low if low is not None else v), high if high is not None else max(v, low)))
+            if not bad and k.constraint is not None and k.constraint.op == "mod" and isinstance(v, int):
+                bad = v % int(k.constraint.factor) != k.constraint.value
+            if not bad and k.key == "Widths" and isinstance(v, list):
+                first, last = e.get(d.get("FirstChar")), e.get(d.get("LastChar"))
+                if isinstance(first, int) and isinstance(last, int) and last - first + 1 != len(v):
+                    d[k.key] = (v + [0] * (last - first + 1))[: last - first + 1]
+            if bad and k.required is False:
+                d.pop(k.key)
+            elif k.indirect and isinstance(v, Dict) and not isinstance(d[k.key], Ref):
+                d[k.key] = e.add(v)
+
+
 FIXERS: dict[str, Callable[[Editor], None]] = {
     "disallowedAnnotFixer": disallowed_annotations, "annotColourFixer": annotation_colours, "appearanceFixer": appearances, "contentLimitsFixer": content_limits, "actionFixer": actions,
     "extGStateFixer": graphics_states, "annotationFlagsFixer": annotation_flags, "formFixer": fields, "imageMetadataFixer": image_metadata, "postScriptXObjectFixer": postscript,
     "optionalContentFixer": drop("OCProperties"), "viewerPrefFixer": viewer, "fileSpecFixer": file_specs, "fontDictFixer": font_dicts, "type0FontFixer": composite_fonts, "cmapCIDClampFixer": cmap_cids, "trueTypeEncodingFixer": true_type_encodings,
     "pagesTreeArrayFixer": big_arrays, "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "transparencyFlattener": plain_groups,
+    **dict.fromkeys(("missingRequiredKeyFixer", "wrongValueTypeFixer", "disallowedValueFixer", "indirectRequiredFixer", "post14KeyFixer", "constraintFixer"), object_model),
 }
 
 

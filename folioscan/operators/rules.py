@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from folioscan.operators.graph import written
 from folioscan.operators.results import results
 from folioscan.plans.catalog import Profile, check_by_name, profiles
+from folioscan.plans.object_model import model_findings
 from folioscan.sources.pdf import nodes
 
 INTENTS = ("RelativeColorimetric", "AbsoluteColorimetric", "Perceptual", "Saturation")
@@ -261,6 +262,9 @@ def _found(application: str, profile: Profile) -> Column:
     parts += of(container, rules)
     if set(enabled) & set(value_tests(F.lit(None).cast("struct<k:string,s:string,n:double,len:int>"))):
         parts.append(F.when(kind != "file", value_findings(enabled)).otherwise(empty))
+    model = {v for k, v in enabled.items() if check_by_name(k).group == "ObjectModel"}
+    if model:
+        parts.append(F.when(container, model_findings(model)).otherwise(empty))
     return F.concat(*parts) if parts else empty
 
 

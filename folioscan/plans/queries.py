@@ -614,7 +614,7 @@ def pdf_metadata(spark, sf_dir):
 
 
 #: Defects that no fixer mends.
-_LEFT = ("cmyk", "image_bits", "image_mask", "image_cmyk", "soft_mask", "font_subtype", "font_base", "font_program", "font_missing", "separation", "cmap_name", "symbolic_cmap")
+_LEFT = ("cmyk", "image_bits", "image_mask", "image_cmyk", "soft_mask", "font_subtype", "font_base", "font_program", "font_missing", "separation", "cmap_name", "symbolic_cmap", "model_missing")
 
 
 @query(f"SELECT doc_id AS file_id, check_id, n::BIGINT AS n FROM documents JOIN {_WANTED} ON doc_id % {_N} = defect WHERE defect IN ({', '.join(str(_D[k]) for k in _LEFT)})")

@@ -171,6 +171,9 @@ class Walk:
             f = f if isinstance(f, Dict) else {}
             out["Embedded"] = Name(next((k for k in ("FontFile", "FontFile2", "FontFile3") if isinstance(d.resolve(f.get(k)), Dict)), "none"))
             out["Flags"] = d.resolve(f.get("Flags")) or 0
+            first, last = d.resolve(v.get("FirstChar")), d.resolve(v.get("LastChar"))
+            if isinstance(first, int) and isinstance(last, int):
+                out["Span"] = last - first + 1
             for k in ("FontFile", "FontFile2", "FontFile3"):
                 if isinstance(p := d.resolve(f.get(k)), Dict):
                     try:
