@@ -113,6 +113,21 @@ def _type0(encoding: object = None, system: bytes = b"Adobe", cmap: bytes = b"",
     return change
 
 
+_USE = '<own:n xmlns:own="http://own.example/">v</own:n>'
+
+
+def _extension(container: str = "Bag", use: str = _USE, **fields: str) -> str:
+    """An extension schema with one property, n, and its use; a field given as '' is left out."""
+    f = {"name": "n", "valueType": "Text", "category": "external", "description": "d"} | fields
+    more = f.pop("more", "")
+    ns = "".join(f' xmlns:pdfa{k}="http://www.aiim.org/pdfa/ns/{u}"' for k, u in (("Extension", "extension/"), ("Schema", "schema#"), ("Property", "property#")))
+    own = "".join(f"<pdfaProperty:{k}>{v}</pdfaProperty:{k}>" for k, v in f.items() if v) + more
+    return (
+        f'<pdfaExtension:schemas{ns}><rdf:{container}><rdf:li rdf:parseType="Resource"><pdfaSchema:schema>Own</pdfaSchema:schema><pdfaSchema:namespaceURI>http://own.example/</pdfaSchema:namespaceURI>'
+        f'<pdfaSchema:prefix>own</pdfaSchema:prefix><pdfaSchema:property><rdf:Seq><rdf:li rdf:parseType="Resource">{own}</rdf:li></rdf:Seq></pdfaSchema:property></rdf:li></rdf:{container}></pdfaExtension:schemas>{use}'
+    )
+
+
 def _second_intent(o: dict[int, object], t: dict, text: str) -> None:
     o[17] = stream(icc() + b"more", N=3)
     o[1]["OutputIntents"] = [Ref(5, 0), Dict(Type=Name("OutputIntent"), S=Name("GTS_PDFA1"), OutputConditionIdentifier=Lit(b"x"), DestOutputProfile=Ref(17, 0))]
@@ -205,6 +220,16 @@ DEFECTS: list[tuple[str, object, list[str]]] = [
     ("model_widths", _set(8, Widths=[500, 500]), ["ConstraintViolated"]),
     ("model_range", _set(10, LW=-1), ["DisallowedValue"]),
     ("model_later", _set(3, UserUnit=2.0), ["KeyIntroducedAfterPDF14"]),
+    ("extension", _xmp(extra=_extension()), []),
+    ("extension_field", _xmp(extra=_extension(category="", description="")), ["ExtPropertyMissingField"] * 2),
+    ("extension_names", _xmp(extra=_extension(more="<pdfaProperty:name>m</pdfaProperty:name>")), ["ExtPropertyMultipleName"]),
+    ("extension_seq", _xmp(extra=_extension("Seq")), ["ExtSchemasNotBag"]),
+    ("extension_use", _xmp(extra=_extension(use=_USE.replace("own:n", "own:z"))), ["ExtPropertyUndocumented"]),
+    ("extension_type", _xmp(extra=_extension(valueType="Odd")), ["ExtPropertyUndefinedType"]),
+    ("extension_prefix", _xmp(extra='<ext:schemas xmlns:ext="http://www.aiim.org/pdfa/ns/extension/"/>'), ["ExtSchemaNamespace"]),
+    ("extension_uri", _xmp(extra='<pdfaExtension:schemas xmlns:pdfaExtension="http://other.example/"/>'), ["ExtSchemaWrongPrefixURI"]),
+    ("namespace", _xmp(extra=_USE), ["MetadataUndeclaredProperty"]),
+    ("inline_lzw", _content(b"BI /W 1 /H 1 /BPC 8 /CS /G /F /LZW ID " + encode_lzw(b"\0") + b"\nEI"), ["InlineImageLZWFilter"]),
     ("eof", lambda b: b + b"trailing bytes after the end", ["TrailerEOF"]),
     ("header", lambda b: b.replace(b"%PDF-1.4\n", b"%PDF-1x4\n", 1), ["FileHeaderSignature"]),
     ("comment_bytes", lambda b: b.replace(b"%\xe2\xe3\xcf\xd3", b"%abcd", 1), ["FileHeaderCommentBytes"]),

@@ -89,6 +89,52 @@ def iso_to_pdf_date(text: str) -> str | None:
 SYNC = (("Title", "dc:title", False), ("Subject", "dc:description", False), ("Author", "dc:creator", False), ("Creator", "xmp:CreatorTool", False), ("Producer", "pdf:Producer", False), ("Keywords", "pdf:Keywords", False), ("CreationDate", "xmp:CreateDate", True), ("ModDate", "xmp:ModifyDate", True))
 
 
+#: The conventional prefixes of extension schemas.
+EXTENSION = {p: f"http://www.aiim.org/pdfa/ns/{u}" for p, u in (("pdfaExtension", "extension/"), ("pdfaSchema", "schema#"), ("pdfaProperty", "property#"), ("pdfaType", "type#"), ("pdfaField", "field#"))}
+KNOWN = ("adobe:ns:meta/", RDF_NS, PDFA_NS, "http://purl.org/dc/elements/1.1/", "http://ns.adobe.com/", "http://www.w3.org/XML/1998/namespace", "http://iptc.org/std/")
+BUILT_IN = set("Text Integer Boolean Real Date URI URL MIMEType AgentName GUID Locale ProperName XPath RenditionClass Rational Thumbnail Dimensions Colorant Font Version Job ResourceEvent ResourceRef GPSCoordinate OECF/SFR CFAPattern DeviceSettings Flash".split())
+
+
+def extension_faults(text: str) -> list[str]:
+    """Of namespaces, and of extension schemas with their properties, types and fields."""
+    out = []
+    bound = re.findall(r"xmlns:([\w-]+)\s*=\s*[\"']([^\"']*)[\"']", text)
+    for prefix, uri in dict.fromkeys(bound):
+        if uri in EXTENSION.values():
+            out += ["ExtSchemaNamespace"] * (EXTENSION.get(prefix) != uri)
+        elif prefix in EXTENSION:
+            out.append("ExtSchemaWrongPrefixURI")
+    if (m := re.search(r"<pdfaExtension:schemas[^>]*>\s*<rdf:(\w+)", text)) and m[1] != "Bag":
+        out.append("ExtSchemasNotBag")
+    types = set(re.findall(r"<pdfaType:type>\s*([^<\s]+)", text))
+    names: set[str] = set()
+    for block in re.findall(r"<rdf:li[^>]*>((?:(?!<rdf:li|</rdf:li>).)*)</rdf:li>", text, re.S):
+        values = lambda kind, f, b=block: re.findall(rf"<{kind}:{f}(?:\s[^>]*)?>([^<]*)<", b)
+        if "<pdfaProperty:" in block:
+            names |= {n.strip() for n in values("pdfaProperty", "name")}
+            out += ["ExtPropertyMissingField" for f in ("name", "valueType", "category", "description") if not values("pdfaProperty", f)]
+            out += ["ExtPropertyMultipleName"] * (len(values("pdfaProperty", "name")) > 1)
+            for t in values("pdfaProperty", "valueType"):
+                base = re.sub(r"^(?:(?:open|closed)\s+)?(?:choice\s+(?:of\s+)?)?|^(?:bag|seq|alt)\s+|^Lang Alt$", "", t.strip(), flags=re.I)
+                out += ["ExtPropertyUndefinedType"] * (bool(base) and base not in BUILT_IN | types)
+        elif "<pdfaField:" in block:
+            out += ["ExtFieldInvalid" for f in ("name", "valueType", "description") if not values("pdfaField", f)]
+        elif "<pdfaType:" in block:
+            out += ["ExtTypeInvalid" for f in ("type", "namespaceURI", "prefix", "description") if not values("pdfaType", f)]
+    described = dict(zip(re.findall(r"<pdfaSchema:prefix>\s*([^<\s]*)", text), re.findall(r"<pdfaSchema:namespaceURI>\s*([^<\s]*)", text)))
+    for prefix, uri in dict.fromkeys(bound):
+        if prefix in EXTENSION or uri in EXTENSION.values() or uri.startswith(KNOWN):
+            continue
+        used = re.findall(rf"<{re.escape(prefix)}:([\w-]+)", text)
+        if not used:
+            continue
+        if prefix in described:
+            out += ["ExtPropertyUndocumented" for u in dict.fromkeys(used) if u not in names]
+        else:
+            out.append("ExtSchemaNamespace" if "<pdfaExtension:schemas" in text else "MetadataUndeclaredProperty")
+    return out
+
+
 def claimed(text: str) -> tuple[str | None, str | None]:
     """The part and the conformance level that a packet claims."""
     return prop(text, "pdfaid:part"), prop(text, "pdfaid:conformance")
@@ -116,6 +162,7 @@ def packet_faults(text: str, info: dict[str, str]) -> list[str]:
             out.append("PDFAIdentifierUndefinedProperty")
     if (m := re.search(r"<dc:description(?:\s[^>]*)?>(.*?)</dc:description>", text, re.S)) and "<rdf:Alt" not in m[1]:
         out.append("MetadataPropertyType")
+    out += extension_faults(text)
     for key, name, date in SYNC:
         if key not in info:
             continue

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import xmp
+from folioscan.functions.decoders import lzw
 from folioscan.operators.fixpoint import MAX_ROUNDS, repair
 from folioscan.operators.graph import written
 from folioscan.operators.results import results
@@ -282,6 +283,19 @@ def lzw_streams(e: Editor) -> None:
             e.set_body(d, e.body(d))
 
 
+def inline_lzw(e: Editor) -> None:
+    """Inline images with the filter get their data in hexadecimal."""
+    for s in list(e.contents()):
+        ops = tokenize_content(e.body(s))
+        for op, operands in ops:
+            d = operands[0] if op == "BI" else None
+            if d is not None and (d.get("F") or d.get("Filter")) in ("LZW", "LZWDecode"):
+                d.raw = lzw(d.raw or b"").hex().encode() + b">"
+                d.pop("Filter", None)
+                d["F"] = Name("AHx")
+        e.set_body(s, write_content(ops))
+
+
 def limit(v: object) -> object:
     """A scalar within the limits."""
     if isinstance(v, bool):
@@ -440,7 +454,7 @@ FIXERS: dict[str, Callable[[Editor], None]] = {
     "disallowedAnnotFixer": disallowed_annotations, "annotColourFixer": annotation_colours, "appearanceFixer": appearances, "contentLimitsFixer": content_limits, "actionFixer": actions,
     "extGStateFixer": graphics_states, "annotationFlagsFixer": annotation_flags, "formFixer": fields, "imageMetadataFixer": image_metadata, "postScriptXObjectFixer": postscript,
     "optionalContentFixer": drop("OCProperties"), "viewerPrefFixer": viewer, "fileSpecFixer": file_specs, "fontDictFixer": font_dicts, "type0FontFixer": composite_fonts, "cmapCIDClampFixer": cmap_cids, "trueTypeEncodingFixer": true_type_encodings,
-    "pagesTreeArrayFixer": big_arrays, "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "transparencyFlattener": plain_groups,
+    "pagesTreeArrayFixer": big_arrays, "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "inlineImageLZWFixer": inline_lzw, "transparencyFlattener": plain_groups,
     **dict.fromkeys(("missingRequiredKeyFixer", "wrongValueTypeFixer", "disallowedValueFixer", "indirectRequiredFixer", "post14KeyFixer", "constraintFixer"), object_model),
 }
 

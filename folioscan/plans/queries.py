@@ -623,7 +623,7 @@ def pdf_convert_residual(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id AS file_id, CASE doc_id % {_N} WHEN {_D['info_array']} THEN NULL WHEN {_D['info_differs']} THEN 'another' ELSE regexp_replace(trim(substr(text, 1, 40), ' ' || chr(10)), '\\s+', ' ', 'g') END AS title,
-CASE WHEN doc_id % {_N} IN (0, {_D['composite']}) THEN 0 ELSE 1 END AS rounds FROM documents""")
+CASE WHEN doc_id % {_N} IN ({_VALID}) THEN 0 ELSE 1 END AS rounds FROM documents""")
 def pdf_convert_roundtrip(spark, sf_dir):
     title = F.udf(text_of, "string")
     return convert(_files(spark, sf_dir), "strict_1b")[0].select("file_id", title("content").alias("title"), "rounds")

@@ -242,7 +242,9 @@ class Document:
         lx = Lexer(self.data, at)
         lx.gap()
         if not self.data.startswith(b"xref", lx.at):
-            return self.stream_section(at)
+            before = self.stream_section(at)
+            self.faults.append(("XRefStream", 0))
+            return before
         if self.data[at : at + 4] != b"xref":
             self.faults.append(("XRefKeyword", 0))
         at = lx.at + 4
