@@ -330,15 +330,14 @@ def incremental_last_wins(spark, sf_dir):
     return graph.last_wins(v, ["user_id", "event_type"], "revision").select("user_id", "event_type", "event_id", "value")
 
 
-_EDGES = "(SELECT c_custkey AS src, (c_custkey * 7 + 3) % (SELECT count(*) FROM customer) + 1 AS dst FROM customer)"
+_EDGES = "(SELECT c_custkey AS src, (c_custkey * 7 + 3) % 50 AS dst FROM customer)"
 
 
 @query(f"""WITH RECURSIVE e AS {_EDGES}, r AS (SELECT c_custkey AS root, c_custkey AS node FROM customer WHERE c_custkey % 50 = 1
 UNION SELECT root, dst FROM r JOIN e ON node = src) SELECT root, count(*) AS reached, sum(node)::BIGINT AS total FROM r GROUP BY root""")
 def reachable_closure(spark, sf_dir):
     k = table(spark, sf_dir, "customer").select("c_custkey")
-    n = k.count()
-    edges = k.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % n + 1).alias("dst"))
+    edges = k.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % 50).alias("dst"))
     r = graph.closure(edges, k.where("c_custkey % 50 = 1").select(F.col("c_custkey").alias("node")))
     return r.groupBy("root").agg(F.count(F.lit(1)).alias("reached"), F.sum("node").cast("bigint").alias("total"))
 
@@ -364,15 +363,15 @@ def page_index(spark, sf_dir):
 _LINKS = [("A", "k0", "B"), ("A", "k1", "A"), ("B", "*", "A"), ("B", "k2", "C"), ("C", "k0", "C")]
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT c_custkey AS src, 'k' || (c_custkey % 3) AS key, (c_custkey * 7 + 3) % (SELECT count(*) FROM customer) + 1 AS dst FROM customer),
+@query(f"""WITH RECURSIVE e AS (SELECT c_custkey AS src, 'k' || (c_custkey % 3) AS key, (c_custkey * 7 + 3) % 50 AS dst FROM customer),
 l AS (SELECT * FROM (VALUES {', '.join(map(str, _LINKS))}) AS t(type, key, child)),
 r AS (SELECT c_custkey AS node, 'A' AS type FROM customer WHERE c_custkey <= 20 UNION
 SELECT e.dst, coalesce(x.child, y.child) FROM r JOIN e ON r.node = e.src LEFT JOIN l x ON x.type = r.type AND x.key = e.key LEFT JOIN l y ON y.type = r.type AND y.key = '*' WHERE coalesce(x.child, y.child) IS NOT NULL)
 SELECT node, type FROM r""")
 def typed_propagation(spark, sf_dir):
     k = table(spark, sf_dir, "customer").select("c_custkey")
-    n, x = k.count(), F.col("c_custkey")
-    edges = k.select(x.alias("src"), F.concat(F.lit("k"), (x % 3).cast("string")).alias("key"), ((x * 7 + 3) % n + 1).alias("dst"))
+    x = F.col("c_custkey")
+    edges = k.select(x.alias("src"), F.concat(F.lit("k"), (x % 3).cast("string")).alias("key"), ((x * 7 + 3) % 50).alias("dst"))
     links = spark.createDataFrame(_LINKS, "type string, key string, child string")
     return graph.propagate(edges, k.where("c_custkey <= 20").select(x.alias("node"), F.lit("A").alias("type")), links)
 
