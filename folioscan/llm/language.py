@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from folioscan.llm.common import materialize, read_table
 MAX_N, PENALTY, UNKNOWN = 5, 7.0, "und"
 #: Most entries, (language, word) or (language, n-gram), of the model that is sent to the tasks: all counts enter the
 #: totals, and the rarest entries beyond are left to the back-off.
-MODEL_WORDS, MODEL_GRAMS = 300_000, 300_000
+MODEL_WORDS, MODEL_GRAMS = 200_000, 200_000
 #: Of the CRC of doc_id modulo FOLDS, this one is held out of training.
 FOLDS, HELD_OUT = 4, 2
 #: Words that count as evidence in the score, at most.
@@ -70,13 +71,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    by: dict[str, Counter] = {}
+    by: dict[str, dict] = {}
     for b in batches:
         for lang, word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            c = by.setdefault(lang, Counter())
+            c = by.setdefault(lang, {})
+            get = c.get
             for k in range(1, MAX_N + 1):
                 for g in grams(word, k):
-                    c[g] += n
+                    c[g] = get(g, 0) + n
         if sum(map(len, by.values())) > HELD:
             yield _batch({(k, w): n for k, c in by.items() for w, n in c.items()})
             by = {}
@@ -93,8 +95,17 @@ def _most(counts: DataFrame, bound: int) -> list:
             break
         total, least = total + rows, n
     if least is None:
-        return counts.orderBy(F.desc("n"), "lang", "item").limit(bound).collect() if hist else []
-    return counts.where(F.col("n") >= least).collect()
+        chosen = counts.orderBy(F.desc("n"), "lang", "item").limit(bound if hist else 0)
+    else:
+        chosen = counts.where(F.col("n") >= least)
+    table = chosen.select("lang", "item", "n").toArrow()
+    return [Entry(*x) for x in zip(*(c.to_pylist() for c in table.columns))]
+
+
+class Entry(NamedTuple):
+    lang: str
+    item: str
+    n: int
 
 
 class Model:
@@ -124,32 +135,34 @@ class Model:
 
     def predictor(self):
         """A function from a text to (language, score); it remembers unseen words."""
-        index, matrix, extra = dict(self.words), self.word_scores, []
-        known = len(index)
+        index, matrix, extra = dict(self.words), self.word_scores, np.empty((1024, len(self.langs)), np.float32)
+        known, used = len(index), 0
 
         def predict(text: str | None) -> tuple[str, float]:
-            nonlocal index, matrix, extra
+            nonlocal index, extra, used
             found = words(text)
             if not self.langs or not has_letter(found):
                 return UNKNOWN, 0.0
-            at = []
-            for w in found:
-                k = index.get(w)
-                if k is None:
-                    k = index[w] = known + len(extra)
-                    extra.append(self.unseen(w))
-                at.append(k)
+            at = list(map(index.get, found))
+            if None in at:
+                for i, k in enumerate(at):
+                    if k is None:
+                        w = found[i]
+                        if (k := index.get(w)) is None:
+                            k = index[w] = known + used
+                            if used == len(extra):
+                                extra = np.vstack([extra, np.empty_like(extra)])
+                            extra[used] = self.unseen(w)
+                            used += 1
+                        at[i] = k
             rows = np.array(at)
             new = rows >= known
-            total = matrix[rows[~new]].sum(axis=0, dtype=np.float64)
-            if new.any():
-                ks, times = np.unique(rows[new] - known, return_counts=True)
-                total = total + (np.array([extra[k] for k in ks]) * times[:, None]).sum(axis=0, dtype=np.float64)
+            total = matrix[rows[~new]].sum(axis=0, dtype=np.float64) + extra[rows[new] - known].sum(axis=0, dtype=np.float64)
             mean = total / len(rows)
             best = int(mean.argmin())
             p = np.exp((mean[best] - mean) * np.log(10) * min(len(rows), EVIDENCE))
-            if len(extra) > HELD:
-                index, extra = dict(self.words), []
+            if used > HELD:
+                index, used = dict(self.words), 0
             return self.langs[best], float(1 / p.sum())
 
         return predict
