@@ -171,6 +171,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _key(spark: SparkSession, part: Column, parts: list[int]) -> Column:
+    """A number for each part that hash partitioning sends to a partition of its own."""
+    n = len(parts)
+    if n < 2:
+        return F.lit(0)
+    number = F.col("id").cast("int")
+    found = {r[0]: r[1] for r in spark.range(64 * n).groupBy(F.pmod(F.hash(number), F.lit(n))).agg(F.min(number)).collect()}
+    at = {p: found.get(k, k) for k, p in enumerate(parts)}
+    return F.lit([at.get(p, 0) for p in range(-1, max(parts) + 1)])[part + 1]
+
+
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -197,7 +208,8 @@ def fingerprint_neighbours(documents: DataFrame) -> DataFrame:
     d = d.withColumn("part", part.cast("int")).join(F.broadcast(also), F.col("doc_id").eqNullSafe(F.col("top")), "left")
     own, lent = F.struct(F.col("part"), F.lit(False).alias("lent")), F.struct(F.col("above").alias("part"), F.lit(True).alias("lent"))
     d = d.select("doc_id", "text", F.explode(F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, lent))).alias("to"))
-    d = d.select("doc_id", "text", "to.part", "to.lent").repartition(max(1, len(tops)), "part")
+    d = d.select("doc_id", "text", "to.part", "to.lent").withColumn("key", _key(spark, F.col("part"), [p for p, _ in tops]))
+    d = d.repartition(max(1, len(tops)), "key").drop("key")
     d = d.sortWithinPartitions("part", "lent", F.desc("doc_id"), F.desc("text"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
