@@ -28,7 +28,7 @@ BITS, WORDS = 256, 4
 #: Tables, the least sampled coordinates, and how many fewer than the logarithm of the rows.
 TABLES, LEAST_SAMPLE, FEWER = 48, 10, 4
 #: Greatest Hamming distance of near duplicates.
-DISTANCE = 64
+DISTANCE = 58
 #: Rows of a bucket beyond which it is cut, about; additional coordinates that cut it; one row in so many is counted
 #: to find such buckets.
 BUCKET_ROWS, EXTRA, COUNTED = 4096, 4, 64
