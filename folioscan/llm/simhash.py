@@ -1,12 +1,12 @@
 """Near duplicates by SimHash and random bit sampling.
 
 A document's fingerprint has BITS signs of weighted sums over its words and its pairs of following words. Fingerprints
-that are equal are one row from then on. Each of several tables groups the rows by a random sample of coordinates. All
-rows of a bucket are compared; a bucket of more than about BUCKET_ROWS rows is cut by additional coordinates, and every
-pair of its parts is compared as a bucket of its own, so none of its pairs is left out. A pair counts in the first table
-alone in which it meets. A bucket gives each row its number of links and one link to its connected part of the bucket,
-so what leaves a bucket grows with its rows and not with their pairs. Classes are the connected components of these
-links.
+that are equal are one row from then on. Each of several tables groups the rows by a random sample of coordinates;
+larger samples take more tables, so that a pair at DISTANCE is as likely to meet at any number of rows. All rows of a
+bucket are compared; a bucket of more than about BUCKET_ROWS rows is cut by additional coordinates, and every pair of
+its parts is compared as a bucket of its own, so none of its pairs is left out. A pair counts in the first table alone
+in which it meets. A bucket gives each row its number of links and one link to its connected part of the bucket, so what
+leaves a bucket grows with its rows and not with their pairs. Classes are the connected components of these links.
 """
 
 from __future__ import annotations
@@ -25,13 +25,16 @@ from xxhash import xxh3_64_intdigest
 from folioscan.llm.common import materialize, read_table, schema
 
 BITS, WORDS = 256, 4
-#: Tables, the least sampled coordinates, and how many fewer than the logarithm of the rows.
-TABLES, LEAST_SAMPLE, FEWER = 48, 10, 4
+#: Tables at the least sample, the least and the most sampled coordinates, and how many fewer than the logarithm of the
+#: rows.
+TABLES, LEAST_SAMPLE, MOST_SAMPLE, FEWER = 48, 10, 24, 10
 #: Greatest Hamming distance of near duplicates.
 DISTANCE = 58
 #: Rows of a bucket beyond which it is cut, about; additional coordinates that cut it; one row in so many is counted
 #: to find such buckets.
 BUCKET_ROWS, EXTRA, COUNTED = 4096, 4, 64
+#: A bucket's number has its table's from this bit on.
+TABLE_BIT = 52
 SEED = 20240501
 WORD = re.compile(r"\w+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -85,8 +88,19 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 
 def sample_size(rows: int) -> int:
-    """So many coordinates that a row meets about as many unlike ones in a table at any number of rows."""
-    return max(LEAST_SAMPLE, min(48, int(np.ceil(np.log2(max(rows, 2)))) - FEWER))
+    """So many coordinates that a row meets at most about 2^FEWER unlike ones in a table."""
+    return max(LEAST_SAMPLE, min(MOST_SAMPLE, int(np.ceil(np.log2(max(rows, 2)))) - FEWER))
+
+
+def recall(size: int, tables: int, distance: int = DISTANCE) -> float:
+    """The chance that two rows at this distance meet in any of the tables, if coordinates were drawn independently."""
+    return 1 - (1 - (1 - distance / BITS) ** size) ** tables
+
+
+def table_count(size: int, tables: int = TABLES) -> int:
+    """So many tables of samples of this size that the recall at DISTANCE is that of tables of LEAST_SAMPLE."""
+    meet = lambda k: np.log1p(-((1 - DISTANCE / BITS) ** k))
+    return int(np.ceil(tables * meet(LEAST_SAMPLE) / meet(size) - 1e-9))
 
 
 def coordinates(tables: int, size: int) -> np.ndarray:
@@ -143,12 +157,17 @@ def _pairs(keys: np.ndarray, sides: np.ndarray, fp: np.ndarray) -> Iterator[tupl
                 yield part[near], part[near] + lag, x[near]
         lag += 1
     for s, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-        step = max(1, 1_000_000 // n)
-        for a in range(s, s + n, step):
-            rows = np.arange(a, min(a + step, s + n))
-            x, near = _near(fp[rows][:, None, :], fp[s : s + n][None, :, :])
+        word = np.ascontiguousarray(fp[s : s + n].T)
+        step = max(1, 200_000 // n)
+        for a in range(0, n, step):
+            here = word[:, a : a + step, None]
+            some = np.bitwise_count(here[0] ^ word[0, a:])
+            for k in range(1, WORDS - 1):
+                some += np.bitwise_count(here[k] ^ word[k, a:])
+            # of at most 192 and 64 bits: the sum that counts doesn't overflow
+            near = (some <= DISTANCE) & (some + np.bitwise_count(here[-1] ^ word[-1, a:]) <= DISTANCE)
             r, c = np.nonzero(near)
-            r, c = rows[r], s + c
+            r, c = s + a + r, s + a + c
             ok = (r < c) & alone(r, c)
             if ok.any():
                 r, c = r[ok], c[ok]
@@ -178,7 +197,7 @@ def compare(rows: DataFrame, before: list) -> DataFrame:
 
     def run(bucket: np.ndarray, side: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         a, b, n = [], [], np.zeros(len(ids), np.int64)
-        table = bucket >> 56
+        table = bucket >> TABLE_BIT
         for k in np.unique(table):
             at = np.flatnonzero(table == k)
             for i, j, x in _pairs(bucket[at], side[at], fp[at]):
@@ -220,7 +239,7 @@ def bucketed(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
                 part = b.slice(s, 20_000)
                 bits = np.unpackbits(_matrix(part.column(1)).view(np.uint8), axis=1)
                 for t, own in enumerate(chosen):
-                    key = bits[:, own].astype(np.int64) @ (1 << np.arange(len(own), dtype=np.int64)) | t << 56
+                    key = bits[:, own].astype(np.int64) @ (1 << np.arange(len(own), dtype=np.int64)) | t << TABLE_BIT
                     yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), part.column(1)], ["bucket", "id", "fp"])
 
     return rows.select("id", "fp").mapInArrow(sample, "bucket bigint, id bigint, fp binary")
@@ -232,16 +251,17 @@ def _part(chosen: np.ndarray):
     @F.pandas_udf("int")
     def part(bucket: pd.Series, fp: pd.Series) -> pd.Series:
         bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1)
-        at = chosen[(bucket.to_numpy(np.int64) >> 56)]
+        at = chosen[(bucket.to_numpy(np.int64) >> TABLE_BIT)]
         return pd.Series(np.take_along_axis(bits, at, 1).astype(np.int32) @ (1 << np.arange(EXTRA, dtype=np.int32)), dtype="int32")
 
     return part
 
 
 def near_links(rows: DataFrame, tables: int = TABLES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """id, other, links over rows with distinct fingerprints (id, fp), as compare() gives them."""
+    """id, other, links over rows with distinct fingerprints (id, fp), as compare() gives them. tables is the number at
+    LEAST_SAMPLE; larger samples take more."""
     size = sample_size(rows.count())
-    chosen = coordinates(tables, size)
+    chosen = coordinates(table_count(size, tables), size)
     before = masks(chosen[:, :size]).tolist()
     b = bucketed(rows, chosen[:, :size])
     # which buckets are cut changes no result, so they are found from a part of the rows
@@ -258,7 +278,7 @@ def near_links(rows: DataFrame, tables: int = TABLES, bucket_rows: int = BUCKET_
         # a row of part e goes to the pairs {e, f} of parts; in that of {e, e} all rows are paired, else those of e with those of f
         cut = j.where(F.col("large").isNotNull()).withColumn("e", _part(chosen[:, size:])("bucket", "fp"))
         cut = cut.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit((1 << EXTRA) - 1))))
-        own = F.shiftrightunsigned(F.xxhash64("bucket", F.least("e", "f"), F.greatest("e", "f")), 8).bitwiseOR(F.shiftleft(F.shiftright("bucket", 56), 56))
+        own = F.shiftrightunsigned(F.xxhash64("bucket", F.least("e", "f"), F.greatest("e", "f")), 64 - TABLE_BIT).bitwiseOR(F.shiftleft(F.shiftright("bucket", TABLE_BIT), TABLE_BIT))
         cut = cut.select(own.alias("bucket"), F.when(F.col("e") == F.col("f"), 0).when(F.col("e") < F.col("f"), 1).otherwise(2).alias("side"), "id", "fp")
         parts = ordinary.unionByName(cut)
     parts = parts.repartition("bucket").sortWithinPartitions("bucket")

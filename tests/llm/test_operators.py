@@ -432,6 +432,27 @@ def test_simhash_classes(spark, awkward):
     assert rows(simhash.near_duplicates(awkward.limit(0))) == []
 
 
+def test_simhash_recall_at_any_size(spark, monkeypatch):
+    import numpy as np
+
+    size = simhash.sample_size
+    at_least = simhash.recall(simhash.LEAST_SAMPLE, simhash.TABLES)
+    for n in (10**3, 10**5, 11 * 10**6, 10**9):
+        assert simhash.recall(size(n), simhash.table_count(size(n))) >= at_least - 1e-9
+    rng = np.random.default_rng(3)
+    prints = []
+    for _ in range(300):  # lone pairs at the greatest distance
+        a = rng.integers(0, 2, simhash.BITS, np.uint8)
+        b = a.copy()
+        b[rng.permutation(simhash.BITS)[: simhash.DISTANCE]] ^= 1
+        prints += [np.packbits(a).tobytes(), np.packbits(b).tobytes()]
+    d = spark.createDataFrame(list(enumerate(map(bytearray, prints))), "id bigint, fp binary")
+    for n, bucket_rows in ((600, 4096), (11 * 10**6, 4096), (11 * 10**6, 1)):
+        monkeypatch.setattr(simhash, "sample_size", lambda _, n=n: size(n))
+        got = simhash.near_links(d, bucket_rows=bucket_rows).where("id <> other").groupBy("id").count().collect()
+        assert len({r.id // 2 for r in got}) >= 0.94 * 300
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 499), (499, 499)], "id bigint, other bigint")
     got = dict(rows(simhash.components(links).select("id", "root")))
