@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rounds after which a closure stops.
-MAX_ROUNDS = 1000
+#: Rounds after which what was found becomes one table, as a plan over very many is slow.
+MERGED_ROUNDS = 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,25 +39,35 @@ def last_wins(versions: DataFrame, keys: list[str], order: str) -> DataFrame:
     return versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("v")).select(*keys, "v.*")
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _found(parts: list[DataFrame], new: DataFrame, name: str) -> list[DataFrame]:
+    """The tables of all that was found, with that of a further round."""
+    parts = [*parts, new]
+    return [written(_union(parts).coalesce(parts[0].sparkSession.sparkContext.defaultParallelism), name)] if len(parts) > MERGED_ROUNDS else parts
+
+
+def closure(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """root, node, depth of all that roots (a column node) reach over edges (src, dst), themselves at depth 0; depth is
-    the least number of steps. Each round extends only what the round before found first, so cycles end it."""
+    the least number of steps. Each round extends only what the round before found first, so cycles end it. Paths of
+    more than max_rounds steps, if that is given, are an error."""
     e = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     new = written(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct(), "reached")
-    parts = [new]
-    for k in range(1, max_rounds + 1):
+    parts, k = [new], 0
+    while True:
+        k += 1
         step = new.join(e, new.node == e.src).select("root", F.col("dst").alias("node"), F.lit(k).alias("depth")).distinct()
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
-        new = written(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "reached")
+        new = written(step.join(_union(parts).select("root", "node"), ["root", "node"], "left_anti"), "reached")
         if not new.limit(1).count():
-            break
-        parts.append(new)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            return _union(parts)
+        if max_rounds is not None and k > max_rounds:
+            raise RuntimeError(f"paths of more than {max_rounds} steps")
+        parts = _found(parts, new, "reached")
 
 
 def inherited(nodes: DataFrame, value: str, max_hops: int = 20) -> DataFrame:
@@ -75,23 +85,25 @@ def inherited(nodes: DataFrame, value: str, max_hops: int = 20) -> DataFrame:
     return up.select("node", "value", "hops")
 
 
-def propagate(edges: DataFrame, roots: DataFrame, links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, roots: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """node, type of all that typed roots (node, type) reach: an edge (src, key, dst) gives its target the type that
     links (type, key, child) states for it; key '*' holds for all keys without a link of their own. A node may have
-    several types; each pair is visited once."""
+    several types; each pair is visited once. Paths of more than max_rounds steps, if that is given, are an error."""
     e = written(edges.select("src", "key", "dst"), "edges")
     named = links.select(F.col("type").alias("t"), F.col("key").alias("k"), F.col("child").alias("named"))
     star = links.where("key = '*'").select(F.col("type").alias("st"), F.col("child").alias("any"))
     new = written(roots.select("node", "type").distinct(), "typed")
-    seen = new
-    for _ in range(max_rounds):
+    parts, k = [new], 0
+    while True:
+        k += 1
         j = new.join(e, new.node == e.src).join(named, (F.col("type") == F.col("t")) & (F.col("key") == F.col("k")), "left").join(star, F.col("type") == F.col("st"), "left")
         step = j.select(F.col("dst").alias("node"), F.coalesce("named", "any").alias("type")).where("type is not null").distinct()
-        new = written(step.join(seen, ["node", "type"], "left_anti"), "typed")
+        new = written(step.join(_union(parts), ["node", "type"], "left_anti"), "typed")
         if not new.limit(1).count():
-            return seen
-        seen = seen.unionByName(new)
-    return seen
+            return _union(parts)
+        if max_rounds is not None and k > max_rounds:
+            raise RuntimeError(f"paths of more than {max_rounds} steps")
+        parts = _found(parts, new, "typed")
 
 
 def page_index(tree: DataFrame, max_depth: int = 64) -> DataFrame:

@@ -64,6 +64,19 @@ def test_closure_over_cycles(spark):
     assert sorted(tuple(r) for r in one.select("k", "v").collect()) == [(1, "b"), (2, "c")]
 
 
+def test_walks_go_on_to_the_fixpoint(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MERGED_ROUNDS", 3)
+    e = spark.createDataFrame([(k, "k", k + 1) for k in range(9)] + [(9, "k", 4)], "src bigint, key string, dst bigint")
+    root = spark.createDataFrame([(0, "A")], "node bigint, type string")
+    links = spark.createDataFrame([("A", "*", "A")], "type string, key string, child string")
+    assert sorted(tuple(r) for r in graph.closure(e, root).collect()) == [(0, k, k) for k in range(10)]
+    assert sorted(tuple(r) for r in graph.propagate(e, root, links).collect()) == [(k, "A") for k in range(10)]
+    assert graph.closure(e, root, max_rounds=9).count() == graph.propagate(e, root, links, max_rounds=9).count() == 10
+    for walk in (lambda: graph.closure(e, root, max_rounds=8), lambda: graph.propagate(e, root, links, max_rounds=8)):
+        with pytest.raises(RuntimeError):  # and no partial result
+            walk()
+
+
 def test_repair_stops(spark):
     state = spark.createDataFrame([(1, 0), (2, 2), (3, 9), (4, -1)], "file_id bigint, n int")  # 4 can't be mended
     evaluate = lambda s: s.where("n <> 0").select("file_id", F.explode(F.when(F.col("n") < 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.col("n")))).alias("check_id"))
