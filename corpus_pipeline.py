@@ -20,8 +20,10 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a language that stands out. The model learns from docs."""
-    p = language.predicted(spark, language.train(docs), F.col("text").cast("string"))
-    return docs.withColumn("_language", p).where((F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_SCORE)).drop("_language")
+    d = docs.withColumn("_key", language.text_key(F.col("text")))
+    p = language.predictions(d.select(F.col("_key").alias("key"), F.col("text").cast("string").alias("text")), language.train(docs))
+    chosen = p.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(F.col("key").alias("_key")).distinct()
+    return d.join(chosen, "_key", "left_semi").drop("_key")
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

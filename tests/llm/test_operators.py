@@ -217,6 +217,22 @@ def test_language(spark, awkward):
     assert rows(language.identify(awkward.limit(0))) == []
 
 
+def test_language_uses_all_counts(spark, monkeypatch):
+    rng = random.Random(6)
+    make = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 7)))
+    data = [(k, " ".join(make("abcdefg" if k % 5 else "cdefghi") for _ in range(rng.randint(0, 15))), "hot" if k % 5 else "small") for k in range(200)]
+    data += [(500, "zzzz \u00df", None), (501, data[0][1], None), (None, None, "hot"), (502, "12", "hot")]
+    d = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    predict = language.train(d).predictor()
+    want = Counter((k, predict(t)[0]) for k, t, _ in data)
+    scores = {k: predict(t)[1] for k, t, _ in data}
+    for bound in (10**6, 20, 0):  # all words sent, some, none
+        monkeypatch.setattr(language, "MODEL_WORDS", bound)
+        got = rows(language.identify(d))
+        assert Counter((k, p) for k, _, p, _ in got) == want
+        assert all(abs(s - scores[k]) < 1e-4 for k, _, _, s in got)
+
+
 def test_language_model_by_hand():
     class R:
         def __init__(self, lang, item, n):
