@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rounds after which what was found becomes one table, as a plan over very many is slow.
 MERGED_ROUNDS = 20
+#: Levels of a page tree below its root beyond which it is an error.
+MAX_TREE_DEPTH = 1 << 16
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -106,19 +108,21 @@ def propagate(edges: DataFrame, roots: DataFrame, links: DataFrame, max_rounds:
         parts = _found(parts, new, "typed")
 
 
-def page_index(tree: DataFrame, max_depth: int = 64) -> DataFrame:
-    """node, page: leaves of a tree (node, parent, pos) numbered from 1 in the order of their paths."""
+def page_index(tree: DataFrame, max_depth: int = MAX_TREE_DEPTH) -> DataFrame:
+    """node, page: leaves of a tree (node, parent, pos) numbered from 1 in the order of their paths. A tree with more
+    than max_depth levels below its root is an error."""
     t = written(tree.select("node", "parent", "pos"), "tree")
     level = t.where("parent is null").select("node", F.array("pos").alias("path"))
-    parts = [level]
-    for _ in range(max_depth):
+    parts, depth = [level], 0
+    while True:
         level = written(t.alias("c").join(level.select(F.col("node").alias("up"), "path"), F.col("c.parent") == F.col("up")).select("c.node", F.concat("path", F.array("c.pos")).alias("path")), "paths")
         if not level.limit(1).count():
             break
-        parts.append(level)
-    paths = parts[0]
-    for p in parts[1:]:
-        paths = paths.unionByName(p)
+        depth += 1
+        if depth > max_depth:
+            raise RuntimeError(f"a tree of more than {max_depth} levels")
+        parts = _found(parts, level, "paths")
+    paths = _union(parts)
     leaves = paths.join(t.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     # ordered by range, then numbered within ranges from the ranges' counts
     ordered = written(leaves.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()), "leaves")

@@ -77,6 +77,13 @@ def test_walks_go_on_to_the_fixpoint(spark, monkeypatch):
             walk()
 
 
+def test_pages_of_a_deep_tree(spark):
+    tree = spark.createDataFrame([(0, None, 0)] + [(k, k - 1, 0) for k in range(1, 71)] + [(100, 0, 1)], "node bigint, parent bigint, pos bigint")
+    assert sorted(tuple(r) for r in graph.page_index(tree).collect()) == [(70, 1), (100, 2)]
+    with pytest.raises(RuntimeError):
+        graph.page_index(tree, max_depth=5)
+
+
 def test_repair_stops(spark):
     state = spark.createDataFrame([(1, 0), (2, 2), (3, 9), (4, -1)], "file_id bigint, n int")  # 4 can't be mended
     evaluate = lambda s: s.where("n <> 0").select("file_id", F.explode(F.when(F.col("n") < 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.col("n")))).alias("check_id"))
