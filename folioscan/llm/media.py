@@ -98,33 +98,88 @@ def _packets(media: bytes) -> np.ndarray:
     return p
 
 
-def _table(packet: bytes, table: int) -> bytes:
-    start = 5 + packet[4]
-    length = (packet[start + 1] & 15) << 8 | packet[start + 2]
-    section = packet[start : start + 3 + length]
-    if section[0] != table or crc32_mpeg(section):
-        raise ValueError("a damaged program table")
-    return section[8:-4]
+def _section_of(packets: np.ndarray, table: int) -> bytes:
+    """The body of the first section of a table, which may go over several packets of its PID. What follows it in its
+    last packet must be stuffing."""
+    data, size = b"", None
+    for p in packets:
+        if not p[3] >> 4 & 1:  # no payload
+            continue
+        at, raw = 4 + (1 + int(p[4]) if p[3] >> 5 & 1 else 0), p.tobytes()
+        if raw[1] & 0x40:
+            if data:
+                break
+            at += 1 + (raw[at] if at < PACKET else 0)
+        elif not data:
+            continue
+        data += raw[at:]
+        if size is None and len(data) >= 3:
+            size = 3 + ((data[1] & 15) << 8 | data[2])
+        if size is not None and len(data) >= size:
+            section = data[:size]
+            if section[0] != table or size < 12 or crc32_mpeg(section) or data[size:].strip(b"\xff"):
+                break
+            return section[8:-4]
+    raise ValueError("a missing or damaged program table")
+
+
+def _programs(pat: bytes) -> list[tuple[int, int]]:
+    """Number and map PID of each program; number 0 is the network's."""
+    found = [struct.unpack_from(">HH", pat, k) for k in range(0, len(pat) - 3, 4)]
+    return [(n, pid & 0x1FFF) for n, pid in found if n]
+
+
+def _streams(pmt: bytes) -> list[tuple[int, int]]:
+    """Type and PID of each elementary stream of a program map."""
+    at, out = 4 + (struct.unpack_from(">H", pmt, 2)[0] & 0xFFF), []
+    while at + 5 <= len(pmt):
+        kind, pid, more = struct.unpack_from(">BHH", pmt, at)
+        out.append((kind, pid & 0x1FFF))
+        at += 5 + (more & 0xFFF)
+    return out
+
+
+def _continuity(p: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which packets of a stream aren't permitted repetitions, and how many counters don't follow. A packet may be sent
+    twice in a row; a packet without payload keeps the counter; a stated discontinuity is none of these errors."""
+    control, n = p[:, 3] >> 4 & 3, len(p)
+    has = (control & 1).astype(bool)
+    at = np.flatnonzero(has)
+    again = np.zeros(n, bool)
+    if len(at) > 1:
+        a, b = p[at[:-1]], p[at[1:]]
+        same = (a == b)
+        clock = (control[at[1:]] & 2 > 0) & (b[:, 4] >= 7) & (b[:, 5] & 0x10 > 0)
+        same[:, 6:12] |= clock[:, None]  # the clock reference may be another
+        again[at[1:]] = same.all(axis=1)
+        twice = again[at[1:]] & np.append(False, again[at[1:]][:-1])
+        again[at[1:][twice]] = False  # a third is an error
+    kept = at[~again[at]]
+    counters = (p[kept, 3] & 15).astype(np.int64)
+    stated = (control[kept] & 2 > 0) & (p[kept, 4] > 0) & (p[kept, 5] & 0x80 > 0)
+    return ~again, int((((counters[1:] - counters[:-1]) % 16 != 1) & ~stated[1:]).sum())
 
 
 def read_ts(media: bytes) -> dict:
     """program, pid, stream_type, packets, payload, pts (of each elementary packet), random_access (byte offsets of
-    the payload at which decoding can start) and counter_errors (packets whose continuity counter doesn't follow)."""
+    the payload at which decoding can start) and counter_errors (packets whose continuity counter doesn't follow) of
+    the first elementary stream of the first program. A stream without whole packets or tables is a ValueError."""
     p = _packets(media)
     pid = (p[:, 1].astype(np.int64) & 31) << 8 | p[:, 2]
-    pat = _table(p[np.flatnonzero(pid == PAT_PID)[0]].tobytes(), 0)
-    program, pmt_pid = struct.unpack(">HH", pat[:4])
-    pmt = _table(p[np.flatnonzero(pid == (pmt_pid & 0x1FFF))[0]].tobytes(), 2)
-    skip = 4 + (struct.unpack(">H", pmt[2:4])[0] & 0xFFF)
-    kind, es = struct.unpack(">BH", pmt[skip : skip + 3])
-    es &= 0x1FFF
+    programs = _programs(_section_of(p[pid == PAT_PID], 0))
+    if not programs:
+        raise ValueError("a stream without a program")
+    program, pmt_pid = programs[0]
+    streams = _streams(_section_of(p[pid == pmt_pid], 2))
+    if not streams:
+        raise ValueError("a program without an elementary stream")
+    kind, es = streams[0]
     p = p[pid == es]
+    kept, errors = _continuity(p)
+    p = p[kept]
     control = p[:, 3] >> 4 & 3
-    has = (control & 1).astype(bool)
-    counters = (p[:, 3] & 15)[has].astype(np.int64)
-    errors = int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
     offset = np.where(control & 2, 5 + p[:, 4].astype(np.int64), 4)
-    offset = np.where(has, offset, PACKET)
+    offset = np.where(control & 1, offset, PACKET)
     if (offset > PACKET).any():
         raise ValueError("an adaptation field beyond its packet")
     random = ((control & 2) > 0) & (p[:, 4] > 0) & ((p[:, 5] & 0x40) > 0)
@@ -135,7 +190,7 @@ def read_ts(media: bytes) -> dict:
     parts, pts, points, size = [], [], [], 0
     for k, at in enumerate(starts.tolist()):
         end = int(starts[k + 1]) if k + 1 < len(starts) else len(data)
-        if data[at : at + 3] != b"\0\0\1":
+        if data[at : at + 3] != b"\0\0\1" or end - at < 9:
             raise ValueError("an elementary packet without its start code")
         length = struct.unpack(">H", data[at + 4 : at + 6])[0]
         body = at + 9 + data[at + 8]
@@ -184,13 +239,18 @@ PARSED = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 st
 
 def parse_media(media: DataFrame) -> DataFrame:
     """Demultiplexes doc_id, n_bytes, media: digests of the payload as read back and of the stored bytes, the program,
-    the packets, the continuity errors, and the times and random-access points of the elementary packets."""
+    the packets, the continuity errors, and the times and random-access points of the elementary packets. A null media
+    has nulls and empty lists; bytes that are no transport stream are an error. Repeated rows give repeated rows, no
+    rows none; other columns are ignored."""
 
     def demux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, n_bytes, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 m = m.as_py()
+                if m is None:
+                    rows.append({"doc_id": doc_id, "n_bytes": n_bytes, "pts": [], "random_access": []})
+                    continue
                 r = read_ts(m)
                 payload = r.pop("payload")
                 rows.append({"doc_id": doc_id, "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest()} | r)
@@ -209,4 +269,4 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "program", "pid", "stream_type", "packets", F.size("pts"), F.element_at("pts", 1), F.element_at("pts", -1),
         F.concat_ws(",", F.transform("random_access", lambda x: x.cast("string"))), "counter_errors",
     )
-    return r.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return r.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "pts", "random_access")

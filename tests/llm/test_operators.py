@@ -395,19 +395,78 @@ def test_transport_stream(n):
 def test_lost_packets_and_damage_are_seen():
     ts = media.write_ts(bytes(5000))
     assert media.read_ts(ts[: 188 * 5] + ts[188 * 6 :])["counter_errors"] == 1
-    for bad in (ts[1:], b"\0" + ts[1:], ts[:30] + b"\0" + ts[:10] + ts[41:]):
-        with pytest.raises((ValueError, IndexError)):
+    for bad in (ts[1:], b"\0" + ts[1:], ts[:30] + b"\0" + ts[:10] + ts[41:], b"", ts[:188], ts[188:], ts[:12] + b"\1" + ts[13:]):
+        with pytest.raises(ValueError):
             media.read_ts(bad)
     assert media.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
-def test_media(awkward):
+def test_repeated_packets_and_stated_discontinuities_are_no_errors():
+    payload = random.Random(0).randbytes(5000)
+    ts = media.write_ts(payload)
+    packets = [ts[k : k + 188] for k in range(0, len(ts), 188)]
+    for k in (2, 4):  # the first has a clock reference, which the repetition may renew
+        again = bytearray(packets[k])
+        if k == 2:
+            again[8] ^= 1
+        r = media.read_ts(b"".join(packets[: k + 1]) + bytes(again) + b"".join(packets[k + 1 :]))
+        assert r["payload"] == payload and r["counter_errors"] == 0
+        r = media.read_ts(b"".join(packets[: k + 1]) + bytes(again) + packets[k] + b"".join(packets[k + 1 :]))
+        assert r["counter_errors"] == 1
+    only_field = bytes([0x47, 0x01, 0, 0x20, 183, 0]) + b"\xff" * 182  # no payload: the counter stays
+    assert media.read_ts(b"".join(packets[:4]) + only_field + b"".join(packets[4:]))["payload"] == payload
+    jump = [bytes([*p[:3], p[3] & 0xF0 | (p[3] + 5) & 15, *p[4:]]) for p in packets[3:]]
+    assert media.read_ts(b"".join(packets[:3] + jump))["counter_errors"] == 1
+    units = media.write_ts(bytes(20000))
+    cut = next(k for k in range(188 * 3, len(units), 188) if units[k + 1] & 0x40)
+    stated = bytearray(units[cut:])
+    stated[5] |= 0x80
+    for k in range(0, len(stated), 188):
+        stated[k + 3] = stated[k + 3] & 0xF0 | (stated[k + 3] + 5) & 15
+    assert media.read_ts(units[:cut] + bytes(stated))["counter_errors"] == 0
+
+
+def slow_ts(ts):
+    """The first stream of a transport stream by the book, a byte at a time."""
+    out, pts, points, unit = b"", [], [], None
+    for k in range(376, len(ts), 188):
+        p = ts[k : k + 188]
+        at = 5 + p[4] if p[3] & 0x20 else 4
+        body = p[at:]
+        if p[1] & 0x40:
+            assert body[:4] == b"\0\0\1\xbd"
+            t = body[9:14]
+            pts.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
+            if p[3] & 0x20 and p[5] & 0x40:
+                points.append(len(out))
+            body = body[9 + body[8] :]
+        out += body
+    return out, pts, points
+
+
+def test_media(spark, awkward, tmp_path):
     from tests.llm.conftest import AWKWARD
 
     got = media.parse_media(media.add_media(awkward)).collect()
     want = Counter((k, len(raw := (t or "").encode()), hashlib.sha256(raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)).hexdigest()) for k, t, *_ in AWKWARD)
     assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in got) == want
     assert media.add_media(awkward.limit(0)).count() == 0
+    none = media.parse_media(spark.createDataFrame([(1, 2, None)], "doc_id bigint, n_bytes bigint, media binary")).first()
+    assert none.pts == [] and none.payload_sha256 is None
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter()
+    for r in media.op8_media(spark, str(tmp_path)).collect():
+        got[r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, tuple(r.pts), tuple(r.random_access)] += 1
+    want = Counter()
+    for k, t, *_ in AWKWARD:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (576 - len(raw) % 576 if not raw or len(raw) % 576 else 0)
+        ts = media.write_ts(payload)
+        out, pts, points = slow_ts(ts)
+        assert out == payload
+        feature = f"ts;program=1;pid=256;type=6;packets={len(ts) // 188 - 2};units={len(pts)};first_pts={pts[0]};last_pts={pts[-1]};random_access={','.join(map(str, points))};errors=0"
+        want[k, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(ts), hashlib.sha256(ts).hexdigest(), feature, tuple(pts), tuple(points)] += 1
+    assert got == want
 
 
 # 9
