@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows that one task numbers at most, about; more rows make more ranges.
 RANGE_ROWS = 1_000_000
+#: Ranges at most: what a task orders grows with the rows beyond MOST_RANGES times that many, and spills to disk.
+MOST_RANGES = 1 << 16
 #: At most this many keys can each hold more than 1/HOT_KEYS of the rows, which bounds what is broadcast.
 HOT_KEYS = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Only a local master, as in tests, may do without: it
+    gets a temporary one that goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("folioscan.scratch.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="folioscan-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="folioscan-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("folioscan.scratch.dir", base)
     return base.rstrip("/")
 
@@ -49,13 +61,21 @@ def schema(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, or with underscores before it, that no column of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def range_bounds(df: DataFrame, column: str, rows: int, rows_each: int = RANGE_ROWS) -> list:
-    """Values that cut an orderable numeric column into ranges of about rows_each rows."""
-    n = min(4096, rows // rows_each)
+    """Values that cut an orderable numeric column into ranges of about rows_each rows, at most MOST_RANGES."""
+    n = min(MOST_RANGES - 1, rows // rows_each)
     if n < 1:
         return []
     at = [(i + 1) / (n + 1) for i in range(n)]
-    got = df.agg(F.percentile_approx(column, at, 20_000)).first()[0] or []
+    got = df.agg(F.percentile_approx(column, at, max(20_000, 4 * n))).first()[0] or []
     return sorted({int(x) for x in got if x is not None})
 
 
@@ -71,10 +91,15 @@ def range_of(column: Column, bounds: list) -> Column:
         return F.when(column <= F.lit(bounds[mid]), cut(lo, mid)).otherwise(cut(mid + 1, hi))
 
     if len(bounds) <= 64:
-        found = cut(0, len(bounds))
-    else:
-        found = F.size(F.filter(F.lit(bounds), lambda b: b < column))
-    return F.when(column.isNull(), -1).otherwise(found)
+        return F.when(column.isNull(), -1).otherwise(cut(0, len(bounds)))
+    sorted_bounds = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def search(x: pd.Series, known: pd.Series) -> pd.Series:
+        at = np.searchsorted(sorted_bounds, x.to_numpy(np.int64), "left").astype(np.int32)
+        return pd.Series(np.where(known.to_numpy(bool), at, -1), dtype="int32")
+
+    return search(F.coalesce(column.cast("bigint"), F.lit(0)), column.isNotNull())
 
 
 def number_gapless(df: DataFrame, group: list[str], part: str, order: list[Column], name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize, number_gapless, only, read_table
+from folioscan.llm.common import HOT_KEYS, fresh, materialize, number_gapless, only, read_table
 
 #: Without stated weights a source weighs its size to this power.
 TEMPERATURE = 0.5
@@ -59,19 +59,28 @@ def with_distribution(r: DataFrame) -> DataFrame:
     return r.withColumn("below", F.aggregate(F.sequence(F.lit(1), top), start, step).below).drop("_mean")
 
 
-def repetitions(documents: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
-    """Adds rate and copies, the number of repetitions of each row, to a table with doc_id, text and source."""
+def _repeated(documents: DataFrame, weights: dict[str, float] | None, epochs: float, seed: str, rate: str, copies: str) -> DataFrame:
+    """The columns of documents, and the rate and the number of copies of each row under names of their own."""
     r = with_distribution(rates(documents, weights, epochs))
-    names = {c: f"_mix_{c}" for c in r.columns}
-    r = r.select(*[F.col(c).alias(n) for c, n in names.items()])
-    # the table of sources is broadcast only if it is small; else joined by shuffle
-    if r.count() <= 10_000:
-        r = F.broadcast(r)
-    d = documents.join(r, documents.source.eqNullSafe(F.col("_mix_source")))
+    names = {c: fresh(f"_mix_{c}", documents) for c in r.columns}
+    r = materialize(r.select(*[F.col(c).alias(n) for c, n in names.items()]), "rates")
+    source, size, draws, below = (names[c] for c in ("source", "size", "draws", "below"))
+    total = r.agg(F.sum(size)).first()[0] or 0
+    # fewer than HOT_KEYS sources hold more than this share each: they are sent to all tasks, the rest meet by source
+    hot = F.broadcast(r.where(F.col(size) > total / HOT_KEYS))
+    cold = r.where(F.col(size) <= total / HOT_KEYS)
     u = lambda k: (hashed(seed, F.col("doc_id"), k) + 0.5) / float(1 << BITS)
-    one = lambda k: F.size(F.filter(F.col("_mix_below"), lambda p: p <= u(k)))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("_mix_draws")), F.lit(0), lambda a, k: a + one(k))
-    return d.select(*documents.columns, F.col("_mix_rate").alias("rate"), copies.alias("copies"))
+    one = lambda k: F.size(F.filter(F.col(below), lambda p: p <= u(k)))
+    number = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, k: a + one(k)).alias(copies)
+    out = [documents[c] for c in documents.columns]
+    parts = [documents.join(t, documents.source.eqNullSafe(t[source])).select(*out, F.col(names["rate"]).alias(rate), number) for t in (hot, cold)]
+    return parts[0] if cold.limit(1).count() == 0 else parts[0].unionByName(parts[1])
+
+
+def repetitions(documents: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
+    """Adds rate and copies, the number of repetitions of each row, to a table with doc_id, text and source. Columns of
+    the input with these names are replaced."""
+    return _repeated(documents.drop("rate", "copies"), weights, epochs, seed, "rate", "copies")
 
 
 def in_order(repeated: DataFrame, seed: str = SEED) -> DataFrame:
@@ -95,11 +104,13 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, epochs: f
 
 
 def shuffled(documents: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The copies of mix() in the columns of documents alone, in partitions by ranges of the global order."""
-    d = repetitions(documents, weights, epochs, seed).where("copies > 0")
-    d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    d = d.withColumn("_key", hashed(seed, F.col("doc_id"), "copy", F.col("_copy")))
-    return d.repartitionByRange("_key").sortWithinPartitions("_key", "_copy").select(*documents.columns)
+    """The copies of mix() in the columns of documents alone, whatever their names, in partitions by ranges of the
+    global order. Nulls, ties and empty tables are as in mix()."""
+    rate, copies, copy, key = (fresh(f"_mix_{x}", documents) for x in ("rate", "copies", "copy", "key"))
+    d = _repeated(documents, weights, epochs, seed, rate, copies).where(F.col(copies) > 0)
+    d = d.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    d = d.withColumn(key, hashed(seed, F.col("doc_id"), "copy", F.col(copy)))
+    return d.repartitionByRange(F.col(key)).sortWithinPartitions(key, copy).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

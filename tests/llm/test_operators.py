@@ -312,11 +312,35 @@ def test_mixing(spark, awkward):
         out[r.source] += len(r.text) + 1
     assert set(out) == {"s0", "s3"} and 2.6 < out["s3"] / out["s0"] < 3.4
     assert Counter(mixing.shuffled(d).select("doc_id").toPandas()["doc_id"]) == copies
-    assert mixing.mix(awkward).count() >= 0 and mixing.mix(awkward.limit(0)).count() == 0
+    got = Counter(r.doc_id for r in mixing.mix(awkward).collect())
+    from tests.llm.conftest import AWKWARD
+
+    size = Counter()
+    for _, t, _, s in AWKWARD:
+        size[s] += len(t or "") + 1
+    want = Counter()
+    for k, _, _, s in AWKWARD:
+        mean = sum(size.values()) * size[s] ** 0.5 / sum(n**0.5 for n in size.values()) / size[s]
+        u = (int(hashlib.md5(f"mix:{'null' if k is None else k}:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        n = 0
+        while sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(n + 1)) <= u:
+            n += 1
+        want[k] += n
+    assert got == +want and mixing.mix(awkward.limit(0)).count() == 0
+    assert Counter(r.doc_id for r in mixing.shuffled(awkward).collect()) == got
     one = mixing.mix(spark.createDataFrame([(1, "s", "x")] * 2 + [(2, None, None)], "doc_id bigint, source string, text string"), {"s": 1.0}, epochs=400.0).collect()
     assert len({r.doc_id for r in one}) == 1 and 500 < len(one) < 1500  # means over LARGEST_MEAN
 
 
+def test_mixing_of_hot_and_rare_sources(spark, monkeypatch):
+    data = [(k, f"s{k if k % 3 else 0}", "x" * (k % 50)) for k in range(600)] + [(700, None, "y")]
+    d = spark.createDataFrame(data, "doc_id bigint, source string, text string")
+    want = Counter(rows(mixing.repetitions(d)))
+    for hot in (1, 5, 10**6):  # one source is sent, or all are
+        monkeypatch.setattr(mixing, "HOT_KEYS", hot)
+        assert Counter(rows(mixing.repetitions(d))) == want
+
+
 # 7
 
 

@@ -1,10 +1,12 @@
 """The stages of the pipeline, each on its own input, and the whole of it."""
 
+import hashlib
+import math
 import random
 from collections import Counter
 
 import corpus_pipeline
-from folioscan.llm import language, mixing, packing, quality, simhash
+from folioscan.llm import language, packing, quality, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,6 +33,26 @@ def rows(df):
     return Counter(tuple(r) for r in df.collect())
 
 
+def slow_copies(found):
+    """How often each row stays, by the Poisson distribution of its source's rate."""
+    size = Counter()
+    for r in found:
+        size[r.source] += len(r.text) + 1
+    weight = {k: n**0.5 for k, n in size.items()}
+    out = Counter()
+    for r in found:
+        rate = sum(size.values()) * weight[r.source] / sum(weight.values()) / size[r.source]
+        u = (int(hashlib.md5(f"mix:{'null' if r.doc_id is None else r.doc_id}:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        n, p = 0, math.exp(-rate)
+        below = p
+        while below <= u:
+            n += 1
+            p *= rate / n
+            below += p
+        out[tuple(r)] += n
+    return out
+
+
 def test_stages(spark, tmp_path):
     docs, sf = corpus(spark, tmp_path)
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -55,7 +77,7 @@ def test_stages(spark, tmp_path):
     assert not {r[0] for r in rows(out)} & {240 + k for k in range(20)}
     # mixing: each document as often as its draw says
     docs = spark.createDataFrame(out.collect(), out.schema)
-    times = Counter({tuple(r[:5]): r.copies for r in mixing.repetitions(docs).collect()})
+    times = slow_copies(docs.collect())
     out = corpus_pipeline.mix_sources(spark, docs, sf)
     assert out.columns == COLUMNS and rows(out) == Counter({k: n for k, n in times.items() if n})
     # packing: every token of every copy has a place
@@ -66,6 +88,26 @@ def test_stages(spark, tmp_path):
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
 
 
+def clashing(df):
+    """Further columns with the names that stages and operators use themselves."""
+    return df.selectExpr("*", "1 as rate", "2 as copies", "'c' as copy", "'k' as _key", "'h' as _hash", "3 as _id", "4 as _chosen", "5 as _mix_rate", "6 as _mix_source", "7 as key", "'l' as _language", "8 as text_hash", "true as keep", "'x' as class_id")
+
+
+def test_stages_on_clashing_columns_and_empty_tables(spark, tmp_path):
+    docs, sf = corpus(spark, tmp_path)
+    more = clashing(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        plain, got = stage(spark, docs, sf), stage(spark, more, sf)
+        if name != "packing":
+            assert got.columns == more.columns
+            assert rows(got) == rows(clashing(plain))
+            assert rows(got.select("rate", "_hash", "_key", "_mix_rate")) == Counter({(1, "h", "k", 5): sum(rows(plain).values())})
+        else:
+            assert rows(got.select("doc_id", "piece", "length", "ids_crc32")) == rows(plain.select("doc_id", "piece", "length", "ids_crc32"))
+        none = stage(spark, more.limit(0), sf)
+        assert none.count() == 0
+
+
 def test_run_is_its_stages(spark, tmp_path):
     docs, sf = corpus(spark, tmp_path)
     got = corpus_pipeline.run(spark, sf)
