@@ -2,9 +2,9 @@
 
 A sequence has three capacities: tokens, documents and attention cost (the sum of the squared lengths of its pieces).
 All three are functions of a piece's length, so the plan is made from the histogram of lengths, which has at most
-`capacity` entries whatever the size of the corpus: sequences with equal residuals form one group, and a class of equal
-lengths is laid over a group as a run. A piece then finds its place by its length and its rank among the pieces of
-that length. The plan is the one that best fit gives for all pieces of all tasks together.
+`capacity` entries whatever the size of the corpus: sequences with equal residuals form one group, and the pieces of a
+length fill a group's sequences one after the other. A piece then finds its place by its length and its rank among the
+pieces of that length. The plan is the one that best fit gives piece by piece, longest first.
 """
 
 from __future__ import annotations
@@ -31,15 +31,26 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 @lru_cache(2)
 def encoding(path: str | None):
-    """The byte-level BPE of a rank file, which gives the ids of byte_bpe_50k.json."""
+    """The byte-level BPE of a rank file with the added tokens of the tokenizer file beside it, so that it gives the
+    ids of byte_bpe_50k.json without its special tokens around the text."""
     import base64
+    import json
+    from pathlib import Path
 
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
+    path = path or public_tokenizers.path(VOCABULARY)
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    beside = Path(path).with_suffix(".json")
+    added = {t["content"]: t["id"] for t in json.loads(beside.read_text())["added_tokens"]} if beside.exists() else {}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def encode(text: str, path: str | None = None) -> list[int]:
+    """The ids of a text; an added token that is written in it is one id."""
+    return encoding(path).encode(text, allowed_special="all", disallowed_special=())
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -51,36 +62,41 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenize(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the pieces of each document."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.array([*enc.encode_ordinary(text.as_py() or ""), END_ID], "<u4")
+                ids = np.array([*encode(text.as_py() or "", path), END_ID], "<u4")
                 rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut(len(ids), capacity))]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return only(documents, doc_id="bigint", text="string").mapInArrow(encode, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return only(documents, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, max_cost: float = MAX_COST, rule: str = "norm", weights: tuple = WEIGHTS) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (length, first rank, count, each, first sequence, offset): the count pieces of a length from that rank on
+    go to consecutive sequences, `each` of them to one after another from that offset on.
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, max_cost: float = MAX_COST, rule: str = "norm", weights: tuple = WEIGHTS) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, count, first sequence, offset): the count pieces of a length from that rank on go to
-    as many consecutive sequences, at that offset.
+    Lengths are taken in descending order. Each piece goes to the sequence that it fits under all capacities and that
+    the rule prefers: `norm`, the least weighted norm of what remains free; `dot`, the greatest weighted dot product of
+    its demand and the free capacities; of equals to the first sequence opened. If it fits none, one is opened. A piece
+    that fits no empty sequence is an error.
 
-    Lengths are taken in descending order. Each goes to the group of sequences that it fits under all capacities and
-    that the rule prefers: `norm`, the least weighted norm of what remains free; `dot`, the greatest weighted dot
-    product of its demand and the free capacities. If it fits none, sequences are opened. A piece that fits no empty
-    sequence is an error.
+    Under `norm` a sequence that took a piece is preferred for the next of this length as long as it fits, and a newly
+    opened one is the only one that fits under either rule. Under `dot` a sequence that took a piece comes after its
+    group. So whole groups are filled at once, and the result is that of single pieces.
     """
     caps = np.array([capacity, max_documents, max_cost], float)
     w = np.array(weights, float)
-    # groups: free tokens, documents, cost (all as shares), sequences, first sequence; emptied ones are reused
+    # groups: free tokens, documents, cost, sequences, first sequence, tokens used; emptied ones are reused
     free, many, first, used = np.zeros((64, 3)), np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros(64, np.int64)
     size, spare, runs, opened = 0, [], [], 0
 
     def add(state: np.ndarray, n: int, at: int, tokens: int) -> None:
         nonlocal free, many, first, used, size
+        if not n:
+            return
         if spare:
             g = spare.pop()
         else:
@@ -103,21 +119,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_documents: int
                 else:
                     score = ((((free[at] - need) / caps) ** 2) * w).sum(axis=1)
                 g = int(at[np.lexsort((first[at], score))[0]])
-                n = min(rest, int(many[g]))
-                state, begin, offset = free[g] - need, int(first[g]), int(used[g])
-                many[g] -= n
-                first[g] += n
+                state, begin, offset, here = free[g].copy(), int(first[g]), int(used[g]), int(many[g])
+                room = 1 if rule == "dot" else int((state // need).min())
+            else:
+                state, begin, offset = caps.copy(), opened, 0
+                room = int((caps // need).min())
+                here = -(-rest // room)
+                opened += here
+                g = None
+            full, over = min(here, rest // room), 0
+            if full < here:
+                over = rest - full * room  # of one sequence more, fewer than room
+            touched = full + (over > 0)
+            if g is not None:
+                many[g] -= touched
+                first[g] += touched
                 if not many[g]:
                     spare.append(g)
-            else:
-                n, state, begin, offset = rest, caps - need, opened, 0
-                if (room := int(min(capacity // length, max_documents, max_cost // (length * length)))) > 1:
-                    n = -(-rest // room)  # no more sequences than this length alone can fill
-                opened += n
-            runs.append((length, rank, n, begin, offset))
-            add(state, n, begin, offset + length)
-            rest -= n
-            rank += n
+            if full:
+                runs.append((length, rank, full * room, room, begin, offset))
+                add(state - room * need, full, begin, offset + room * length)
+            if over:
+                runs.append((length, rank + full * room, over, over, begin + full, offset))
+                add(state - over * need, 1, begin + full, offset + over * length)
+            rank += full * room + over
+            rest -= full * room + over
     return runs
 
 
@@ -131,14 +157,16 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, max_documents: int = MA
     pieces = materialize(tokenize(documents, capacity, path), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = sorted(plan(histogram, capacity, max_documents, max_cost, rule))
-    table = np.array(runs, np.int64).reshape(-1, 5)
+    table = np.array(runs, np.int64).reshape(-1, 6)
     starts = table[:, 0] << 44 | table[:, 1]
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def find(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         rank = rank.to_numpy(np.int64)
-        at = np.searchsorted(starts, length.to_numpy(np.int64) << 44 | rank, "right") - 1
-        return pd.DataFrame({"sequence_id": table[at, 3] + rank - table[at, 1], "offset": table[at, 4]})
+        length = length.to_numpy(np.int64)
+        at = np.searchsorted(starts, length << 44 | rank, "right") - 1
+        sequence, place = np.divmod(rank - table[at, 1], table[at, 3])
+        return pd.DataFrame({"sequence_id": table[at, 4] + sequence, "offset": table[at, 5] + place * length})
 
     bounds = range_bounds(pieces, "doc_id", sum(histogram.values()))
     pieces = pieces.withColumn("_part", range_of(F.col("doc_id"), bounds))

@@ -83,8 +83,7 @@ def test_stages(spark, tmp_path):
     # packing: every token of every copy has a place
     docs = spark.createDataFrame(out.collect(), out.schema)
     packed = corpus_pipeline.pack_sequences(spark, docs, sf).collect()
-    enc = packing.encoding(None)
-    assert sum(r.length for r in packed) == sum(len(enc.encode_ordinary(t)) + 1 for _, t, *_ in docs.collect())
+    assert sum(r.length for r in packed) == sum(len(packing.encode(t)) + 1 for _, t, *_ in docs.collect())
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
 
 
