@@ -313,15 +313,57 @@ def test_sharding(spark, awkward):
     assert rows(sharding.shard_documents(awkward.limit(0))) == []
 
 
+def slow_descent(key, shards, weights):
+    """The shard of one key from the levels of the tree."""
+    import math
+
+    digest = hashlib.md5(("null" if key is None else str(key)).encode()).hexdigest()
+    parts = [int(digest[8 * i : 8 * i + 8], 16) % sharding.PRIME for i in range(4)]
+
+    def draw(node, weight):
+        c = sharding.constant(node)
+        x = (((parts[0] * c + parts[1]) * c + parts[2]) * c + parts[3]) % sharding.PRIME
+        return -math.log((x + 0.5) / sharding.PRIME) / weight
+
+    weight = lambda s: weights.get(s, 1.0)
+    racks = defaultdict(list)
+    for s in range(shards):
+        racks[s // 4 if s < 40 else 40 + s].append(s)
+    regions = defaultdict(list)
+    for r in racks:
+        regions[r // 5 if r < 40 else r].append(r)
+    of_rack = lambda r: sum(weight(s) for s in racks[r])
+    region = min(regions, key=lambda g: draw((1 << 26) + g, sum(map(of_rack, regions[g]))) if len(regions) > 1 else 0)
+    rack = min(regions[region], key=lambda r: draw((1 << 27) + r, of_rack(r)))
+    return min(racks[rack], key=lambda s: draw(s, weight(s)))
+
+
+def test_descent_level_by_level(spark):
+    d = spark.createDataFrame([(k,) for k in [*range(600), None]], "doc_id bigint")
+    for shards, weights in ((40, {}), (41, {}), (23, {3: 2.5, 20: 0.5}), (43, {41: 4.0})):
+        got = sharding.place(d, "doc_id", shards, "s", weights).collect()
+        assert all(r.s == slow_descent(r.doc_id, shards, weights) for r in got)
+
+
 def test_weights_move_rows_inside_the_tree():
     import numpy as np
 
-    parts = [np.random.default_rng(6).integers(0, sharding.PRIME, 20000) for _ in range(4)]
+    parts = [np.random.default_rng(6).integers(0, sharding.PRIME, 60000) for _ in range(4)]
     before = sharding.descend(parts, sharding.tree(40))
     after = sharding.descend(parts, sharding.tree(40, {7: 3.0}))
-    assert (after[before != after] == 7).all() and 2.5 < (after == 7).sum() / (before == 7).sum() < 3.4
-    alone = np.stack([sharding.draws(parts, s, 1.0) for s in range(40)]).argmin(axis=0)
-    assert (alone == before).all()  # the descent finds the least draw of all
+    assert 2.6 < (after == 7).sum() / (before == 7).sum() < 3.4
+    region, rack = lambda s: s // 20, lambda s: s // 4
+    moved = before != after
+    # a row moves into the region or within it, and in it into the rack or within that
+    assert (region(after[moved]) == 0).all()
+    inside = moved & (region(before) == 0)
+    assert (rack(after[inside]) == 1).all() and (after[inside & (rack(before) == 1)] == 7).all()
+    assert moved.mean() < 0.12
+    none = sharding.descend(parts, sharding.tree(40, {7: 0.0}))
+    assert not (none == 7).any() and (region(before[before != none]) == 0).all()
+    for n in range(40, 45):  # one more takes rows into itself alone
+        a, b = (sharding.descend(parts, sharding.tree(k)) for k in (n, n + 1))
+        assert (b[a != b] == n).all() and 0.7 < (b == n).sum() * (n + 1) / 60000 < 1.3
 
 
 def test_sharding_by_more_parts(spark, monkeypatch):
