@@ -5,7 +5,10 @@ stream and a wrapper, are aligned level by level: tags that match are merged, a
 only one side has becomes optional, and neighbours that the merge made alike fold again. Every page of a host goes into
 its wrapper, but a task merges its own pages first, and what it passes on is as large as the template, not as the pages.
 The wrapper has the sums of text and of link text of each group, from which the groups with the article are chosen
-once for all pages of the host. Each page is then matched to its host's wrapper and gives the texts in those groups.
+once for all pages of the host; a text that is the same on all of them is the template's and not the article's.
+Each page is then matched to its host's wrapper and gives the texts in those groups.
+
+The walks go as deep as the pages: they are plain calls, for which only Python's own limit is raised.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -26,6 +30,9 @@ from folioscan.llm.common import materialize, read_table
 SENT_BYTES = 64 << 20
 #: Tags of a square that can fold; parts that a host's wrappers are merged in before they meet.
 SQUARE, SALTS = 3, 16
+#: Pages of a host from which on a text that all of them have is the template's, and the share of the chosen text that
+#: must be left.
+TEMPLATE_PAGES, LEAST_LEFT = 4, 0.5
 
 TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|</?[a-zA-Z][^<>]*\Z|[^<]+|<""", re.S
@@ -40,6 +47,7 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
 FLOW = set("p h1 h2 h3 h4 h5 h6 li dt dd tr td th blockquote pre figcaption".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = set("head nav footer aside form button dialog menu".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 BOILER = set(
@@ -52,8 +60,8 @@ CONTENT_CLASSES = set("articlebody article-body article-content entry-content po
 
 
 class Node:
-    """An element: its label, whether it repeats or is optional, pages, texts, characters, link characters and the
-    checksum of its text (None once it differed), and its children."""
+    """An element: its label, whether it repeats or is optional, pages, characters, link characters and the checksum of
+    its text (None for a slot, where pages differ), and its children."""
 
     __slots__ = ("label", "repeated", "optional", "pages", "chars", "links", "text", "kids", "into", "keep")
 
@@ -69,14 +77,39 @@ class Node:
         return n
 
     def dump(self) -> list:
-        return [self.label, int(self.repeated) | int(self.optional) << 1, self.pages, self.chars, self.links, self.text, [k.dump() for k in self.kids]]
+        """The groups in page order, each with the number of its children."""
+        out, stack = [], [self]
+        while stack:
+            n = stack.pop()
+            out.append([n.label, int(n.repeated) | int(n.optional) << 1, n.pages, n.chars, n.links, n.text, len(n.kids)])
+            stack += n.kids[::-1]
+        return out
 
 
 def load(x: list) -> Node:
-    n = Node(x[0], [load(k) for k in x[6]])
-    n.repeated, n.optional = bool(x[1] & 1), bool(x[1] & 2)
-    n.pages, n.chars, n.links, n.text = x[2:6]
-    return n
+    root, stack = None, []
+    depth = 0
+    for label, flags, pages, chars, links, text, kids in x:
+        n = Node(label)
+        n.repeated, n.optional = bool(flags & 1), bool(flags & 2)
+        n.pages, n.chars, n.links, n.text = pages, chars, links, text
+        if stack:
+            stack[-1][0].kids.append(n)
+            stack[-1][1] -= 1
+        else:
+            root = n
+        stack.append([n, kids])
+        depth = max(depth, len(stack))
+        while stack and not stack[-1][1]:
+            stack.pop()
+    allow(depth)
+    return root
+
+
+def allow(depth: int) -> None:
+    """Lets the walks go this deep."""
+    if sys.getrecursionlimit() < (most := 4 * depth + 2000):
+        sys.setrecursionlimit(most)
 
 
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
@@ -100,6 +133,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The page's tree and its blocks of text in order."""
     root = Node("#page")
     stack, names, blocks, buffer = [root], [""], [], []
+    opened: dict[str, int] = {}  # by name, of those in the stack
+    deepest = 0
     linked = link_chars = 0
 
     def flush() -> None:
@@ -117,6 +152,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 
     def close(upto: int) -> None:
         flush()
+        for x in names[upto:]:
+            opened[x] -= 1
         del stack[upto:], names[upto:]
 
     at, size, lower = 0, len(page), None
@@ -142,12 +179,13 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if tag == "br":
                 buffer.append(" ")
                 continue
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == tag:
-                    close(k)
-                    break
-            else:
+            if not opened.get(tag):
                 flush()
+                continue
+            k = len(names) - 1
+            while names[k] != tag:
+                k -= 1
+            close(k)
             continue
         if tag in RAW:
             if not attributes.rstrip().endswith("/"):
@@ -168,13 +206,14 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 buffer.append(" ")
             continue
         flush()
-        for k in range(len(names) - 1, 0, -1):  # a block ends an open paragraph
-            if names[k] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (names[k] == "p" or tag[0] == "h" and tag[1:].isdigit()):
+        ends_now = [x for x in (HEADINGS | {"p"} if tag in HEADINGS else {"p"}) if opened.get(x)]
+        for k in range(len(names) - 1, 0, -1) if ends_now else ():  # a block ends an open paragraph
+            if names[k] in ends_now:
                 close(k)
                 break
             if names[k] not in FLOW:
                 break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened.get(x) for x in CLOSES[tag][0]):
             ended, within = CLOSES[tag]
             k, found = len(names) - 1, None
             while k > 0 and names[k] not in within:
@@ -189,8 +228,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         stack[-1].kids.append(n)
         stack.append(n)
         names.append(tag)
+        opened[tag] = opened.get(tag, 0) + 1
+        deepest = max(deepest, len(names))
     close(1)
     flush()
+    allow(deepest)
     fold(root)
     return root, blocks
 
@@ -220,29 +262,36 @@ def absorb(a: Node, b: Node, same_page: bool) -> None:
         a.pages += b.pages
     a.chars += b.chars
     a.links += b.links
-    if a.text != b.text:
+    if a.text is None or b.text is None:
+        a.text = None
+    elif same_page:
+        a.text = crc32(b.text.to_bytes(4, "big"), a.text) if b.text else a.text
+    elif a.text != b.text:
         a.text = None
     b.into = a
     merge_kids(a, b.kids, same_page)
 
 
-def fold(n: Node, deep: bool = True) -> None:
-    """Folds the squares among the children, of one to SQUARE tags."""
-    if deep:
-        for k in n.kids:
-            fold(k)
-    kids = n.kids
-    for period in range(1, SQUARE + 1):
-        out: list[Node] = []
-        for k in kids:
-            out.append(k)
-            if len(out) >= 2 * period and all(alike(out[-2 * period + i], out[-period + i]) for i in range(period)):
-                if period == 1 or len({x.label for x in out[-period:]}) > 1:
-                    for x, y in zip(out[-2 * period : -period], out[-period:]):
-                        absorb(x, y, True)
-                    del out[-period:]
-        kids = out
-    n.kids = kids
+def fold(root: Node) -> None:
+    """Folds the squares among the children of each group, of one to SQUARE tags, the innermost first."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += n.kids
+    for n in reversed(order):
+        kids = n.kids
+        for period in range(1, SQUARE + 1):
+            out: list[Node] = []
+            for k in kids:
+                out.append(k)
+                if len(out) >= 2 * period and all(alike(out[-2 * period + i], out[-period + i]) for i in range(period)):
+                    if period == 1 or len({x.label for x in out[-period:]}) > 1:
+                        for x, y in zip(out[-2 * period : -period], out[-period:]):
+                            absorb(x, y, True)
+                        del out[-period:]
+            kids = out
+        n.kids = kids
 
 
 def merge_kids(a: Node, kids: list[Node], same_page: bool) -> None:
@@ -328,7 +377,9 @@ def decide(root: Node) -> None:
         if boilerplate(n.label, inside):
             return 0
         inside |= is_content(n.label)
-        total = max(0, n.chars - 2 * n.links) + sum(sums(k, inside) for k in n.kids)
+        total = max(0, n.chars - 2 * n.links)
+        for k in n.kids:
+            total += sums(k, inside)
         score[id(n)] = total
         return total
 
@@ -336,7 +387,10 @@ def decide(root: Node) -> None:
 
     def roots(n: Node) -> list[Node]:
         """The innermost groups marked as content that have most of the text of the outer ones."""
-        inner = [r for k in n.kids if score.get(id(k)) for r in roots(k)]
+        inner: list[Node] = []
+        for k in n.kids:
+            if score.get(id(k)):
+                inner += roots(k)
         if is_content(n.label) and 2 * sum(score[id(r)] for r in inner) < score[id(n)]:
             return [n]
         return inner
@@ -362,6 +416,18 @@ def decide(root: Node) -> None:
 
     for r in chosen:
         mark(r)
+    if root.pages >= TEMPLATE_PAGES:
+        kept, stack = [], [root]
+        while stack:
+            n = stack.pop()
+            stack += n.kids
+            if n.keep and n.chars:
+                kept.append(n)
+        same = [n for n in kept if n.text and n.pages >= root.pages]
+        # where little else would be left, the pages are copies of each other
+        if sum(n.chars for n in kept) - sum(n.chars for n in same) >= LEAST_LEFT * sum(n.chars for n in kept):
+            for n in same:
+                n.keep = False
 
 
 def match(wrapper: Node, page: Node, out: dict[int, Node]) -> None:
@@ -401,7 +467,7 @@ def match(wrapper: Node, page: Node, out: dict[int, Node]) -> None:
 
 def main_text(page: str | None, wrapper: Node | None = None) -> str:
     """The blocks of the article, joined by line feeds. Without a wrapper, or where it keeps nothing, the page is its
-    own wrapper."""
+    own wrapper. Nesting may be of any depth; of tags that don't match each ends what it can."""
     if not page:
         return ""
     root, blocks = parse(page)

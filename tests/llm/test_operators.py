@@ -50,6 +50,70 @@ def test_wrapper_folds_and_aligns():
     assert extract.load(a.dump()).dump() == a.dump()
 
 
+def test_extract_of_deep_pages(spark):
+    deep = ["<div>" * 100_000 + "<p>far down", "<li>" * 50_000 + "x" + "</ul></p>" * 1000, "<table><tr><td>" * 5000 + "cell", "</div>" * 100_000 + "<p>a", "<p>" * 100_000 + "one", "<blockquote><div>" * 20_000 + "q" + "</blockquote>" * 20_000 + "<p>end"]
+    want = ["far down", "x", "cell", "a", "one", "q\nend"]
+    assert [extract.main_text(p) for p in deep] == want
+    data = [(k, f"https://h/{k}", p) for k, p in enumerate(deep)] + [(10 + k, f"https://g{k}/", p) for k, p in enumerate(deep)]
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    for sent in (1 << 30, 0):
+        got = {r.page_id: r.text for r in extract.extract(df, sent_bytes=sent).collect()}
+        assert [got[10 + k] for k in range(6)] == want and len(got) == 12
+    node = extract.parse("<div>" * 3000 + "a")[0]
+    assert extract.load(node.dump()).dump() == node.dump()
+
+
+def unlabelled(k, rng):
+    """A page whose tags and classes tell nothing, and its article."""
+    sentence = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n)) + "."
+    title, body = sentence(5), [sentence(rng.randint(8, 30)) for _ in range(rng.randint(1, 5))]
+    notice = "<table><tr><td>This site keeps small files on your device so that the pages you see are the pages you like, and we ask you to agree to that before you go on reading what is here.</table>"
+    end = "<div><div>Every word on these pages was written by people whom we pay, so please think about whether a few coins a month could find their way from your purse to ours.</div></div>"
+    html = f"<html><body><div><div><a href=/>Home</a> <a href=/a>All</a></div>{notice}<div><h2>{title}</h2>" + "".join(f"<p>{x}</p>" for x in body) + f"</div>{end}</div></body></html>"
+    return html, "\n".join([title, *body])
+
+
+def test_the_wrapper_tells_the_template_from_the_article(spark):
+    rng = random.Random(12)
+    pages = [unlabelled(k, rng) for k in range(12)]
+    df = spark.createDataFrame([(k, f"https://same.org/{k}", h) for k, (h, _) in enumerate(pages)], "page_id bigint, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in extract.extract(df).collect()}
+    assert [got[k] for k in range(12)] == [t for _, t in pages]
+    assert all(extract.main_text(h) != t for h, t in pages)  # the page alone doesn't tell
+    # copies of one page are no template
+    df = spark.createDataFrame([(k, f"https://copies.org/{k}", PAGE.format(n=1)) for k in range(9)], "page_id bigint, url string, html string")
+    assert {r.text for r in extract.extract(df).collect()} == {extract.main_text(PAGE.format(n=1))}
+
+
+def slow_alignment(a, b):
+    """The weight of the best common subsequence of two lists of groups, by trying everything."""
+    if not a or not b:
+        return 0.0
+    best = max(slow_alignment(a[1:], b), slow_alignment(a, b[1:]))
+    if a[0].label == b[0].label:
+        p, q = {k.label for k in a[0].kids}, {k.label for k in b[0].kids}
+        best = max(best, 1 + (len(p & q) / len(p | q) if p or q else 1.0) + slow_alignment(a[1:], b[1:]))
+    return best
+
+
+def test_alignment_is_the_best(monkeypatch):
+    rng = random.Random(13)
+    make = lambda: [extract.Node(rng.choice("abc"), [extract.Node(rng.choice("xyz")) for _ in range(rng.randint(0, 2))]) for _ in range(rng.randint(1, 6))]
+    for _ in range(200):
+        a, b = make(), make()
+        if [x.label for x in a] == [x.label for x in b]:
+            continue
+        want, merged = slow_alignment(a, b), []
+        with monkeypatch.context() as m:
+            m.setattr(extract, "absorb", lambda x, y, same: merged.append((x, y)))
+            m.setattr(extract, "alike", lambda x, y: False)
+            root = extract.Node("r", list(a))
+            extract.merge_kids(root, list(b), False)
+        assert abs(sum(slow_alignment([x], [y]) for x, y in merged) - want) < 1e-9
+        assert len(root.kids) == len(a) + len(b) - len(merged)  # the rest stays, in order
+        assert [x for x in root.kids if any(x is y for y in a)] == a
+
+
 def test_extract_query(spark):
     data = [(k, f"https://h{k % 2}.org/{k}", PAGE.format(n=k)) for k in range(8)] + [(None, None, None), (3, "https://h1.org/3", PAGE.format(n=3)), (9, "", ""), (10, "x", "<p>" + "a " * 50000)]
     df = spark.createDataFrame(data, "page_id bigint, url string, html string").selectExpr("*", "'w' as wrapper", "1 as host", "2 as salt")
