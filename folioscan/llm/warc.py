@@ -183,12 +183,16 @@ def _member(w: _Window, at: int, probe: bool) -> tuple[bytes, int] | None:
         return None
 
 
-def read_range(file, start: int, stop: int) -> Iterator[tuple[int, dict]]:
-    """The records that start in [start, stop) of an open archive, with their places."""
-    w, at = _Window(file, start), start
+def read_range(file, start: int, stop: int, damage=None) -> Iterator[tuple[int, dict]]:
+    """The records that start in [start, stop) of an open archive, with their places. damage is called with the place of
+    each gap: where a member should follow the one before, or begin the file, and none does."""
+    w, at, follows = _Window(file, start), start, start == 0
     while at < stop:
         found = _member(w, at, True)
         if found is None:  # the next magic; a gap can only be at the start of a range, or in a damaged archive
+            if follows and damage and (at < w.at + len(w.data) or w.more()):
+                damage(at)
+            follows = False
             while True:
                 k = w.data.find(MAGIC, at + 1 - w.at)
                 if k >= 0:
@@ -201,26 +205,31 @@ def read_range(file, start: int, stop: int) -> Iterator[tuple[int, dict]]:
             continue
         data, end = found
         yield at, decode_record(data)
-        at = end
+        at, follows = end, True
         w.drop(at)
+    # the next range doesn't know that a member should start here
+    if follows and damage and (at < w.at + len(w.data) or w.more()) and _member(w, at, True) is None:
+        damage(at)
 
 
-def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, damaged=None) -> DataFrame:
     """The records of all archives (*.warc.gz) in a folder, read by byte ranges: page_id, url, record_type,
     payload_digest (hex SHA-256 of the full payload), payload_bytes (of the full payload), refers_to, payload (null
-    in revisits), and the path and start of the record. Bytes that are no valid member are passed over; a response
-    whose payload differs from its digest is an error. A folder without archives gives no rows.
+    in revisits), and the path and start of the record. Bytes that are no valid member are passed over, and each such
+    gap adds 1 to damaged, an accumulator of the context, if one is given; a response whose payload differs from its
+    digest is an error. A folder without archives gives no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("path", pa.string()), ("start", pa.int64())])
         files, _ = filesystem(folder)
+        tell = None if damaged is None else lambda _: damaged.add(1)
         for b in batches:
             for path, start, stop in zip(*(b.column(k).to_pylist() for k in range(3))):
                 rows: list[dict] = []
                 held = 0
                 with files.open_input_file(path) as f:
-                    for at, r in read_range(f, start, stop):
+                    for at, r in read_range(f, start, stop, tell):
                         rows.append(r | {"path": path, "start": at})
                         held += len(r["payload"] or b"") + 300
                         if held > 4 << 20:

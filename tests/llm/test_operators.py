@@ -747,3 +747,14 @@ def test_warc_range_owns_what_starts_in_it(tmp_path):
     for split in (1, 7, 100, 1000, len(data)):
         got = [r["page_id"] for s in range(0, len(data), split) for _, r in warc.read_range(io.BytesIO(data), s, min(len(data), s + split))]
         assert got == list(range(20))
+
+
+def test_warc_damage_is_counted(spark, tmp_path):
+    members = [warc.encode_record(k, "u", random.Random(k).randbytes(50 * k), hashlib.sha256(random.Random(k).randbytes(50 * k)).hexdigest(), None, False) for k in range(20)]
+    bad = members[12][:40] + b"zz" + members[12][42:]
+    (tmp_path / "a.warc.gz").write_bytes(b"junk" + b"".join(members[:5]) + b"noise" + b"".join(members[5:12]) + bad + b"".join(members[13:]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(members))
+    for split in (1 << 20, 1000, 100):
+        damaged = spark.sparkContext.accumulator(0)
+        got = [r.page_id for r in warc.read_warc(spark, f"file://{tmp_path}", split, damaged).collect()]
+        assert sorted(got) == sorted([*range(20), *(k for k in range(20) if k != 12)]) and damaged.value == 3
