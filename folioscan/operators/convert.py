@@ -431,7 +431,7 @@ def object_model(e: Editor) -> None:
             if k.later:
                 d.pop(k.key)
                 continue
-            kind = entry(v)["k"]
+            kind = entry(v).k
             bad = bool(k.types) and kind not in set().union(*[KINDS[t] for t in k.types])
             bad |= bool(k.enum) and kind in ("name", "int", "bool") and str(v if not isinstance(v, bool) else v).lower() not in [x.lower() for x in k.enum]
             if not bad and k.value_cond is not None and kind in ("int", "real"):

@@ -1,7 +1,7 @@
 """The rules as columns over the rows of folioscan.sources.pdf, and verify(), which evaluates a profile's.
 
-Rules over containers and operators are one projection: a scan of the rows evaluates all of them. Those that count over
-the operators of a stream use a window by stream. Only enabled rules become part of the plan.
+Rules over containers and operators are one projection: a scan of the rows evaluates all of them. Only enabled rules
+become part of the plan.
 """
 
 from __future__ import annotations
@@ -11,10 +11,8 @@ from functools import lru_cache
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioscan.operators.graph import written
-from folioscan.operators.results import results
 from folioscan.plans.catalog import Profile, check_by_name, profiles
 from folioscan.plans.object_model import model_findings
 from folioscan.sources.pdf import nodes
@@ -268,29 +266,33 @@ def _found(application: str, profile: Profile) -> Column:
     return F.concat(*parts) if parts else empty
 
 
-def evaluate(rows: DataFrame, profile: Profile) -> DataFrame:
-    """file_id, check_id, page of the issues that a profile's rules find in rows of nodes()."""
-    parts = [rows.select("file_id", F.explode(found(profile)).alias("check_id"), "page")]
+def _issues(profile: Profile) -> Column:
+    """The issues of a row of nodes(), an array of (check_id, page): what its rules find, and its faults."""
     enabled = {c.name: c.check_id for c in profile.checks()}
-    if enabled:
-        ids = F.create_map(*[x for k, v in enabled.items() for x in (F.lit(k), F.lit(v))])
-        faults = rows.where(F.size("faults") > 0).select("file_id", F.explode("faults").alias("f"))
-        parts.append(faults.select("file_id", ids[F.col("f.rule")].alias("check_id"), F.col("f.page").alias("page")).where("check_id is not null"))
-    if profile.has("GraphicsStateNesting"):
-        w = Window.partitionBy("file_id", "obj_num").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        q = rows.where("kind = 'op' and op in ('q', 'Q')").select("file_id", "obj_num", "seq", "page", "op", F.when(F.col("op") == "q", 1).otherwise(-1).alias("step"))
-        q = q.withColumn("sum", F.sum("step").over(w)).withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(w)))
-        parts.append(q.where("op = 'q' and depth > 28").select("file_id", F.lit(check_by_name("GraphicsStateNesting").check_id).alias("check_id"), "page"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("file_id", F.col("check_id").cast("int").alias("check_id"), F.col("page").cast("int").alias("page"))
-
-
-def verify(files: DataFrame, profile: Profile | str = "a_1b") -> tuple[DataFrame, DataFrame]:
-    """The issues (file_id, check_id, page) of files (file_id, content), and for each file whether it is valid. The
-    rows are written once, as every part of the plan reads them."""
+    kinds = "array<struct<check_id:int,page:int>>"
+    own = F.transform(found(profile), lambda k: F.struct(k.alias("check_id"), F.col("page").alias("page"))).cast(kinds)
+    if not enabled:
+        return own
+    ids = F.create_map(*[x for k, v in enabled.items() for x in (F.lit(k), F.lit(v))])
+    of = F.filter(F.transform("faults", lambda f: F.struct(ids[f.rule].alias("check_id"), f.page.alias("page"))), lambda x: x.check_id.isNotNull())
+    return F.when(F.size("faults") > 0, F.concat(own, of.cast(kinds))).otherwise(own)
+
+
+def evaluate(rows: DataFrame, profile: Profile) -> DataFrame:
+    """file_id, check_id, page of the issues that a profile's rules find in rows of nodes(), in one scan of them."""
+    return rows.select("file_id", F.explode(_issues(profile)).alias("i")).select("file_id", "i.check_id", "i.page")
+
+
+def file_results(rows: DataFrame, profile: Profile) -> DataFrame:
+    """file_id, valid, n_issues of the files of nodes(), in one scan of their rows."""
+    n = rows.select("file_id", F.size(_issues(profile)).alias("n")).groupBy("file_id").agg(F.sum("n").alias("n_issues"))
+    return n.select("file_id", (F.col("n_issues") == 0).alias("valid"), "n_issues")
+
+
+def verify(files: DataFrame, profile: Profile | str = "a_1b", reread: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The issues (file_id, check_id, page) of files (file_id, content), and for each file whether it is valid. Both
+    are one scan of the files' rows. The rows are written once for the two; without reread nothing is written, and
+    each of the two reads the files when it is used."""
     p = profiles()[profile] if isinstance(profile, str) else profile
-    rows = written(nodes(files), "nodes")
-    issues = evaluate(rows, p)
-    return issues, results(rows.where("kind = 'file'"), issues)
+    rows = written(nodes(files), "nodes") if reread else nodes(files)
+    return evaluate(rows, p), file_results(rows, p)

@@ -16,7 +16,7 @@ from folioscan.operators.fixpoint import repair
 from folioscan.operators.rules import OPERATORS, verify
 from folioscan.plans import conditions as c
 from folioscan.plans.catalog import all_checks, check_by_name, checks_frame, clause_key, profiles
-from folioscan.sources.pdf import files_meta
+from folioscan.sources.pdf import files_meta, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -577,7 +577,7 @@ for _name in ("ascii_hex", "flate", "lzw", "ascii85", "predictor", "tiff"):
 
 
 def _files(spark, sf_dir) -> DataFrame:
-    return pdf_fixture.make_files(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text"))
+    return pdf_fixture.make_files(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")))
 
 
 _N = len(pdf_fixture.DEFECTS)
@@ -587,18 +587,18 @@ _WANTED = "(VALUES " + ", ".join(f"({k}, {cid(r)}, {w.count(r)})" for k, (_, _,
 
 @query(f"SELECT doc_id AS file_id, check_id, n::BIGINT AS n FROM documents JOIN {_WANTED} ON doc_id % {_N} = defect")
 def pdf_verify_defects(spark, sf_dir):
-    issues, _ = verify(_files(spark, sf_dir), "strict_1b")
+    issues, _ = verify(_files(spark, sf_dir), "strict_1b", reread=False)
     return results.issues_by_check(issues)
 
 
 @query(f"SELECT doc_id AS file_id, doc_id % {_N} IN ({_VALID}) AS valid FROM documents")
 def pdf_verify_valid(spark, sf_dir):
-    return verify(_files(spark, sf_dir), "strict_1b")[1].select("file_id", "valid")
+    return verify(_files(spark, sf_dir), "strict_1b", reread=False)[1].select("file_id", "valid")
 
 
 @query(f"SELECT count(*) AS files, count(*) FILTER (doc_id % {_N} IN ({_VALID})) AS valid, coalesce(sum(n), 0)::BIGINT AS issues FROM documents LEFT JOIN (SELECT defect, sum(n) AS n FROM {_WANTED} GROUP BY defect) ON doc_id % {_N} = defect")
 def pdf_batch_totals(spark, sf_dir):
-    r = verify(_files(spark, sf_dir), "strict_1b")[1]
+    r = verify(_files(spark, sf_dir), "strict_1b", reread=False)[1]
     return r.agg(F.count(F.lit(1)).alias("files"), F.count_if("valid").alias("valid"), F.sum("n_issues").cast("bigint").alias("issues"))
 
 

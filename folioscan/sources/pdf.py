@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,12 @@ ENTRY = "struct<k:string,s:string,n:double,len:int,ref:boolean>"
 NODES = f"file_id bigint, node_id int, obj_num int, page int, kind string, roles array<string>, op string, seq int, entries map<string,{ENTRY}>, faults array<struct<rule:string,page:int>>, coverage array<string>"
 _ENTRY = pa.struct([("k", pa.string()), ("s", pa.string()), ("n", pa.float64()), ("len", pa.int32()), ("ref", pa.bool_())])
 _ARROW = pa.schema([("file_id", pa.int64()), ("node_id", pa.int32()), ("obj_num", pa.int32()), ("page", pa.int32()), ("kind", pa.string()), ("roles", pa.list_(pa.string())), ("op", pa.string()), ("seq", pa.int32()), ("entries", pa.map_(pa.string(), _ENTRY)), ("faults", pa.list_(pa.struct([("rule", pa.string()), ("page", pa.int32())]))), ("coverage", pa.list_(pa.string()))])
+#: Open saves of the graphics state at most.
+MAX_NESTING = 28
+#: Tasks for each core that files are spread over where their scan has fewer, so that no core waits for the others.
+TASKS_A_CORE = 3
+#: Rows that go to the JVM at once, about.
+ROWS_A_BATCH = 20_000
 #: The role that a child gets from its key.
 ROLES = {"Root": "catalog", "Info": "info", "A": "action", "OpenAction": "action", "AcroForm": "acroform", "ViewerPreferences": "viewer", "Metadata": "metadata", "AP": "appearance", "FontDescriptor": "descriptor", "Group": "group"}
 CHILD_ROLES = {"Annots": "annot", "ExtGState": "gs", "Font": "font", "XObject": "xobject", "DescendantFonts": "cidfont", "OutputIntents": "intent", "Fields": "field", "Pattern": "pattern", "Shading": "shading"}
@@ -36,26 +43,35 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf", stream: b
     return df.select(F.xxhash64("path").alias("file_id"), "path", "content")
 
 
-def entry(v: object, indirect: bool = False) -> dict:
-    """Kind, text, number and length of a value."""
-    e = {"k": "null", "s": None, "n": None, "len": None, "ref": indirect}
-    if isinstance(v, bool):
-        return e | {"k": "bool", "s": str(v).lower()}
-    if isinstance(v, int):
-        return e | {"k": "int", "s": str(v), "n": float(v)}
-    if isinstance(v, float):
-        return e | {"k": "real", "n": v}
-    if isinstance(v, Hex):
-        return e | {"k": "hex", "s": v.decode("latin-1"), "len": len(v.value)}
-    if isinstance(v, Name):
-        return e | {"k": "name", "s": str(v), "len": len(v)}
+class Fact(NamedTuple):
+    """Kind, text, number and length of a value, and whether it is a reference."""
+
+    k: str = "null"
+    s: str | None = None
+    n: float | None = None
+    len: int | None = None
+    ref: bool = False
+
+
+def entry(v: object, indirect: bool = False) -> Fact:
+    kind = type(v)
+    if kind is Name:
+        return Fact("name", str(v), None, len(v), indirect)
+    if kind is int:
+        return Fact("int", str(v), float(v), None, indirect)
+    if kind is Dict:
+        return Fact("dict" if v.raw is None else "stream", None, None, len(v), indirect)
+    if kind is list:
+        return Fact("array", " ".join(x for x in v if type(x) is Name), None, len(v), indirect)
+    if kind is float:
+        return Fact("real", None, v, None, indirect)
+    if kind is bool:
+        return Fact("bool", str(v).lower(), None, None, indirect)
+    if kind is Hex:
+        return Fact("hex", v.decode("latin-1"), None, len(v.value), indirect)
     if isinstance(v, bytes):
-        return e | {"k": "str", "s": text_string(v), "len": len(v)}
-    if isinstance(v, list):
-        return e | {"k": "array", "s": " ".join(x for x in v if isinstance(x, Name)), "len": len(v)}
-    if isinstance(v, Dict):
-        return e | {"k": "stream" if v.is_stream else "dict", "len": len(v)}
-    return e
+        return Fact("str", text_string(v), None, len(v), indirect)
+    return Fact(ref=indirect)
 
 
 def icc_fault(data: bytes) -> bool:
@@ -89,6 +105,7 @@ class Walk:
         self.file_id, self.doc, self.rows, self.page, self.pages = file_id, Document(data).open(), [], 0, 0
         self.coverage: list[str] = []
         self.seen: set[int] = set()
+        self.deep: list[int] = []  # the pages of saves that nest too deep
 
     def row(self, kind: str, **x) -> dict:
         r = {"file_id": self.file_id, "node_id": len(self.rows), "obj_num": None, "page": self.page, "kind": kind, "roles": [], "op": None, "seq": None, "entries": [], "faults": [], "coverage": self.coverage} | x
@@ -108,7 +125,7 @@ class Walk:
             d.faults.append(("GraphResolutionFailure", 0))
         for num in list(d.xref):
             d.resolve(Ref(num, 0))
-        faults = [{"rule": r, "page": p} for r, p in dict.fromkeys(d.faults)]
+        faults = [{"rule": r, "page": p} for r, p in dict.fromkeys(d.faults)] + [{"rule": "GraphicsStateNesting", "page": p} for p in self.deep]
         self.page = 0
         self.row("file", entries=self.header(), faults=faults + self.metadata())
         return self.rows
@@ -117,7 +134,7 @@ class Walk:
         d = self.doc.data
         lines = re.split(rb"\r\n|\r|\n", d[:128])
         second = lines[1] if len(lines) > 1 else b""
-        facts = {"~line1": entry(bytes(lines[0])), "~line2": {**entry(None), "k": "str", "s": second[:5].hex(), "len": len(second)}, "~eof": entry(b"%%EOF" in d[-9:]), "~objects": entry(len(self.doc.xref)), "~pages": entry(self.pages)}
+        facts = {"~line1": entry(bytes(lines[0])), "~line2": Fact("str", second[:5].hex(), None, len(second)), "~eof": entry(b"%%EOF" in d[-9:]), "~objects": entry(len(self.doc.xref)), "~pages": entry(self.pages)}
         if isinstance(n := self.doc.path("Root", "Pages", "Count"), int):
             facts["~count"] = entry(n)
         return list(facts.items())
@@ -248,8 +265,11 @@ class Walk:
             ops = tokenize_content(self.doc.decoded(v))
         except ValueError:
             return
-        at = len(self.rows) - 1
+        at, depth = len(self.rows) - 1, 0
         for seq, (op, operands) in enumerate(ops):
+            depth = depth + 1 if op == "q" else max(0, depth - 1) if op == "Q" else depth
+            if op == "q" and depth > MAX_NESTING:
+                self.deep.append(self.page)
             x = [(k, entry(y)) for k, y in operands[0].items()] if op == "BI" else [(str(k), entry(y)) for k, y in enumerate(operands)]
             self.row("op", obj_num=at, op=op, seq=seq, entries=x)
 
@@ -275,49 +295,100 @@ class Walk:
         return [{"rule": r, "page": 0} for r in out]
 
 
+def record_batch(rows: list[dict]) -> pa.RecordBatch:
+    """Rows of a Walk; the maps are built from flat columns."""
+    at, flat = [0], []
+    for r in rows:
+        flat += r["entries"]
+        at.append(len(flat))
+    keys = pa.array([k for k, _ in flat], pa.string())
+    columns = list(zip(*(f for _, f in flat))) or [()] * 5
+    values = pa.StructArray.from_arrays([pa.array(c, _ENTRY[k].type) for k, c in enumerate(columns)], fields=list(_ENTRY))
+    entries = pa.MapArray.from_arrays(pa.array(at, pa.int32()), keys, values)
+    plain = [pa.array([r[f.name] for r in rows], f.type) if f.name != "entries" else entries for f in _ARROW]
+    return pa.RecordBatch.from_arrays(plain, schema=_ARROW)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
     for b in batches:
         for file_id, content in zip(b.column(0).to_pylist(), b.column(1)):
             try:
-                rows = Walk(file_id, content.as_py() or b"").run()
-            except (ParseError, ValueError, TypeError, AttributeError, KeyError, IndexError, RecursionError):  # damaged beyond reading
+                held += Walk(file_id, content.as_py() or b"").run()
+            except (ParseError, ValueError, TypeError, AttributeError, KeyError, IndexError, RecursionError) as x:  # damaged beyond reading
+                # anything but a ParseError may be a fault of a rule and not of the file: its kind and place are kept
+                at = x.__traceback__
+                while at.tb_next:
+                    at = at.tb_next
+                what = f"{type(x).__name__} {at.tb_frame.f_code.co_name}:{at.tb_lineno}"
                 w = Walk(file_id, b"")
-                rows = [w.row("file", faults=[{"rule": "GraphResolutionFailure", "page": 0}])]
-            for k in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 20_000], _ARROW)
+                held += [w.row("file", entries=[("~unread", Fact("str", what, None, len(what)))], faults=[{"rule": "GraphResolutionFailure", "page": 0}])]
+            while len(held) >= ROWS_A_BATCH:
+                yield record_batch(held[:ROWS_A_BATCH])
+                held = held[ROWS_A_BATCH:]
+    if held:
+        yield record_batch(held)
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """The same rows in enough partitions for all cores. Only a scan of few partitions is shuffled, as one of a single
+    file or row group; a large table has more partitions than that and stays as it is. A stream does too."""
+    if files.isStreaming:
+        return files
+    enough = TASKS_A_CORE * files.sparkSession.sparkContext.defaultParallelism
+    return files if files.rdd.getNumPartitions() >= enough else files.repartition(enough, F.xxhash64("file_id"))
 
 
 def nodes(files: DataFrame) -> DataFrame:
-    """The rows of files (file_id, content). A file that can't be opened has one row with the fault."""
-    return files.select(F.col("file_id").cast("bigint").alias("file_id"), "content").mapInArrow(_rows, StructType.fromDDL(NODES))
+    """The rows of files (file_id, content). A file that can't be opened has one row with the fault; where reading it
+    broke off, its entry ~unread says how, which unread_files() lists."""
+    return spread(files.select(F.col("file_id").cast("bigint").alias("file_id"), "content")).mapInArrow(_rows, StructType.fromDDL(NODES))
+
+
+def unread_files(rows: DataFrame) -> DataFrame:
+    """file_id, reason of the files of nodes() whose reading broke off."""
+    return rows.where(F.map_contains_key("entries", F.lit("~unread"))).select("file_id", F.col("entries")["~unread"].s.alias("reason"))
 
 
 META = "file_id bigint, version string, pages int, declared_pages int, part string, conformance string, info map<string,string>, xmp string"
 
 
+def page_count(d: Document) -> int:
+    """The pages that are reachable in the page tree, each once."""
+    n, seen, todo = 0, set(), [d.path("Root", "Pages")]
+    while todo:
+        v = d.resolve(todo.pop())
+        if not isinstance(v, Dict) or id(v) in seen:
+            continue
+        seen.add(id(v))
+        n += v.get("Type") == "Page"
+        kids = d.resolve(v.get("Kids"))
+        todo += kids if isinstance(kids, list) else []
+    return n
+
+
 def files_meta(files: DataFrame) -> DataFrame:
     """Version, page counts, claimed conformance, information entries and metadata packet of each file."""
     kinds = pa.schema([("file_id", pa.int64()), ("version", pa.string()), ("pages", pa.int32()), ("declared_pages", pa.int32()), ("part", pa.string()), ("conformance", pa.string()), ("info", pa.map_(pa.string(), pa.string())), ("xmp", pa.string())])
 
+    def one(file_id: int | None, content: bytes) -> dict:
+        r = {"file_id": file_id, "version": (m[1].decode() if (m := re.match(rb"%PDF-(\d\.\d)", content)) else None), "pages": 0, "declared_pages": 0, "info": []}
+        d = Document(content).open()
+        if d.error:
+            return r
+        try:
+            n, info, m = d.path("Root", "Pages", "Count"), d.path("Info"), d.path("Root", "Metadata")
+            try:
+                text = xmp.decode_packet(d.decoded(m)) if isinstance(m, Dict) and m.is_stream else None
+            except ValueError:
+                text = None
+            part, level = xmp.claimed(text or "")
+            return r | {"pages": page_count(d), "declared_pages": n if isinstance(n, int) and abs(n) < 1 << 31 else 0, "part": part, "conformance": level, "xmp": text, "info": [(k, t) for k, x in sorted(info.items()) if (t := text_string(d.resolve(x))) is not None] if isinstance(info, Dict) else []}
+        except (ParseError, ValueError, TypeError, AttributeError, KeyError, IndexError, RecursionError):
+            return r
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for file_id, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = Walk(file_id, content or b"")
-                d = w.doc
-                r = {"file_id": file_id, "version": (m[1].decode() if (m := re.match(rb"%PDF-(\d\.\d)", content or b"")) else None), "pages": 0, "declared_pages": 0, "info": []}
-                if not d.error:
-                    w.run()
-                    n = d.path("Root", "Pages", "Count")
-                    info = d.path("Info")
-                    m = d.path("Root", "Metadata")
-                    try:
-                        text = xmp.decode_packet(d.decoded(m)) if isinstance(m, Dict) and m.is_stream else None
-                    except ValueError:
-                        text = None
-                    part, level = xmp.claimed(text or "")
-                    r |= {"pages": w.pages, "declared_pages": n if isinstance(n, int) else 0, "part": part, "conformance": level, "xmp": text, "info": [(k, t) for k, x in sorted(info.items()) if (t := text_string(d.resolve(x))) is not None] if isinstance(info, Dict) else []}
-                out.append(r)
-            yield pa.RecordBatch.from_pylist(out, kinds)
+            yield pa.RecordBatch.from_pylist([one(k, c.as_py() or b"") for k, c in zip(b.column(0).to_pylist(), b.column(1))], kinds)
 
-    return files.select(F.col("file_id").cast("bigint").alias("file_id"), "content").mapInArrow(read, META)
+    return spread(files.select(F.col("file_id").cast("bigint").alias("file_id"), "content")).mapInArrow(read, META)
