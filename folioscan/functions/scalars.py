@@ -133,3 +133,32 @@ def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> list[Column]:
 
 def claimed_conformance(packet: Column) -> list[Column]:
     return [F.regexp_extract(packet, rf"pdfaid:{p}(?:>|=\")([^<\"]*)", 1) for p in ("part", "conformance")]
+
+
+def too_long(length: Column, most: int) -> Column:
+    return length > most
+
+
+def integer_out_of_range(n: Column, low: int = -(1 << 31), high: int = (1 << 31) - 1) -> Column:
+    return (n > high) | (n < low)
+
+
+def real_out_of_range(n: Column, most: float = 32767.0) -> Column:
+    """By its value in single precision."""
+    return F.abs(n.cast("float")) > most
+
+
+def first_group(text: Column, pattern: str) -> Column:
+    """The first group of the first match, '' without one."""
+    return F.regexp_extract(text, pattern, 1)
+
+
+def namespace_bindings(text: Column) -> Column:
+    """An array of (prefix, uri) that the tags of a packet bind."""
+    found = F.regexp_extract_all(text, F.lit("xmlns:([\\w.-]+)\\s*=\\s*[\"'][^\"']*[\"']"), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, "xmlns:([\\w.-]+)", 1).alias("prefix"), F.regexp_extract(x, "[\"']([^\"']*)[\"']", 1).alias("uri")))
+
+
+def same_text(info: Column, packet: Column) -> Column:
+    """Whether an information entry and a packet's value agree but for white space around them; null is the empty text."""
+    return F.trim(F.coalesce(info, F.lit(""))) == F.trim(F.coalesce(packet, F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds after which what was found becomes one table, as a plan over very many is slow.
@@ -134,6 +134,11 @@ def page_index(tree: DataFrame, max_depth: int = MAX_TREE_DEPTH) -> DataFrame:
     return ordered.withColumn("row", F.row_number().over(w)).join(starts, "part").select("node", (F.col("row") + F.col("start")).cast("bigint").alias("page"))
 
 
+def equal_values(a: Column, b: Column) -> Column:
+    """Whether two structured values are equal throughout; nulls are equal to nulls alone."""
+    return a.eqNullSafe(b)
+
+
 def multiset_equal(a: DataFrame, b: DataFrame) -> bool:
     cols = a.columns
     x = a.groupBy(*cols).count().withColumnRenamed("count", "n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscan.plans.catalog import Profile, all_checks, checks_frame
+from folioscan.plans.catalog import Profile, all_checks, checks_frame, clause_key
 
 
 def filter_by_profile(issues: DataFrame, profile: Profile) -> DataFrame:
@@ -41,6 +41,11 @@ def issues_by_check(issues: DataFrame) -> DataFrame:
     return issues.groupBy("file_id", "check_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_failures(failures: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Of each group the failure that comes first, as where a check stops at the first."""
+    return failures.groupBy(*group).agg(F.min(order).alias(order))
+
+
 def issues_on_page(issues: DataFrame, page: int) -> DataFrame:
     """Those of a page; 0 is the document."""
     return issues.where(F.col("page") == page)
@@ -65,10 +70,13 @@ def lexicographic_checks(issues: DataFrame) -> DataFrame:
 
 
 def summary(issues: DataFrame) -> DataFrame:
-    """file_id, report: a line for each rule with its number of issues, in natural order."""
-    n = issues_by_check(issues).join(distinct_checks(issues), ["file_id", "check_id"])
-    n = with_checks(n.select("file_id", "check_id", "n", "rank"))
-    line = F.struct("rank", F.format_string("%s/%d %s: %d", "clause", "subclause", "name", "n").alias("text"))
+    """file_id, report: a line for each rule with its number of issues, in natural order. The issues are counted once;
+    the catalog is joined to the counts, with its order as a number."""
+    spark = issues.sparkSession
+    order = {c.check_id: k for k, c in enumerate(sorted(all_checks(), key=lambda c: (clause_key(c.clause), c.subclause, c.check_id)))}
+    lines = spark.createDataFrame([(c.check_id, order[c.check_id], f"{c.clause}/{c.subclause} {c.name}: ") for c in all_checks()], "check_id int, rank int, head string")
+    n = issues_by_check(issues).join(F.broadcast(lines), "check_id")
+    line = F.struct("rank", F.concat("head", F.col("n").cast("string")).alias("text"))
     return n.groupBy("file_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(line)), lambda x: x.text)).alias("report"))
 
 

@@ -12,13 +12,14 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions import scalars
 from folioscan.operators.graph import written
+from folioscan.operators.usage import OPERATORS
 from folioscan.plans.catalog import Profile, check_by_name, profiles
 from folioscan.plans.object_model import model_findings
 from folioscan.sources.pdf import nodes
 
 INTENTS = ("RelativeColorimetric", "AbsoluteColorimetric", "Perceptual", "Saturation")
-OPERATORS = "b B b* B* BDC BI BMC BT BX c cm CS cs d d0 d1 Do DP EMC ET EX f F f* G g gs h i j J K k l m M MP n q Q re RG rg ri s S SC sc SCN scn sh T* Tc Td TD Tf Tj TJ TL Tm Tr Ts Tw Tz v w W W* y ' \"".split()
 ANNOTATIONS = "Text Link FreeText Line Square Circle Highlight Underline Squiggly StrikeOut Stamp Ink Popup Widget PrinterMark TrapNet".split()
 FONTS = "Type0 Type1 MMType1 Type3 TrueType CIDFontType0 CIDFontType2".split()
 FORBIDDEN_ACTIONS = "Launch Sound Movie ResetForm ImportData JavaScript SetState NOP set-state no-op Hide Rendition Trans GoTo3DView SetOCGState".split()
@@ -65,10 +66,10 @@ def value_tests(v: Column) -> dict[str, Column]:
     return {
         "HexStringInvalidChar": (v.k == "hex") & v.s.rlike("[^0-9A-Fa-f \\t\\r\\n\\f\\x00]"),
         "HexStringOddLength": (v.k == "hex") & (F.length(F.regexp_replace(v.s, "[ \\t\\r\\n\\f\\x00]", "")) % 2 == 1),
-        "IntegerOutOfRange": (v.k == "int") & ((v.n > 2147483647) | (v.n < -2147483648)),
-        "RealOutOfRange": (v.k == "real") & (F.abs(v.n.cast("float")) > 32767),
-        "StringTooLong": (v.k == "str") & (v.len > 65535),
-        "NameTooLong": (v.k == "name") & (v.len > 127),
+        "IntegerOutOfRange": (v.k == "int") & scalars.integer_out_of_range(v.n),
+        "RealOutOfRange": (v.k == "real") & scalars.real_out_of_range(v.n),
+        "StringTooLong": (v.k == "str") & scalars.too_long(v.len, 65535),
+        "NameTooLong": (v.k == "name") & scalars.too_long(v.len, 127),
     }
 
 

@@ -119,6 +119,16 @@ def best_discriminator(values: DataFrame) -> DataFrame:
     return alone.groupBy("key").agg(F.count_distinct("candidate").alias("covered")).orderBy(F.desc("covered"), "key").limit(1)
 
 
+def later_keys(definitions: DataFrame, version: float) -> DataFrame:
+    """type, key of the keys (type, key, since) that no version up to this one has."""
+    return definitions.groupBy("type", "key").agg(F.min("since").alias("_since")).where(F.col("_since") > version).select("type", "key")
+
+
+def identifying_pairs(uses: DataFrame, pair: list[str], owner: str) -> DataFrame:
+    """The pairs of values that one owner alone has, with it."""
+    return uses.groupBy(*pair).agg(F.min(owner).alias(owner), F.max(owner).alias("_last")).where(F.col(owner) == F.col("_last")).drop("_last")
+
+
 # repairs, as columns
 
 

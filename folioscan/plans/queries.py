@@ -7,10 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioscan.functions import pdf_fixture, scalars
-from folioscan.operators import graph, results, schema
+from folioscan.operators import graph, results, schema, usage
 from folioscan.operators.convert import convert, text_of
 from folioscan.operators.fixpoint import repair
 from folioscan.operators.rules import OPERATORS, verify
@@ -144,8 +143,8 @@ def issue_parts_concat(spark, sf_dir):
 
 @query("SELECT l_suppkey % 7 AS supp, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem WHERE l_quantity > 45 GROUP BY ALL")
 def first_failure_only(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").where("l_quantity > 45").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return d.groupBy((F.col("l_suppkey") % 7).alias("supp")).agg(F.min("at").alias("first"))
+    d = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select((F.col("l_suppkey") % 7).alias("supp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return results.first_failures(d, ["supp"], "at").select("supp", F.col("at").alias("first"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({x.check_id}, '{x.name}', '{x.clause}', {x.subclause}, {'true' if x.live else 'false'})" for x in all_checks()) + ") AS t(check_id, name, clause, subclause, live)")
@@ -259,13 +258,14 @@ def three_valued_and_or(spark, sf_dir):
 
 @query("SELECT DISTINCT event_type AS key FROM events EXCEPT SELECT DISTINCT event_type FROM events WHERE event_id < 3")
 def post14_keys(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("key")).distinct().join(e.where("event_id < 3").select(F.col("event_type").alias("key")).distinct(), "key", "left_anti")
+    e = table(spark, sf_dir, "events").select(F.lit("T").alias("type"), F.col("event_type").alias("key"), F.when(F.col("event_id") < 3, 1.4).otherwise(1.5).alias("since"))
+    return schema.later_keys(e, 1.4).select("key")
 
 
 @query("SELECT p_brand AS a, p_size AS b, min(p_type) AS owner FROM part GROUP BY ALL HAVING count(DISTINCT p_type) = 1")
 def self_identified_pairs(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("a"), F.col("p_size").alias("b")).agg(F.count_distinct("p_type").alias("n"), F.min("p_type").alias("owner")).where("n = 1").drop("n")
+    t = table(spark, sf_dir, "part").select(F.col("p_brand").alias("a"), F.col("p_size").alias("b"), F.col("p_type").alias("owner"))
+    return schema.identifying_pairs(t, ["a", "b"], "owner")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'OpenUrgent' WHEN o_orderstatus = 'F' THEN 'Finished' END AS type FROM orders")
@@ -288,9 +288,10 @@ def repair_enum_fill(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", schema.fill_required(f, ["X"]).alias("status"))
 
 
-@query("SELECT event_id, TRY_CAST(substr(props, 7, 2) AS BIGINT) AS n FROM events")
+@query("SELECT event_id, TRY_CAST(regexp_replace(props, '[^0-9a-z]', '', 'g') AS BIGINT) AS n, TRY_CAST(regexp_replace(props, '[^0-9]', '', 'g') AS BIGINT) AS digits FROM events")
 def repair_coerce(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", schema.coerce_scalar(F.substring("props", 7, 2), "integer").alias("n"))
+    only = lambda p: schema.coerce_scalar(F.regexp_replace("props", p, ""), "integer")
+    return table(spark, sf_dir, "events").select("event_id", only("[^0-9a-z]").alias("n"), only("[^0-9]").alias("digits"))
 
 
 @query("SELECT p_partkey, greatest(least(p_size, 40), 5)::DOUBLE AS size FROM part")
@@ -330,15 +331,23 @@ def incremental_last_wins(spark, sf_dir):
     return graph.last_wins(v, ["user_id", "event_type"], "revision").select("user_id", "event_type", "event_id", "value")
 
 
-_EDGES = "(SELECT c_custkey AS src, (c_custkey * 7 + 3) % 50 AS dst FROM customer)"
+#: References among all customers: to two parents, and from the first back to the second, a cycle.
+_EDGES = "(SELECT c_custkey AS src, greatest(c_custkey // 3, 1) AS dst, 'k' || (c_custkey % 3) AS key FROM customer UNION SELECT c_custkey, greatest(c_custkey // 5, 1), 'k' || (c_custkey % 2) FROM customer UNION SELECT 1, 2, 'k2')"
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    k = table(spark, sf_dir, "customer").select("c_custkey")
+    x = F.col("c_custkey")
+    up = lambda n, m: k.select(x.alias("src"), F.greatest(F.floor(x / n), F.lit(1)).cast("bigint").alias("dst"), F.concat(F.lit("k"), (x % m).cast("string")).alias("key"))
+    back = spark.createDataFrame([(1, 2, "k2")], "src bigint, dst bigint, key string")
+    return up(3, 3).unionByName(up(5, 2)).unionByName(back)
 
 
-@query(f"""WITH RECURSIVE e AS {_EDGES}, r AS (SELECT c_custkey AS root, c_custkey AS node FROM customer WHERE c_custkey % 50 = 1
+@query(f"""WITH RECURSIVE e AS {_EDGES}, r AS (SELECT c_custkey AS root, c_custkey AS node FROM customer
 UNION SELECT root, dst FROM r JOIN e ON node = src) SELECT root, count(*) AS reached, sum(node)::BIGINT AS total FROM r GROUP BY root""")
 def reachable_closure(spark, sf_dir):
-    k = table(spark, sf_dir, "customer").select("c_custkey")
-    edges = k.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % 50).alias("dst"))
-    r = graph.closure(edges, k.where("c_custkey % 50 = 1").select(F.col("c_custkey").alias("node")))
+    roots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    r = graph.closure(_edges(spark, sf_dir), roots)
     return r.groupBy("root").agg(F.count(F.lit(1)).alias("reached"), F.sum("node").cast("bigint").alias("total"))
 
 
@@ -363,43 +372,41 @@ def page_index(spark, sf_dir):
 _LINKS = [("A", "k0", "B"), ("A", "k1", "A"), ("B", "*", "A"), ("B", "k2", "C"), ("C", "k0", "C")]
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT c_custkey AS src, 'k' || (c_custkey % 3) AS key, (c_custkey * 7 + 3) % 50 AS dst FROM customer),
+@query(f"""WITH RECURSIVE e AS {_EDGES},
 l AS (SELECT * FROM (VALUES {', '.join(map(str, _LINKS))}) AS t(type, key, child)),
-r AS (SELECT c_custkey AS node, 'A' AS type FROM customer WHERE c_custkey <= 20 UNION
+r AS (SELECT c_custkey AS node, 'A' AS type FROM customer UNION
 SELECT e.dst, coalesce(x.child, y.child) FROM r JOIN e ON r.node = e.src LEFT JOIN l x ON x.type = r.type AND x.key = e.key LEFT JOIN l y ON y.type = r.type AND y.key = '*' WHERE coalesce(x.child, y.child) IS NOT NULL)
 SELECT node, type FROM r""")
 def typed_propagation(spark, sf_dir):
-    k = table(spark, sf_dir, "customer").select("c_custkey")
-    x = F.col("c_custkey")
-    edges = k.select(x.alias("src"), F.concat(F.lit("k"), (x % 3).cast("string")).alias("key"), ((x * 7 + 3) % 50).alias("dst"))
-    links = spark.createDataFrame(_LINKS, "type string, key string, child string")
-    return graph.propagate(edges, k.where("c_custkey <= 20").select(x.alias("node"), F.lit("A").alias("type")), links)
+    roots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.lit("A").alias("type"))
+    return graph.propagate(_edges(spark, sf_dir), roots, spark.createDataFrame(_LINKS, "type string, key string, child string"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)) > 0 AS differs, true AS equal")
+@query("SELECT a.o_orderkey, a.o_orderstatus = b.o_orderstatus AND a.o_orderpriority = b.o_orderpriority AS equal FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")
 def structural_equality(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority")
-    return spark.createDataFrame([(not graph.multiset_equal(o, o.where("o_orderstatus <> 'F'")), graph.multiset_equal(o, o.repartition(3)))], "differs boolean, equal boolean")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.struct("o_orderstatus", F.array("o_orderpriority").alias("more")).alias("v"))
+    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("v").alias("w"))
+    return o.join(b, "o_orderkey").select("o_orderkey", graph.equal_values(F.col("v"), F.col("w")).alias("equal"))
 
 
 # text, bytes and content state
 
 
-@query("SELECT source, string_agg(DISTINCT substr(text, 1, 1), '' ORDER BY substr(text, 1, 1)) AS codes FROM documents WHERE substr(text, 1, 1) BETWEEN 'A' AND 'Z' GROUP BY source")
+@query("SELECT source, string_agg(DISTINCT code, '' ORDER BY code) AS codes FROM (SELECT source, unnest(string_split(text, '')) AS code FROM documents) WHERE code BETWEEN 'A' AND 'Z' GROUP BY source")
 def used_codes_sets(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", F.substring("text", 1, 1).alias("code")).where("code between 'A' and 'Z'")
-    return d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("code")), "").alias("codes"))
+    d = table(spark, sf_dir, "documents")
+    return usage.used_codes(d, "source", F.col("text")).where("code between 'A' and 'Z'").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("code")), "").alias("codes"))
 
 
 @query("SELECT user_id FROM events GROUP BY user_id HAVING bool_and(value < 150)")
 def invisible_only(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(F.col("value") < 150).alias("all")).where("all").select("user_id")
+    return usage.invisible_only(table(spark, sf_dir, "events"), "user_id", F.col("value") < 150)
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def unused_resource_prune(spark, sf_dir):
     used = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+    return usage.unused(table(spark, sf_dir, "part").select("p_partkey"), used, ["p_partkey"])
 
 
 _STEP = "CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END"
@@ -408,40 +415,36 @@ _STEP = "CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END"
 @query(f"""SELECT user_id, max(depth)::BIGINT AS deepest FROM (SELECT user_id, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY event_id)) AS depth
 FROM (SELECT user_id, event_id, sum({_STEP}) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events)) GROUP BY user_id""")
 def graphics_nesting_depth(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1).alias("step"))
-    e = e.withColumn("s", F.sum("step").over(w)).withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(w)))
-    return e.groupBy("user_id").agg(F.max("depth").alias("deepest"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type").isin("click", "view"), "q").otherwise("Q").alias("op"))
+    return usage.nesting_depth(e, ["user_id"], "event_id").groupBy("user_id").agg(F.max("depth").alias("deepest"))
 
 
 @query("SELECT event_id, coalesce(bool_or(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS colour_set FROM events")
 def colour_set_prefix(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.max(F.col("event_type") == "purchase").over(w), F.lit(False)).alias("colour_set"))
+    return usage.set_before(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "purchase").select("event_id", F.col("set_before").alias("colour_set"))
 
 
 @query("""SELECT doc_id, octet_length(encode(text)) > 3000 AS long_string, max_word > 40 AS long_name, lines > 20 AS large_array FROM
 (SELECT doc_id, text, list_max(list_transform(string_split(text, ' '), lambda w: length(w))) AS max_word, len(string_split(text, chr(10))) AS lines FROM documents)""")
 def text_limits(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
     words = F.array_max(F.transform(F.split("text", " "), lambda w: F.length(w)))
-    return d.select("doc_id", (F.octet_length("text") > 3000).alias("long_string"), (words > 40).alias("long_name"), (F.size(F.split("text", "\n")) > 20).alias("large_array"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.too_long(F.octet_length("text"), 3000).alias("long_string"), scalars.too_long(words, 40).alias("long_name"), scalars.too_long(F.size(F.split("text", "\n")), 20).alias("large_array"))
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS row_id, l_partkey > 2147 OR l_partkey < 5 AS int_out, abs(l_extendedprice::FLOAT) > 32767 AS real_out FROM lineitem")
 def number_limits(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), ((F.col("l_partkey") > 2147) | (F.col("l_partkey") < 5)).alias("int_out"), (F.abs(F.col("l_extendedprice").cast("float")) > 32767).alias("real_out"))
+    row = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")
+    return table(spark, sf_dir, "lineitem").select(row, scalars.integer_out_of_range(F.col("l_partkey"), 5, 2147).alias("int_out"), scalars.real_out_of_range(F.col("l_extendedprice")).alias("real_out"))
 
 
-@query("""SELECT conv_id, turn, regexp_full_match(substr(text, 1, 9), '[0-9A-Fa-f \\t\\r\\n]*') AS valid, length(regexp_replace(substr(text, 1, 9), '[ \\t\\r\\n]', '', 'g')) % 2 = 1 AS odd FROM conversations""")
+@query("""SELECT conv_id, turn, regexp_full_match(text, '[0-9A-Fa-f \\t\\r\\n]*') AS valid, length(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) % 2 = 1 AS odd FROM conversations""")
 def hex_string_rules(spark, sf_dir):
-    s = F.substring("text", 1, 9)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.is_hex_string(s).alias("valid"), scalars.hex_odd(s).alias("odd"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.is_hex_string(F.col("text")).alias("valid"), scalars.hex_odd(F.col("text")).alias("odd"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(d) % 2 = 1 THEN d || '0' ELSE d END AS fixed FROM (SELECT doc_id, regexp_replace(substr(text, 1, 60), '[^0-9A-Fa-f]', '', 'g') AS d FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN length(d) % 2 = 1 THEN d || '0' ELSE d END AS fixed FROM (SELECT doc_id, regexp_replace(text, '[^0-9A-Fa-f]', '', 'g') AS d FROM documents)""")
 def hex_repair(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", scalars.fix_hex(F.substring("text", 1, 60)).alias("fixed"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.fix_hex(F.col("text")).alias("fixed"))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -462,19 +465,21 @@ def literal_escape(spark, sf_dir):
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))::INT AS links FROM pages")
 def html_properties(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.first_group(F.col("html"), "<title>([^<]*)</title>").alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("links"))
 
 
-@query("SELECT DISTINCT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z]+[0-9]?)', 1)) AS tag FROM pages) GROUP BY tag")
+@query("SELECT prefix, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<([a-z]+[0-9]?)', ' xmlns:\\1=\"urn:\\1\" ', 'g'), 'xmlns:([a-z0-9]+)=\"[^\"]*\"', 1)) AS prefix FROM pages) GROUP BY prefix")
 def xmp_namespace_bindings(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z]+[0-9]?)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    text = F.regexp_replace("html", "<([a-z]+[0-9]?)", ' xmlns:$1="urn:$1" ')
+    b = table(spark, sf_dir, "pages").select(F.explode(scalars.namespace_bindings(text)).alias("b"))
+    return b.where("b.uri = 'urn:' || b.prefix").groupBy("b.prefix").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT a.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.lang <> b.lang OR a.source = b.source")
+@query("SELECT a.doc_id, a.lang = b.lang AS same FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
 def xmp_info_sync(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("lang2"), F.col("source").alias("source2"))
-    return d.join(b, "doc_id").where("lang <> lang2 or source = source2").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" "), "lang", F.lit("  ")).alias("info"))
+    b = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("packet"))
+    return d.join(b, "doc_id").select("doc_id", scalars.same_text(F.col("info"), F.col("packet")).alias("same"))
 
 
 @query("SELECT o_orderkey, regexp_full_match(d, '[0-9]{4}(-[0-9][0-9](-[0-9][0-9])?)?') AS valid FROM (SELECT o_orderkey, substr(strftime(o_orderdate, '%Y-%m-%d'), 1, 4 + o_orderkey % 7) AS d FROM orders)")
@@ -498,8 +503,8 @@ _OPS = ", ".join("'" + o.replace("'", "''") + "'" for o in OPERATORS)
 
 @query(f"SELECT doc_id, count(*) AS unknown FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS op FROM documents) WHERE op NOT IN ({_OPS}) GROUP BY doc_id")
 def undefined_operator(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("op"))
-    return d.where(~F.col("op").isin(*OPERATORS)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("unknown"))
+    ops = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("op"))
+    return usage.undefined_operators(ops).groupBy("doc_id").agg(F.count(F.lit(1)).alias("unknown"))
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS row_id, round(0.2 + power(least(l_discount * 10, 1), 2) * 0.6, 6) AS y FROM lineitem")
@@ -536,9 +541,9 @@ def matrix_invert(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(u, 4).alias("x"), F.round(v, 4).alias("y"))
 
 
-@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, text AS back FROM documents WHERE NOT contains(text, '&')")
+@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)) AS back FROM documents")
 def xml_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("&")))
+    d = table(spark, sf_dir, "documents")
     e = scalars.xml_escape(F.col("text"))
     return d.select("doc_id", e.alias("escaped"), scalars.xml_unescape(e).alias("back"))
 
