@@ -342,4 +342,4 @@ def near_duplicates(documents: DataFrame, tables: int = TABLES, bucket_rows: int
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_hash")
