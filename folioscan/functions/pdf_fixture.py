@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions.decoders import encode_ascii85, encode_lzw
+from folioscan.functions.font_fixture import build_cff, build_sfnt, build_type1
 from folioscan.functions.xmp import escape_text
-from folioscan.sources.pdf_bytes import Dict, Hex, Lit, Name, Ref, write_document
+from folioscan.sources.pdf_bytes import Dict, Hex, Lit, Name, Ref, format_value, write_document
 
 
 def stream(data: bytes, **entries: object) -> Dict:
@@ -35,10 +37,16 @@ def packet(title: str, part: str = "1", level: str = "B", extra: str = "", head:
     ).encode()
 
 
+#: A font with a glyph for x, of the width that the base file states, and one for y without an outline.
+_PROGRAM = build_sfnt([0, 500, 300], {120: 1, 121: 2}, empty=(0, 2))
+
+
 def base(text: str) -> tuple[dict[int, object], dict]:
     """A valid file's objects and trailer: a page, a form, an image, a graphics state, an annotation and a font."""
     title = text[:40].strip()
-    body = f"q /GS0 gs 0.5 0.5 0.5 rg 0 0 10 10 re f BT /F0 12 Tf (x) Tj ET Q % {len(text)}".encode()
+    # the whole text, in strings that no limit forbids
+    whole = b"".join(b"/Span <</ActualText " + format_value(Lit(text[k : k + 8000].encode())) + b">> BDC EMC " for k in range(0, len(text), 8000))
+    body = b"q /GS0 gs 0.5 0.5 0.5 rg 0 0 10 10 re f BT /F0 12 Tf (x) Tj ET Q " + whole
     ap = stream(b"0 0 1 1 re f", Type=Name("XObject"), Subtype=Name("Form"), BBox=[0, 0, 1, 1])
     objects: dict[int, object] = {
         1: Dict(Type=Name("Catalog"), Pages=Ref(2, 0), Metadata=Ref(4, 0), OutputIntents=[Ref(5, 0)]),
@@ -55,7 +63,7 @@ def base(text: str) -> tuple[dict[int, object], dict]:
         12: Dict(Type=Name("Annot"), Subtype=Name("Square"), Rect=[0, 0, 1, 1], F=4, AP=Dict(N=Ref(13, 0))),
         13: ap,
         14: stream(b"q Q", Type=Name("XObject"), Subtype=Name("Form"), BBox=[0, 0, 1, 1]),
-        15: stream(b"\0\1\0\0" + b"\0" * 8),
+        15: stream(_PROGRAM),
     }
     info = Dict(Title=Lit(b"\xfe\xff" + title.encode("utf-16-be")))
     objects[16] = info
@@ -108,6 +116,7 @@ def _type0(encoding: object = None, system: bytes = b"Adobe", cmap: bytes = b"",
         info = lambda r: Dict(Registry=Lit(r), Ordering=Lit(b"Identity"), Supplement=0)
         o[17] = stream(b"begincmap " + cmap + b" endcmap", Type=Name("CMap"), CIDSystemInfo=info(b"Adobe"), **{k: v for k, v in x.items() if k == "WMode"})
         o[18] = Dict({k: v for k, v in dict(Type=Name("Font"), Subtype=Name("CIDFontType2"), BaseFont=Name("ABCDEF+Own"), CIDSystemInfo=info(system), FontDescriptor=Ref(9, 0), CIDToGIDMap=x.get("gids", Name("Identity"))).items() if v is not None})
+        o[9]["CIDSet"], o[19] = Ref(19, 0), stream(b"\x7f")
         o[8] = Dict(Type=Name("Font"), Subtype=Name("Type0"), BaseFont=Name("ABCDEF+Own"), Encoding=encoding or Ref(17, 0), DescendantFonts=[Ref(18, 0)])
 
     return change
@@ -139,6 +148,117 @@ def _symbolic_cmap(o: dict[int, object], t: dict, text: str) -> None:
     o[15] = stream(b"\0\1\0\0\0\1" + b"\0" * 6 + b"cmap" + b"\0" * 4 + (28).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"\0\0\0\2")
 
 
+def _font(program: Dict, key: str = "FontFile2", widths: list | None = None, subtype: str = "TrueType", descriptor: dict | None = None, show: bytes = b"(x)", **x: object):
+    """The font with another program, and a page that shows some text in it."""
+
+    def change(o: dict[int, object], t: dict, text: str) -> None:
+        o[15] = program
+        o[9].pop("FontFile2")
+        o[9][key] = Ref(15, 0)
+        o[9].update(descriptor or {})
+        o[8].update({"Subtype": Name(subtype), "Widths": widths or [500], "LastChar": 119 + len(widths or [500]), **x})
+        _content(b"BT /F0 12 Tf " + show + b" Tj ET")(o, t, text)
+
+    return change
+
+
+def _cid(data: bytes, kind: str, key: str, bits: bytes | None, w: list, show: bytes = b"<0001>", **x: object):
+    """The font as a composite one with a program of its own, under the identity."""
+
+    def change(o: dict[int, object], t: dict, text: str) -> None:
+        _type0(encoding=Name("Identity-H"))(o, t, text)
+        o[18].update(Subtype=Name(kind), W=w, **x)
+        if kind == "CIDFontType0":
+            o[18].pop("CIDToGIDMap")
+        o[9].pop("FontFile2")
+        if bits is None:
+            o[9].pop("CIDSet")
+        else:
+            o[19] = stream(bits)
+        o[9][key], o[15] = Ref(15, 0), stream(data, Subtype=Name("CIDFontType0C"))
+        _content(b"BT /F0 12 Tf " + show + b" Tj ET")(o, t, text)
+
+    return change
+
+
+def _type3(width: int):
+    def change(o: dict[int, object], t: dict, text: str) -> None:
+        o[17] = stream(b"%d 0 d0 0 0 1 1 re f" % width)
+        o[8] = Dict(Type=Name("Font"), Subtype=Name("Type3"), FontBBox=[0, 0, 1, 1], FontMatrix=[0.001, 0, 0, 0.001, 0, 0], CharProcs=Dict(sq=Ref(17, 0)), Encoding=Dict(Type=Name("Encoding"), Differences=[120, Name("sq")]), FirstChar=120, LastChar=120, Widths=[500])
+
+    return change
+
+
+_T1 = build_type1({".notdef": 0, "x": 500, "y": 600})
+_C1 = build_cff(["x", "y"], [500, 600])
+_CID = build_cff([], [500, 600], [1, 2])
+_SFNT = build_sfnt([0, 500, 600], {120: 1, 121: 2})
+
+
+def _annot(**x: object):
+    return _set(12, **x)
+
+
+def _widget(**x: object):
+    """The annotation as a field."""
+
+    def change(o: dict[int, object], t: dict, text: str) -> None:
+        o[12].update(Subtype=Name("Widget"), FT=Name("Tx"), T=Lit(b"f"), **{k: v for k, v in x.items() if v is not None})
+        for k, v in x.items():
+            if v is None:
+                o[12].pop(k)
+        o[1]["AcroForm"] = Dict(Fields=[Ref(12, 0)])
+
+    return change
+
+
+def _replace(old: bytes, new: bytes):
+    return lambda b: b.replace(old, new, 1)
+
+
+def _packet(old: str, new: str):
+    def change(o: dict[int, object], t: dict, text: str) -> None:
+        o[4].raw = o[4].raw.replace(old.encode(), new.encode())
+
+    return change
+
+
+def _default_space(model: bytes, key: str):
+    """Device colour of a model without an intent for it, and resources that name a space instead."""
+
+    def change(o: dict[int, object], t: dict, text: str) -> None:
+        _content(model)(o, t, text)
+        o[3]["Resources"]["ColorSpace"] = Dict({key: [Name("ICCBased"), Ref(6, 0)]})
+
+    return change
+
+
+def _table_as_stream(data: bytes) -> bytes:
+    """The file with its classic table replaced by a stream of the same entries."""
+    head, _, tail = data.partition(b"xref\n0 ")
+    places = {int(m[1]): m.start() for m in re.finditer(rb"(?m)^(\d+) 0 obj", head)}
+    num = max(places) + 1
+    places[num] = len(head)
+    rows = b"".join(bytes([1 if k in places else 0]) + places.get(k, 0).to_bytes(4, "big") + b"\0" for k in range(num + 1))
+    trailer = tail[tail.index(b"<<") + 2 : tail.index(b"startxref")].rstrip().removesuffix(b">>")
+    trailer = re.sub(rb"/Size \d+", b"/Size %d" % (num + 1), trailer)
+    return head + b"%d 0 obj\n<<%s /Type /XRef /W [1 4 1] /Length %d>>\nstream\n" % (num, trailer, len(rows)) + rows + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % len(head)
+
+
+_TYPE = '<pdfaSchema:valueType><rdf:Seq><rdf:li rdf:parseType="Resource">{}</rdf:li></rdf:Seq></pdfaSchema:valueType>'
+
+
+def _own_type(use: str, fields: tuple[str, ...] = ("type", "namespaceURI", "prefix", "description"), own: str = "", value: str = "Own") -> str:
+    """An extension schema with a type of its own."""
+    values = {"type": "Own", "namespaceURI": "http://own.example/", "prefix": "own", "description": "d"}
+    made = "".join(f"<pdfaType:{k}>{values[k]}</pdfaType:{k}>" for k in fields)
+    text = _extension(valueType=value, use=use)
+    text = text.replace("<pdfaExtension:schemas", '<pdfaExtension:schemas xmlns:pdfaType="http://www.aiim.org/pdfa/ns/type#" xmlns:pdfaField="http://www.aiim.org/pdfa/ns/field#"', 1)
+    return text.replace("</pdfaSchema:property></rdf:li>", f"</pdfaSchema:property>{_TYPE.format(made)}{own}</rdf:li>")
+
+
+_STRUCT = '<own:n rdf:parseType="Resource" xmlns:own="http://own.example/"><own:n>v</own:n></own:n>'
+
 #: Defects by name: a change of the objects, or of the bytes, and the rules that must be found, with their counts.
 DEFECTS: list[tuple[str, object, list[str]]] = [
     ("none", lambda o, t, x: None, []),
@@ -217,7 +337,7 @@ DEFECTS: list[tuple[str, object, list[str]]] = [
     ("model_missing", _set(14, BBox=None), ["MissingRequiredKey"]),
     ("model_kind", _set(14, FormType=Name("One")), ["WrongValueType"]),
     ("model_direct", lambda o, t, x: o[8].__setitem__("FontDescriptor", Dict(o[9])), ["IndirectRequired"]),
-    ("model_widths", _set(8, Widths=[500, 500]), ["ConstraintViolated"]),
+    ("model_widths", _set(8, Widths=[500, 300]), ["ConstraintViolated"]),
     ("model_range", _set(10, LW=-1), ["DisallowedValue"]),
     ("model_later", _set(3, UserUnit=2.0), ["KeyIntroducedAfterPDF14"]),
     ("extension", _xmp(extra=_extension()), []),
@@ -225,16 +345,97 @@ DEFECTS: list[tuple[str, object, list[str]]] = [
     ("extension_names", _xmp(extra=_extension(more="<pdfaProperty:name>m</pdfaProperty:name>")), ["ExtPropertyMultipleName"]),
     ("extension_seq", _xmp(extra=_extension("Seq")), ["ExtSchemasNotBag"]),
     ("extension_use", _xmp(extra=_extension(use=_USE.replace("own:n", "own:z"))), ["ExtPropertyUndocumented"]),
-    ("extension_type", _xmp(extra=_extension(valueType="Odd")), ["ExtPropertyUndefinedType"]),
+    ("extension_type", _xmp(extra=_extension(valueType="Odd")), ["ExtPropertyUndefinedType", "ExtPropertyComplexAsSimple"]),
     ("extension_prefix", _xmp(extra='<ext:schemas xmlns:ext="http://www.aiim.org/pdfa/ns/extension/"/>'), ["ExtSchemaNamespace"]),
     ("extension_uri", _xmp(extra='<pdfaExtension:schemas xmlns:pdfaExtension="http://other.example/"/>'), ["ExtSchemaWrongPrefixURI"]),
     ("namespace", _xmp(extra=_USE), ["MetadataUndeclaredProperty"]),
     ("inline_lzw", _content(b"BI /W 1 /H 1 /BPC 8 /CS /G /F /LZW ID " + encode_lzw(b"\0") + b"\nEI"), ["InlineImageLZWFilter"]),
+    ("font_width", _set(8, Widths=[510]), ["AdvanceWidthMismatch"]),
+    ("font_coverage", _set(8, Widths=[500, 300, 400], LastChar=122), []),
+    ("font_shown", _font(stream(_SFNT), widths=[500, 600, 400], show=b"(xz)"), ["SubsetGlyphCoverage"]),
+    ("font_type1", _font(stream(_T1), "FontFile", [500, 600], "Type1", {"CharSet": Lit(b"/x/y")}), []),
+    ("font_char_set", _font(stream(_T1), "FontFile", [500, 600], "Type1", {"CharSet": Lit(b"/x")}, b"(xy)"), ["Type1SubsetCharSet"]),
+    ("font_char_set_none", _font(stream(_T1), "FontFile", [500, 600], "Type1"), ["Type1SubsetCharSet"]),
+    ("font_type1_width", _font(stream(_T1), "FontFile", [500, 650], "Type1", {"CharSet": Lit(b"/x/y")}), ["AdvanceWidthMismatch"]),
+    ("font_compact", _font(stream(_C1, Subtype=Name("Type1C")), "FontFile3", [500, 600], "Type1", {"CharSet": Lit(b"/x/y")}, b"(xy)"), []),
+    ("font_compact_width", _font(stream(_C1, Subtype=Name("Type1C")), "FontFile3", [500, 604], "Type1", {"CharSet": Lit(b"/x/y")}, b"(xy)"), ["AdvanceWidthMismatch"]),
+    ("cid_true_type", _cid(_SFNT, "CIDFontType2", "FontFile2", b"\x60", [1, [500, 600]]), []),
+    ("cid_no_set", _cid(_SFNT, "CIDFontType2", "FontFile2", None, [1, [500, 600]]), ["CIDSubsetCIDSet"]),
+    ("cid_short_set", _cid(_SFNT, "CIDFontType2", "FontFile2", b"\x40", [1, [500, 600]]), ["CIDSubsetCIDSet"]),
+    ("cid_width", _cid(_SFNT, "CIDFontType2", "FontFile2", b"\x60", [1, [500, 620]]), ["AdvanceWidthMismatch"]),
+    ("cid_default_width", _cid(_SFNT, "CIDFontType2", "FontFile2", b"\x60", [1, [500]], b"<00010002>"), ["AdvanceWidthMismatch"]),
+    ("cid_glyph", _cid(_SFNT, "CIDFontType2", "FontFile2", b"\x60", [1, [500, 600]], b"<0009>"), ["SubsetGlyphCoverage"]),
+    ("cid_compact", _cid(_CID, "CIDFontType0", "FontFile3", b"\xe0", [1, [500, 600]], b"<00010002>"), []),
+    ("cid_compact_set", _cid(_CID, "CIDFontType0", "FontFile3", b"\xc0", [1, [500, 600]]), ["CIDSubsetCIDSet"]),
+    ("cid_compact_width", _cid(_CID, "CIDFontType0", "FontFile3", b"\xe0", [1, [540, 600]]), ["AdvanceWidthMismatch"]),
+    ("cid_compact_glyph", _cid(_CID, "CIDFontType0", "FontFile3", b"\xe0", [1, 3, 500], b"<0003>"), ["SubsetGlyphCoverage"]),
+    ("type3", _type3(500), []),
+    ("type3_width", _type3(502), ["AdvanceWidthMismatch"]),
+    ("invisible", lambda o, t, x: (o[9].pop("FontFile2"), _content(b"BT 3 Tr /F0 12 Tf (x) Tj ET")(o, t, x)), []),
+    ("cid_missing", lambda o, t, x: (_type0()(o, t, x), o[9].pop("FontFile2")), ["CIDNotEmbedded"]),
+    ("font_encoding", _set(8, Encoding=Name("StandardEncoding")), ["TrueTypeEncoding"]),
+    ("default_cmyk", _default_space(b"0 0 0 1 k 0 0 1 1 re f", "DefaultCMYK"), []),
+    ("default_other", _default_space(b"0 0 0 1 k 0 0 1 1 re f", "DefaultRGB"), ["DeviceColourContentStream"]),
+    ("ef", _set(3, EF=Dict()), ["EmbeddedFileSpec"]),
+    ("big_array", _set(9, Big=[0] * 8192), ["ArrayTooLarge"]),
+    ("big_dict", lambda o, t, x: o[9].__setitem__("Big", Dict({f"K{k}": 0 for k in range(4096)})), ["DictTooLarge"]),
+    ("big_string", _set(9, Big=Lit(b"s" * 65536)), ["StringTooLong"]),
+    ("colorants", _image(b"\0", ColorSpace=[Name("DeviceN"), [Name(f"C{k}") for k in range(9)], Name("DeviceRGB"), Ref(14, 0)]), ["DeviceNColorants"]),
+    ("intent_array", _set(1, OutputIntents=Dict()), ["OutputIntentNotArray", "DeviceColourContentStream", "DeviceColourSpaceUsage", "WrongValueType"]),
+    ("intent_s_kind", _set(5, S=Lit(b"GTS_PDFA1")), ["OutputIntentInvalidS", "DeviceColourContentStream", "DeviceColourSpaceUsage", "WrongValueType"]),
+    ("intent_profile", _set(5, DestOutputProfile=None), ["OutputIntentUnresolvedProfile", "DeviceColourContentStream", "DeviceColourSpaceUsage"]),
+    ("intent_profile_kind", _set(5, DestOutputProfile=7), ["OutputIntentInvalidProfile", "DeviceColourContentStream", "DeviceColourSpaceUsage", "WrongValueType"]),
+    ("intent_n", _set(6, N=None), ["OutputIntentMissingN", "DeviceColourContentStream", "DeviceColourSpaceUsage"]),
+    ("intent_n_wrong", _set(6, N=2), ["OutputIntentInvalidN", "ICCBasedComponentsMismatch", "DeviceColourContentStream", "DeviceColourSpaceUsage"]),
+    ("image_opi", _image(b"\0" * 3, OPI=Dict()), ["ImageOPI"]),
+    ("image_intent", _image(b"\0" * 3, Intent=Name("Vivid")), ["ImageRenderingIntent"]),
+    ("form_opi", _set(14, OPI=Dict()), ["FormOPI"]),
+    ("form_subtype2", _set(14, Subtype2=Name("PS")), ["FormSubtype2PS"]),
+    ("form_ps", _set(14, PS=Ref(14, 0)), ["FormPSEntry", "FormPostScript"]),
+    ("postscript", _set(14, Subtype=Name("PS")), ["PostScriptXObject"]),
+    ("transfer2", _set(10, TR2=Name("Identity")), ["DefaultTransferFunction"]),
+    ("gs_intent", _set(10, RI=Name("Vivid")), ["ExtGStateRenderingIntent"]),
+    ("annot_invisible", _annot(F=5), ["InvisibleFlagSet"]),
+    ("annot_no_view", _annot(F=36), ["NoViewFlagSet"]),
+    ("annot_ap_n", _annot(AP=Dict(N=None)), ["AppearanceMissingN"]),
+    ("annot_ap_dict", _annot(AP=Dict(N=Dict(On=Ref(13, 0)))), ["AppearanceNNotStream"]),
+    ("annot_colour", _annot(C=[0, 0, 0, 1]), ["ColourWithoutIntent"]),
+    ("widget", _widget(), []),
+    ("widget_action", _widget(A=Dict(S=Name("GoTo"), D=[])), ["FieldAction"]),
+    ("widget_additional", _widget(AA=Dict()), ["FieldAdditionalActions"]),
+    ("widget_ap", _widget(AP=None), ["WidgetMissingAppearance"]),
+    ("xmp_description", _xmp(extra="<dc:description>plain</dc:description>"), ["MetadataFiltered", "MetadataPropertyType"]),
+    ("xmp_encoding", _xmp(head=' encoding="UTF-8"'), ["XPacketEncodingAttribute"]),
+    ("xmp_object", lambda o, t, x: (o.__setitem__(17, stream(b"<x/>", Type=Name("Metadata"))), o[14].__setitem__("Metadata", Ref(17, 0))), ["ObjectXMPNoXPacket"]),
+    ("xmp_unread", lambda o, t, x: o.__setitem__(4, stream(b"\0\0", Type=Name("Metadata"), Subtype=Name("XML"), Filter=Name("JBIG2Decode"))), ["MetadataFiltered", "XMPStreamUnreadable"]),
+    ("xmp_no_id", _packet("pdfaid", "other"), ["PDFAIdentifierMissing"]),
+    ("xmp_id_part", _packet("<pdfaid:part>1</pdfaid:part>", ""), ["PDFAIdentifierMissing"]),
+    ("xmp_id_uri", _packet("pdfa/ns/id/", "pdfa/ns/ids/"), ["PDFAIdentifierNamespace"]),
+    ("xmp_id_more", _xmp(extra="<pdfaid:own>1</pdfaid:own>"), ["PDFAIdentifierUndefinedProperty"]),
+    ("xmp_property", _xmp(extra="<dc:colour>red</dc:colour>"), ["MetadataFiltered"]),
+    ("xmp_form", _xmp(extra="<dc:subject>one</dc:subject>"), ["MetadataFiltered"]),
+    ("xmp_value", _xmp(extra="<dc:date><rdf:Seq><rdf:li>yesterday</rdf:li></rdf:Seq></dc:date>"), ["MetadataFiltered"]),
+    ("xmp_language", _xmp(extra="<dc:rights><rdf:Alt><rdf:li>mine</rdf:li></rdf:Alt></dc:rights>"), ["MetadataFiltered"]),
+    ("extension_struct", _xmp(extra=_own_type(_STRUCT)), []),
+    ("extension_simple", _xmp(extra=_own_type(_USE)), ["ExtPropertyComplexAsSimple"]),
+    ("extension_own_type", _xmp(extra=_own_type(_STRUCT, ("type", "namespaceURI", "description"))), ["ExtTypeInvalid"]),
+    ("extension_own_field", _xmp(extra=_own_type(_STRUCT, own=_TYPE.format("<pdfaField:name>f</pdfaField:name><pdfaField:valueType>Text</pdfaField:valueType>"))), ["ExtFieldInvalid"]),
+    ("comment", _replace(b"%\xe2\xe3\xcf\xd3\n", b"\n"), ["FileHeaderComment", "XRefKeyword"]),
+    ("comment_short", _replace(b"%\xe2\xe3\xcf\xd3\n", b"%\xe2\xe3\n  "), ["FileHeaderCommentLength"]),
+    ("xref_space", _replace(b"xref\n0 ", b"xref\n\n0 "), ["XRefSubsectionHeader"]),
+    ("xref_header", _replace(b"xref\n0 ", b"xref\n0  "), ["XRefSubsectionHeaderFormat"]),
+    ("stream_eol", _replace(b"stream\n\0\0\0\nendstream", b"stream\r\0\0\0\nendstream"), ["StreamKeywordEOL"]),
+    ("endstream_eol", _replace(b"\0\0\0\nendstream", b"\0\0\0endstream\n"), ["EndstreamEOL"]),
+    ("stream_length", _replace(b"/Length 3 /Subtype /Form", b"/Length 2 /Subtype /Form"), ["StreamLengthMismatch"]),
+    ("stream_length_eol", _replace(b"/Length 3 /Subtype /Form", b"/Length 4 /Subtype /Form"), ["StreamLengthIncludesEOL"]),
+    ("table_stream", lambda b: _table_as_stream(b), ["XRefStream"]),
+    ("nothing", lambda b: b"nothing", ["GraphResolutionFailure", "FileHeaderSignature", "FileHeaderComment", "TrailerEOF", "IndirectObjectsExceeded"]),
+    ("object_framing", _replace(b"12 0 obj\n", b"12 0 obj "), ["ObjectFraming"]),
     ("eof", lambda b: b + b"trailing bytes after the end", ["TrailerEOF"]),
     ("header", lambda b: b.replace(b"%PDF-1.4\n", b"%PDF-1x4\n", 1), ["FileHeaderSignature"]),
     ("comment_bytes", lambda b: b.replace(b"%\xe2\xe3\xcf\xd3", b"%abcd", 1), ["FileHeaderCommentBytes"]),
 ]
-_BYTES = {"eof", "header", "comment_bytes"}
+_BYTES = {"eof", "header", "comment_bytes", "comment", "comment_short", "xref_space", "xref_header", "stream_eol", "endstream_eol", "stream_length", "stream_length_eol", "object_framing", "table_stream", "nothing"}
 
 
 def make(text: str, defect: int) -> bytes:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscan.functions.xmp import ISO_DATE
+
 
 def is_hex_string(c: Column) -> Column:
     """Only hexadecimal digits and white space."""
@@ -63,7 +65,7 @@ def iso_to_pdf_date(c: Column) -> Column:
 
 
 def is_iso_date(c: Column) -> Column:
-    return c.rlike(r"^\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?)?)?)?$")
+    return c.rlike(f"^{ISO_DATE}$")
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

@@ -160,8 +160,8 @@ def container_rules() -> dict[str, Column]:
         "CIDSystemInfoMismatch": font & (name("Subtype") == "Type0") & (e("~SameSystem").s == "false"),
         "CIDToGIDMapMissing": cid & (name("Subtype") == "CIDFontType2") & ~has("CIDToGIDMap"),
         "CMapNotEmbedded": font & (name("Subtype") == "Type0") & ~name("Encoding").isin(*CMAPS),
-        "SimpleNotEmbedded": font & simple & (embedded == "none"),
-        "CIDNotEmbedded": cid & name("Subtype").isin("CIDFontType0", "CIDFontType2") & (embedded == "none"),
+        "SimpleNotEmbedded": font & simple & (embedded == "none") & ~truth("~Invisible"),
+        "CIDNotEmbedded": cid & name("Subtype").isin("CIDFontType0", "CIDFontType2") & (embedded == "none") & ~truth("~Invisible"),
         "TrueTypeEncoding": font & (name("Subtype") == "TrueType") & ~symbolic & ~F.coalesce(name("Encoding").isin("MacRomanEncoding", "WinAnsiEncoding") | e("Encoding").k.isin("dict"), F.lit(False)),
         "SymbolicTrueTypeEncoding": font & (name("Subtype") == "TrueType") & symbolic & has("Encoding"),
         "DisallowedSubtype": annot & ~F.coalesce(allowed, F.lit(False)),
@@ -251,10 +251,13 @@ def _found(application: str, profile: Profile) -> Column:
 
     kind, rules = F.col("kind"), container_rules()
     container = ~kind.isin("op", "file")
-    parts = of(kind == "op", operator_rules()) + of(kind == "file", file_rules())
+    reached = ~role("unreached") if profile.skip_unreachable_forms else F.lit(True)
+    if profile.skip_unused_simple_fonts:
+        rules["SimpleNotEmbedded"] &= truth("~Shown")
+    parts = of((kind == "op") & reached, operator_rules()) + of(kind == "file", file_rules())
     for gate, names in GATES.items():
         if gate[0] == "=":
-            test = (kind == "stream") & (name("Subtype") == gate[1:])
+            test = (kind == "stream") & (name("Subtype") == gate[1:]) & (reached if gate == "=Form" else F.lit(True))
         else:
             test = container & F.arrays_overlap("roles", F.array(*map(F.lit, gate.split())))
         parts += of(test, {k: rules.pop(k) for k in names.split()})

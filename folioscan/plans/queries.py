@@ -15,7 +15,7 @@ from folioscan.operators.fixpoint import repair
 from folioscan.operators.rules import OPERATORS, verify
 from folioscan.plans import conditions as c
 from folioscan.plans.catalog import all_checks, check_by_name, checks_frame, clause_key, profiles
-from folioscan.sources.pdf import files_meta, spread
+from folioscan.sources.pdf import content_texts, files_meta, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -610,24 +610,43 @@ def pdf_batch_totals(spark, sf_dir):
 _D = {n: k for k, (n, _, _) in enumerate(pdf_fixture.DEFECTS)}
 
 
-@query(f"""SELECT doc_id AS file_id, CASE WHEN doc_id % {_N} IN ({_D['header']}) THEN NULL ELSE '1.4' END AS version, 1 AS pages, 1 AS declared_pages,
-CASE doc_id % {_N} WHEN {_D['xmp_missing']} THEN NULL WHEN {_D['xmp_part']} THEN '2' ELSE '1' END AS part, CASE doc_id % {_N} WHEN {_D['xmp_missing']} THEN NULL WHEN {_D['xmp_level']} THEN 'U' ELSE 'B' END AS conformance,
-CASE WHEN doc_id % {_N} = {_D['info_array']} THEN NULL WHEN doc_id % {_N} = {_D['info_differs']} THEN 'another' ELSE trim(substr(text, 1, 40), ' ' || chr(10)) END AS title FROM documents""")
+def _of(*names: str) -> str:
+    """A test in SQL for the files of these defects."""
+    return f"doc_id % {_N} IN ({', '.join(str(_D[k]) for k in names)})"
+
+
+@query(f"""SELECT doc_id AS file_id, CASE WHEN {_of('header', 'nothing')} THEN NULL ELSE '1.4' END AS version, CASE WHEN {_of('nothing')} THEN 0 ELSE 1 END AS pages, CASE WHEN {_of('nothing')} THEN 0 ELSE 1 END AS declared_pages,
+CASE WHEN {_of('xmp_missing', 'xmp_unread', 'xmp_no_id', 'xmp_id_part', 'nothing')} THEN NULL WHEN {_of('xmp_part')} THEN '2' ELSE '1' END AS part, CASE WHEN {_of('xmp_missing', 'xmp_unread', 'xmp_no_id', 'nothing')} THEN NULL WHEN {_of('xmp_level')} THEN 'U' ELSE 'B' END AS conformance,
+CASE WHEN {_of('info_array', 'nothing')} THEN NULL WHEN {_of('info_differs')} THEN 'another' ELSE trim(substr(text, 1, 40), ' ' || chr(10)) END AS title FROM documents""")
 def pdf_metadata(spark, sf_dir):
     return files_meta(_files(spark, sf_dir)).select("file_id", "version", "pages", "declared_pages", "part", "conformance", F.col("info")["Title"].alias("title"))
 
 
 #: Defects that no fixer mends.
-_LEFT = ("cmyk", "image_bits", "image_mask", "image_cmyk", "soft_mask", "font_subtype", "font_base", "font_program", "font_missing", "separation", "cmap_name", "symbolic_cmap", "model_missing")
+_LEFT = (
+    "cmyk image_bits image_mask image_cmyk soft_mask font_subtype font_base font_program font_missing separation cmap_name symbolic_cmap model_missing font_width font_shown font_char_set font_char_set_none font_type1_width font_compact_width "
+    "cid_no_set cid_short_set cid_width cid_default_width cid_glyph cid_compact_set cid_compact_width cid_compact_glyph type3_width cid_missing default_other big_array big_dict colorants postscript nothing"
+).split()
 
 
-@query(f"SELECT doc_id AS file_id, check_id, n::BIGINT AS n FROM documents JOIN {_WANTED} ON doc_id % {_N} = defect WHERE defect IN ({', '.join(str(_D[k]) for k in _LEFT)})")
+@query(f"SELECT doc_id AS file_id, check_id, n::BIGINT AS n FROM documents JOIN {_WANTED} ON doc_id % {_N} = defect WHERE {_of(*_LEFT)}")
 def pdf_convert_residual(spark, sf_dir):
     return results.issues_by_check(convert(_files(spark, sf_dir), "strict_1b")[2])
 
 
-@query(f"""SELECT doc_id AS file_id, CASE doc_id % {_N} WHEN {_D['info_array']} THEN NULL WHEN {_D['info_differs']} THEN 'another' ELSE regexp_replace(trim(substr(text, 1, 40), ' ' || chr(10)), '\\s+', ' ', 'g') END AS title,
+@query(f"""SELECT doc_id AS file_id, CASE WHEN {_of('info_array', 'nothing')} THEN NULL WHEN {_of('info_differs')} THEN 'another' ELSE regexp_replace(trim(substr(text, 1, 40), ' ' || chr(10)), '\\s+', ' ', 'g') END AS title,
 CASE WHEN doc_id % {_N} IN ({_VALID}) THEN 0 ELSE 1 END AS rounds FROM documents""")
 def pdf_convert_roundtrip(spark, sf_dir):
-    title = F.udf(text_of, "string")
+    @F.pandas_udf("string")
+    def title(content):
+        return content.map(text_of)
+
     return convert(_files(spark, sf_dir), "strict_1b")[0].select("file_id", title("content").alias("title"), "rounds")
+
+
+@query(f"SELECT doc_id AS file_id, CASE WHEN {_of('nothing')} THEN '' ELSE md5(text) END AS md5 FROM documents WHERE NOT {_of('cmyk', 'nesting', 'operator', 'intent_op', 'inline_lzw', 'invisible', 'default_cmyk', 'default_other')} AND NOT starts_with([{', '.join(repr(k) for k, _, _ in pdf_fixture.DEFECTS)}][doc_id % {_N} + 1], 'font_') AND NOT starts_with([{', '.join(repr(k) for k, _, _ in pdf_fixture.DEFECTS)}][doc_id % {_N} + 1], 'cid_')")
+def pdf_content_text(spark, sf_dir):
+    """The whole text of each file whose content keeps it, from its content's operators."""
+    gone = [k for k, (n, _, _) in enumerate(pdf_fixture.DEFECTS) if n in ("cmyk", "nesting", "operator", "intent_op", "inline_lzw", "invisible", "default_cmyk", "default_other") or n.startswith(("font_", "cid_"))]
+    t = content_texts(_files(spark, sf_dir).where(~(F.col("file_id") % _N).isin(gone)))
+    return t.select("file_id", F.when(F.col("pages") == 0, "").otherwise(F.md5("text")).alias("md5"))

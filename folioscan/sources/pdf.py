@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folioscan.functions import xmp
+from folioscan.functions import fonts, xmp
+from folioscan.sources.content_usage import Usage, content_usage, page_dicts
 from folioscan.sources.pdf_bytes import Dict, Document, Hex, Name, ParseError, Ref, text_string, tokenize_content
 
 ENTRY = "struct<k:string,s:string,n:double,len:int,ref:boolean>"
 NODES = f"file_id bigint, node_id int, obj_num int, page int, kind string, roles array<string>, op string, seq int, entries map<string,{ENTRY}>, faults array<struct<rule:string,page:int>>, coverage array<string>"
 _ENTRY = pa.struct([("k", pa.string()), ("s", pa.string()), ("n", pa.float64()), ("len", pa.int32()), ("ref", pa.bool_())])
 _ARROW = pa.schema([("file_id", pa.int64()), ("node_id", pa.int32()), ("obj_num", pa.int32()), ("page", pa.int32()), ("kind", pa.string()), ("roles", pa.list_(pa.string())), ("op", pa.string()), ("seq", pa.int32()), ("entries", pa.map_(pa.string(), _ENTRY)), ("faults", pa.list_(pa.struct([("rule", pa.string()), ("page", pa.int32())]))), ("coverage", pa.list_(pa.string()))])
+DEFAULT_SPACES = {"gray": "DefaultGray", "rgb": "DefaultRGB", "cmyk": "DefaultCMYK"}
 #: Open saves of the graphics state at most.
 MAX_NESTING = 28
 #: Tasks for each core that files are spread over where their scan has fewer, so that no core waits for the others.
@@ -106,6 +108,9 @@ class Walk:
         self.coverage: list[str] = []
         self.seen: set[int] = set()
         self.deep: list[int] = []  # the pages of saves that nest too deep
+        self.tokens: dict[int, list] = {}
+        self.defaults: list[str] = []  # the models that the page's resources replace
+        self.used: Usage | None = None
 
     def row(self, kind: str, **x) -> dict:
         r = {"file_id": self.file_id, "node_id": len(self.rows), "obj_num": None, "page": self.page, "kind": kind, "roles": [], "op": None, "seq": None, "entries": [], "faults": [], "coverage": self.coverage} | x
@@ -118,6 +123,7 @@ class Walk:
             self.row("file", entries=self.header(), faults=[{"rule": "GraphResolutionFailure", "page": 0}])
             return self.rows
         self.cover()
+        self.used = content_usage(d, self.ops)
         try:
             trailer = Dict(d.trailer)
             self.visit(trailer, ["trailer"], 0, None)
@@ -148,6 +154,21 @@ class Walk:
             if isinstance(p, Dict) and (n := d.resolve(p.get("N"))) in (1, 3, 4):
                 self.coverage = {1: ["gray"], 3: ["gray", "rgb"], 4: ["gray", "cmyk"]}[n]
 
+    def ops(self, s: Dict) -> list[tuple[str, list]]:
+        """The operators of a stream, tokenized once."""
+        if (found := self.tokens.get(id(s))) is None:
+            try:
+                found = tokenize_content(self.doc.decoded(s))
+            except ValueError:
+                found = []
+            self.tokens[id(s)] = found
+        return found
+
+    def replaced(self, resources: object) -> list[str]:
+        """The device models for which resources name a default space."""
+        spaces = self.doc.resolve(resources.get("ColorSpace")) if isinstance(resources, Dict) else None
+        return [m for m, k in DEFAULT_SPACES.items() if isinstance(spaces, Dict) and self.doc.resolve(spaces.get(k)) is not None]
+
     def visit(self, v: object, roles: list[str], depth: int, num: int | None) -> None:
         d = self.doc
         if not isinstance(v, (Dict, list)) or id(v) in self.seen or depth > 900:
@@ -158,9 +179,16 @@ class Walk:
             self.pages += 1
             self.page = self.pages
             roles = [*roles, "page"]
+            self.defaults = self.replaced(d.resolve(v.get("Resources")))
+        if isinstance(v, Dict) and v.is_stream and v.get("Subtype") == "Form" and id(v) not in self.used.forms:
+            roles = [*roles, "unreached"]
         entries = [(k, entry(d.resolve(x), isinstance(x, Ref))) for k, x in items]
         r = self.row("array" if isinstance(v, list) else "stream" if v.is_stream else "dict", obj_num=num, roles=roles)
         r["entries"] = entries + [(f"~{k}", entry(x)) for k, x in (self.facts(v, roles).items() if isinstance(v, Dict) else ())]
+        if isinstance(v, Dict) and (v.get("Subtype") == "Image" or "shading" in roles) and self.defaults:
+            r["coverage"] = [*self.coverage, *self.defaults]
+        if isinstance(v, Dict) and ("font" in roles or "cidfont" in roles):
+            r["faults"] = [{"rule": x, "page": self.page} for x in self.font_faults(v)]
         if isinstance(v, Dict) and v.is_stream:
             self.content(v, roles)
         for k, x in items:
@@ -180,6 +208,48 @@ class Walk:
             own += [x[5:] for x in roles if x.startswith("each:")]
             self.visit(child, own, depth + 1, x.num if isinstance(x, Ref) else None)
 
+    def font_faults(self, v: Dict) -> list[str]:
+        """What a font dictionary states against its program and its use."""
+        d, get = self.doc, self.doc.resolve
+        if v.get("Type") != "Font" or self.used.invisible_only(v):
+            return []
+        plain = lambda x: {k: plain(y) for k, y in x.items()} if isinstance(x := get(x), Dict) and not x.is_stream else [get(y) for y in x] if isinstance(x, list) else x
+        kind, f = get(v.get("Subtype")), get(v.get("FontDescriptor"))
+        first, last, widths = get(v.get("FirstChar")), get(v.get("LastChar")), get(v.get("Widths"))
+        widths = [fonts.number(get(w)) or 0 for w in widths] if isinstance(widths, list) else None
+        stated = type(first) is type(last) is int and widths is not None
+        if kind == "Type3":
+            enc, procs = plain(v.get("Encoding")), get(v.get("CharProcs"))
+            names = fonts.glyph_table(enc) if isinstance(enc, dict) and "Differences" in enc else None
+            if not stated or names is None or not isinstance(procs, Dict):
+                return []
+            advances = {}
+            for k, x in procs.items():
+                x = get(x)
+                ops = self.ops(x) if isinstance(x, Dict) and x.is_stream else []
+                n = next((fonts.number(o[0]) for op, o in ops if op in ("d0", "d1") and o), None)
+                if n is not None:
+                    advances[k] = n
+            return ["AdvanceWidthMismatch"] * fonts.type3_fault(first, last, widths, dict(enumerate(names)), advances)
+        if not isinstance(f, Dict):
+            return []
+        key = next((k for k in ("FontFile", "FontFile2", "FontFile3") if isinstance(get(f.get(k)), Dict)), "")
+
+        def body(x: object) -> bytes | None:
+            try:
+                return d.decoded(x) if isinstance(x, Dict) and x.is_stream else None
+            except ValueError:
+                return None
+
+        flags, w, dw = get(f.get("Flags")), get(v.get("W")), fonts.number(get(v.get("DW")))
+        used = self.used.cids.get(id(v)) if kind in ("CIDFontType0", "CIDFontType2") else self.used.codes.get(id(v))
+        chars = get(f.get("CharSet"))
+        return fonts.font_faults(fonts.Program(
+            str(kind), fonts.SUBSET_TAG.match(str(get(v.get("BaseFont")) or "")) is not None, first if stated else None, [int(x) for x in widths or []] if stated else [], plain(v.get("Encoding")), isinstance(flags, int) and flags & 4 != 0,
+            key, body(get(f.get(key))) or b"" if key else b"", text_string(chars) if isinstance(chars, bytes) else None, body(get(f.get("CIDSet"))), get(f.get("CIDSet")) is not None,
+            get(v.get("CIDToGIDMap")) in (None, "Identity"), fonts.cid_widths([plain(x) for x in w]) if isinstance(w, list) else None, int(dw) if dw is not None else 1000, frozenset(used) if used is not None else None,
+        ))
+
     def facts(self, v: Dict, roles: list[str]) -> dict[str, object]:
         """What rules need to know of an entry's target."""
         d, out = self.doc, {}
@@ -188,6 +258,7 @@ class Walk:
             f = f if isinstance(f, Dict) else {}
             out["Embedded"] = Name(next((k for k in ("FontFile", "FontFile2", "FontFile3") if isinstance(d.resolve(f.get(k)), Dict)), "none"))
             out["Flags"] = d.resolve(f.get("Flags")) or 0
+            out |= {"Shown": id(v) in self.used.codes, "Invisible": self.used.invisible_only(v)}
             first, last = d.resolve(v.get("FirstChar")), d.resolve(v.get("LastChar"))
             if isinstance(first, int) and isinstance(last, int):
                 out["Span"] = last - first + 1
@@ -261,17 +332,16 @@ class Walk:
     def content(self, v: Dict, roles: list[str]) -> None:
         if "content" not in roles and not ("xobject" in roles and v.get("Subtype") == "Form") and "pattern" not in roles:
             return
-        try:
-            ops = tokenize_content(self.doc.decoded(v))
-        except ValueError:
-            return
+        ops = self.ops(v)
+        coverage = [*self.coverage, *self.defaults, *self.replaced(self.doc.resolve(v.get("Resources")))]
+        unreached = ["unreached"] if "unreached" in roles else []
         at, depth = len(self.rows) - 1, 0
         for seq, (op, operands) in enumerate(ops):
             depth = depth + 1 if op == "q" else max(0, depth - 1) if op == "Q" else depth
             if op == "q" and depth > MAX_NESTING:
                 self.deep.append(self.page)
             x = [(k, entry(y)) for k, y in operands[0].items()] if op == "BI" else [(str(k), entry(y)) for k, y in enumerate(operands)]
-            self.row("op", obj_num=at, op=op, seq=seq, entries=x)
+            self.row("op", obj_num=at, op=op, seq=seq, entries=x, coverage=coverage, roles=unreached)
 
     def metadata(self) -> list[dict]:
         d = self.doc
@@ -355,16 +425,7 @@ META = "file_id bigint, version string, pages int, declared_pages int, part stri
 
 def page_count(d: Document) -> int:
     """The pages that are reachable in the page tree, each once."""
-    n, seen, todo = 0, set(), [d.path("Root", "Pages")]
-    while todo:
-        v = d.resolve(todo.pop())
-        if not isinstance(v, Dict) or id(v) in seen:
-            continue
-        seen.add(id(v))
-        n += v.get("Type") == "Page"
-        kids = d.resolve(v.get("Kids"))
-        todo += kids if isinstance(kids, list) else []
-    return n
+    return sum(1 for _ in page_dicts(d))
 
 
 def files_meta(files: DataFrame) -> DataFrame:
@@ -392,3 +453,34 @@ def files_meta(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([one(k, c.as_py() or b"") for k, c in zip(b.column(0).to_pylist(), b.column(1))], kinds)
 
     return spread(files.select(F.col("file_id").cast("bigint").alias("file_id"), "content")).mapInArrow(read, META)
+
+
+def content_texts(files: DataFrame) -> DataFrame:
+    """file_id, pages and text: what the marked content of the pages states as its actual text, in order."""
+
+    def one(content: bytes) -> tuple[int, str]:
+        d = Document(content).open()
+        n, parts = 0, []
+        for page, _ in page_dicts(d) if not d.error else ():
+            n += 1
+            c = d.resolve(page.get("Contents"))
+            for s in [c] if isinstance(c, Dict) else c if isinstance(c, list) else []:
+                s = d.resolve(s)
+                if not isinstance(s, Dict) or not s.is_stream:
+                    continue
+                try:
+                    ops = tokenize_content(d.decoded(s))
+                except ValueError:
+                    continue
+                for op, operands in ops:
+                    t = operands[1].get("ActualText") if op == "BDC" and len(operands) > 1 and isinstance(operands[1], Dict) else None
+                    if isinstance(t, bytes):
+                        parts.append(t.value if isinstance(t, Hex) else bytes(t))
+        return n, b"".join(parts).decode("utf-8", "replace")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [one(c.as_py() or b"") for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string())], ["file_id", "pages", "text"])
+
+    return spread(files.select(F.col("file_id").cast("bigint").alias("file_id"), "content")).mapInArrow(read, "file_id bigint, pages int, text string")

@@ -23,6 +23,8 @@ _TOKEN = re.compile(
     rb"(?:[ \t\r\n\f\0]+|%[^\r\n]*)*(?:/(?P<name>[^ \t\r\n\f\0()<>\[\]{}/%]*)|(?P<int>[+-]?\d+)(?=[ \t\r\n\f\0()<>\[\]{}/%]|\Z)|(?P<real>[+-]?(?:\d+\.\d*|\.\d+))(?=[ \t\r\n\f\0()<>\[\]{}/%]|\Z)"
     rb"|(?P<word>[^ \t\r\n\f\0()<>\[\]{}/%]+)|(?P<mark><<|>>|[()<>\[\]{}]))"
 )
+#: An escaped byte, or a parenthesis.
+_PARENTHESIS = re.compile(rb"\\.|[()]", re.S)
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[ \t\r\n\f\0]+(\d{1,5})[ \t\r\n\f\0]+obj(?![a-z])")
 
 
@@ -80,6 +82,9 @@ _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"(
 def unescape_literal(raw: bytes) -> bytes:
     """Escapes, octal codes and continued lines of a literal string."""
 
+    if b"\\" not in raw and b"\r" not in raw:
+        return raw
+
     def one(m: re.Match) -> bytes:
         x = m[0]
         if x[0] != 0x5C:
@@ -104,20 +109,17 @@ class Lexer:
             self.at = m.end()
 
     def literal(self) -> Lit:
-        depth, k, d = 1, self.at + 1, self.data
-        start = k
-        while k < len(d):
-            c = d[k]
-            if c == 0x5C:
-                k += 1
-            elif c == 0x28:
+        depth, d = 1, self.data
+        start = self.at + 1
+        for m in _PARENTHESIS.finditer(d, start):
+            c = m[0]
+            if c == b"(":
                 depth += 1
-            elif c == 0x29:
+            elif c == b")":
                 depth -= 1
                 if not depth:
-                    self.at = k + 1
-                    return Lit(unescape_literal(d[start:k]))
-            k += 1
+                    self.at = m.end()
+                    return Lit(unescape_literal(d[start : m.start()]))
         raise ParseError("a string without its end")
 
     def value(self, depth: int = 0, content: bool = False):
