@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import zlib
 
+from folioscan.functions.ccitt import decode_ccitt
+
 MAX_INFLATED = 256 << 20
 
 
@@ -13,6 +15,8 @@ def inflate(data: bytes, limit: int = MAX_INFLATED) -> bytes:
     z, out = zlib.decompressobj(), b""
     try:
         out = z.decompress(data, limit)
+        if z.unconsumed_tail and not z.eof:
+            raise ValueError(f"more than {limit} bytes inflated")
         return out + z.flush() if z.eof else out
     except zlib.error:
         parts, z = [], zlib.decompressobj()
@@ -220,7 +224,12 @@ FILTERS = {"FlateDecode": inflate, "Fl": inflate, "ASCIIHexDecode": ascii_hex, "
 def decode_chain(data: bytes, names: list[str], parms: list[dict]) -> bytes:
     """Filters one after another, each with its predictor; an unknown filter is an error."""
     for k, name in enumerate(names):
+        own = parms[k] if k < len(parms) and isinstance(parms[k], dict) else {}
+        if name in ("CCITTFaxDecode", "CCF"):
+            whole = lambda key, d, own=own: v if type(v := own.get(key, d)) is int else d
+            data = decode_ccitt(data, whole("K", 0), whole("Columns", 1728), whole("Rows", 0), own.get("BlackIs1") is True, own.get("EncodedByteAlign") is True)
+            continue
         if name not in FILTERS:
             raise ValueError(f"no decoder for {name}")
-        data = predicted(FILTERS[name](data), parms[k] if k < len(parms) and parms[k] else {})
+        data = predicted(FILTERS[name](data, own.get("EarlyChange", 1)) if FILTERS[name] is lzw else FILTERS[name](data), own)
     return data
