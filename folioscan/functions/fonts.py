@@ -938,3 +938,82 @@ def type3_fault(first: int, last: int, widths: list[float], names: dict[int, str
         if a is not None and _far(a, w):
             return True
     return False
+
+
+def program_of(v: dict, get, body, used) -> Program | None:
+    """The Program of a font dictionary; None without a descriptor. get resolves references, body decodes a stream (None
+    where it can't), used are the codes, or the CIDs, in use."""
+    kind, f = get(v.get("Subtype")), get(v.get("FontDescriptor"))
+    if not isinstance(f, dict):
+        return None
+    first, last, widths = get(v.get("FirstChar")), get(v.get("LastChar")), get(v.get("Widths"))
+    stated = type(first) is type(last) is int and isinstance(widths, list)
+    enc = get(v.get("Encoding"))
+    if isinstance(enc, dict):
+        differences = get(enc.get("Differences"))
+        enc = {k: get(x) for k, x in enc.items()} | ({"Differences": [get(x) for x in differences]} if isinstance(differences, list) else {})
+    key = next((k for k in ("FontFile", "FontFile2", "FontFile3") if isinstance(get(f.get(k)), dict)), "")
+    flags, w, dw, chars, cids = get(f.get("Flags")), get(v.get("W")), number(get(v.get("DW"))), get(f.get("CharSet")), get(f.get("CIDSet"))
+    names = chars.value if hasattr(chars, "value") else chars
+    return Program(
+        str(kind), SUBSET_TAG.match(str(get(v.get("BaseFont")) or "")) is not None, first if stated else None, [int(number(get(x)) or 0) for x in widths] if stated else [], enc, isinstance(flags, int) and flags & 4 != 0,
+        key, body(get(f.get(key))) or b"" if key else b"", names.decode("latin-1") if isinstance(names, bytes) else None, body(cids), cids is not None,
+        get(v.get("CIDToGIDMap")) in (None, "Identity"), cid_widths(w, get) if isinstance(w, list) else None, int(dw) if dw is not None else 1000, frozenset(used) if used is not None else None,
+    )
+
+
+def type3_advances(procs: object, get, ops_of) -> dict[str, float]:
+    """By glyph, the width that its procedure states."""
+    out = {}
+    for k, x in procs.items() if isinstance(procs, dict) else ():
+        x = get(x)
+        n = next((number(o[0]) for op, o in (ops_of(x) if isinstance(x, dict) else ()) if op in ("d0", "d1") and o), None)
+        if n is not None:
+            out[k] = n
+    return out
+
+
+def code_widths(f: Program) -> dict[int, int]:
+    """By code or CID, the advance that the program has for it, as far as it tells."""
+    if f.subtype == "TrueType" and (t := sfnt(f.data)):
+        gid, out = _simple_gid(f, t), {}
+        for c in range(256):
+            g, told = gid(c)
+            if told and g and (a := advance(t, g)) is not None:
+                out[c] = a
+        return out
+    if f.subtype in ("Type1", "MMType1"):
+        if f.kind == "FontFile":
+            program = type1(f.data)
+            table = encoding(f.enc) if isinstance(f.enc, str) else program.encoding if program and f.enc is None else glyph_table(f.enc)
+            widths: dict = type1_widths(program)
+        else:
+            table, widths = glyph_table(f.enc), cff_widths(cff(f.data))
+        return {c: widths[n] for c, n in enumerate(table or ()) if n and n in widths}
+    if f.subtype == "CIDFontType2" and (t := sfnt(f.data)):
+        return {g: a for g in range(glyph_count(t)) if present(t, g) and (a := advance(t, g)) is not None}
+    if f.subtype == "CIDFontType0" and (c := cff(f.data)) and c.by_cid:
+        return {k: w for k, w in cff_widths(c).items() if isinstance(k, int)}
+    return {}
+
+
+def subset_names(f: Program) -> str | None:
+    """The CharSet of a Type 1 program; None of another."""
+    program = type1(f.data) if f.kind == "FontFile" else None
+    compact = cff(f.data) if f.kind == "FontFile3" else None
+    names = list(program.charstrings) if program else compact.names if compact and not compact.by_cid else None
+    return "".join("/" + n for n in names if n != ".notdef") if names else None
+
+
+def subset_bits(f: Program) -> bytes | None:
+    """The CIDSet of a program by CID; None of another."""
+    if f.subtype == "CIDFontType0" and (c := cff(f.data)) and c.by_cid:
+        cids = c.sids
+    elif f.subtype == "CIDFontType2" and (t := sfnt(f.data)):
+        cids = [0, *(g for g in range(1, glyph_count(t)) if glyph_data(t, g))]
+    else:
+        return None
+    out = bytearray(max(cids) // 8 + 1)
+    for c in cids:
+        out[c // 8] |= 0x80 >> c % 8
+    return bytes(out)

@@ -245,6 +245,15 @@ def _table_as_stream(data: bytes) -> bytes:
     return head + b"%d 0 obj\n<<%s /Type /XRef /W [1 4 1] /Length %d>>\nstream\n" % (num, trailer, len(rows)) + rows + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % len(head)
 
 
+def _colorants(o: dict[int, object], t: dict, text: str) -> None:
+    """An image and a page in a space of nine colorants with a function."""
+    o[17] = stream(b"{" + b"pop " * 6 + b"}", FunctionType=4, Domain=[0, 1] * 9, Range=[0, 1] * 3)
+    o[18] = [Name("DeviceN"), [Name(f"C{k}") for k in range(9)], Name("DeviceRGB"), Ref(17, 0)]
+    o[11] = stream(bytes(range(9)), **{**o[11], "ColorSpace": Ref(18, 0)})
+    o[3]["Resources"]["ColorSpace"] = Dict(N9=Ref(18, 0))
+    _content(b"/N9 cs 0.1 0.2 0.3 0 0 0 0 0 0 scn 0 0 1 1 re f")(o, t, text)
+
+
 _TYPE = '<pdfaSchema:valueType><rdf:Seq><rdf:li rdf:parseType="Resource">{}</rdf:li></rdf:Seq></pdfaSchema:valueType>'
 
 
@@ -381,6 +390,8 @@ DEFECTS: list[tuple[str, object, list[str]]] = [
     ("big_dict", lambda o, t, x: o[9].__setitem__("Big", Dict({f"K{k}": 0 for k in range(4096)})), ["DictTooLarge"]),
     ("big_string", _set(9, Big=Lit(b"s" * 65536)), ["StringTooLong"]),
     ("colorants", _image(b"\0", ColorSpace=[Name("DeviceN"), [Name(f"C{k}") for k in range(9)], Name("DeviceRGB"), Ref(14, 0)]), ["DeviceNColorants"]),
+    ("colorants_function", _colorants, ["DeviceNColorants"]),
+    ("big_resources", lambda o, t, x: o[3]["Resources"]["ExtGState"].update({f"G{k}": Ref(10, 0) for k in range(4100)}), ["DictTooLarge"]),
     ("intent_array", _set(1, OutputIntents=Dict()), ["OutputIntentNotArray", "DeviceColourContentStream", "DeviceColourSpaceUsage", "WrongValueType"]),
     ("intent_s_kind", _set(5, S=Lit(b"GTS_PDFA1")), ["OutputIntentInvalidS", "DeviceColourContentStream", "DeviceColourSpaceUsage", "WrongValueType"]),
     ("intent_profile", _set(5, DestOutputProfile=None), ["OutputIntentUnresolvedProfile", "DeviceColourContentStream", "DeviceColourSpaceUsage"]),

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import xmp
+from folioscan.operators import colour_repair, font_repair
 from folioscan.functions.decoders import lzw
 from folioscan.operators.fixpoint import MAX_ROUNDS, repair
 from folioscan.operators.graph import written
@@ -454,7 +455,8 @@ FIXERS: dict[str, Callable[[Editor], None]] = {
     "disallowedAnnotFixer": disallowed_annotations, "annotColourFixer": annotation_colours, "appearanceFixer": appearances, "contentLimitsFixer": content_limits, "actionFixer": actions,
     "extGStateFixer": graphics_states, "annotationFlagsFixer": annotation_flags, "formFixer": fields, "imageMetadataFixer": image_metadata, "postScriptXObjectFixer": postscript,
     "optionalContentFixer": drop("OCProperties"), "viewerPrefFixer": viewer, "fileSpecFixer": file_specs, "fontDictFixer": font_dicts, "type0FontFixer": composite_fonts, "cmapCIDClampFixer": cmap_cids, "trueTypeEncodingFixer": true_type_encodings,
-    "pagesTreeArrayFixer": big_arrays, "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "inlineImageLZWFixer": inline_lzw, "transparencyFlattener": plain_groups,
+    "fontMetricFixer": font_repair.metrics, "fontSubsetMetaFixer": font_repair.subset_meta, "deviceColourFixer": lambda e: colour_repair.default_spaces(e, profile_bytes), "deviceNColorantsFixer": lambda e: colour_repair.colorants(e, write_content),
+    "resourceDictPruneFixer": colour_repair.prune, "pagesTreeArrayFixer": big_arrays, "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "inlineImageLZWFixer": inline_lzw, "transparencyFlattener": plain_groups,
     **dict.fromkeys(("missingRequiredKeyFixer", "wrongValueTypeFixer", "disallowedValueFixer", "indirectRequiredFixer", "post14KeyFixer", "constraintFixer"), object_model),
 }
 

@@ -624,8 +624,7 @@ def pdf_metadata(spark, sf_dir):
 
 #: Defects that no fixer mends.
 _LEFT = (
-    "cmyk image_bits image_mask image_cmyk soft_mask font_subtype font_base font_program font_missing separation cmap_name symbolic_cmap model_missing font_width font_shown font_char_set font_char_set_none font_type1_width font_compact_width "
-    "cid_no_set cid_short_set cid_width cid_default_width cid_glyph cid_compact_set cid_compact_width cid_compact_glyph type3_width cid_missing default_other big_array big_dict colorants postscript nothing"
+    "image_bits image_mask soft_mask font_subtype font_base font_program font_missing separation cmap_name symbolic_cmap model_missing font_shown cid_glyph cid_compact_glyph cid_missing big_array big_dict colorants postscript nothing"
 ).split()
 
 

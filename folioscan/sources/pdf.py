@@ -213,27 +213,15 @@ class Walk:
         d, get = self.doc, self.doc.resolve
         if v.get("Type") != "Font" or self.used.invisible_only(v):
             return []
-        plain = lambda x: {k: plain(y) for k, y in x.items()} if isinstance(x := get(x), Dict) and not x.is_stream else [get(y) for y in x] if isinstance(x, list) else x
-        kind, f = get(v.get("Subtype")), get(v.get("FontDescriptor"))
-        first, last, widths = get(v.get("FirstChar")), get(v.get("LastChar")), get(v.get("Widths"))
-        widths = [fonts.number(get(w)) or 0 for w in widths] if isinstance(widths, list) else None
-        stated = type(first) is type(last) is int and widths is not None
+        kind = get(v.get("Subtype"))
         if kind == "Type3":
-            enc, procs = plain(v.get("Encoding")), get(v.get("CharProcs"))
-            names = fonts.glyph_table(enc) if isinstance(enc, dict) and "Differences" in enc else None
-            if not stated or names is None or not isinstance(procs, Dict):
+            enc = get(v.get("Encoding"))
+            first, last, widths = get(v.get("FirstChar")), get(v.get("LastChar")), get(v.get("Widths"))
+            if not (type(first) is type(last) is int and isinstance(widths, list) and isinstance(enc, Dict) and isinstance(get(enc.get("Differences")), list)):
                 return []
-            advances = {}
-            for k, x in procs.items():
-                x = get(x)
-                ops = self.ops(x) if isinstance(x, Dict) and x.is_stream else []
-                n = next((fonts.number(o[0]) for op, o in ops if op in ("d0", "d1") and o), None)
-                if n is not None:
-                    advances[k] = n
-            return ["AdvanceWidthMismatch"] * fonts.type3_fault(first, last, widths, dict(enumerate(names)), advances)
-        if not isinstance(f, Dict):
-            return []
-        key = next((k for k in ("FontFile", "FontFile2", "FontFile3") if isinstance(get(f.get(k)), Dict)), "")
+            widths = [fonts.number(get(w)) or 0.0 for w in widths]
+            advances = fonts.type3_advances(get(v.get("CharProcs")), get, lambda s: self.ops(s) if s.is_stream else [])
+            return ["AdvanceWidthMismatch"] * fonts.type3_fault(first, last, widths, dict(enumerate(fonts.glyph_table(enc, get))), advances)
 
         def body(x: object) -> bytes | None:
             try:
@@ -241,14 +229,9 @@ class Walk:
             except ValueError:
                 return None
 
-        flags, w, dw = get(f.get("Flags")), get(v.get("W")), fonts.number(get(v.get("DW")))
         used = self.used.cids.get(id(v)) if kind in ("CIDFontType0", "CIDFontType2") else self.used.codes.get(id(v))
-        chars = get(f.get("CharSet"))
-        return fonts.font_faults(fonts.Program(
-            str(kind), fonts.SUBSET_TAG.match(str(get(v.get("BaseFont")) or "")) is not None, first if stated else None, [int(x) for x in widths or []] if stated else [], plain(v.get("Encoding")), isinstance(flags, int) and flags & 4 != 0,
-            key, body(get(f.get(key))) or b"" if key else b"", text_string(chars) if isinstance(chars, bytes) else None, body(get(f.get("CIDSet"))), get(f.get("CIDSet")) is not None,
-            get(v.get("CIDToGIDMap")) in (None, "Identity"), fonts.cid_widths([plain(x) for x in w]) if isinstance(w, list) else None, int(dw) if dw is not None else 1000, frozenset(used) if used is not None else None,
-        ))
+        program = fonts.program_of(v, get, body, used)
+        return fonts.font_faults(program) if program else []
 
     def facts(self, v: Dict, roles: list[str]) -> dict[str, object]:
         """What rules need to know of an entry's target."""
