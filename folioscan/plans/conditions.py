@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscan.functions.fonts import STANDARD_14
+
 TOLERANCE = 1e-5
 
 
@@ -43,6 +45,8 @@ class Cond:
     factor: float = 1.0
     add: float = 0.0
     use: str = "value"
+    other_use: str = "value"
+    minus: str = ""
 
 
 def present(key: str) -> Cond:
@@ -110,6 +114,8 @@ def compile_cond(c: Cond, fields: Fields) -> Column:
         return same if c.op == "eq" else ~same
     if c.op == "contains":
         return F.when(~here, F.lit(False)).otherwise(F.contains(e.text, F.lit(str(c.value))))
+    if c.op == "not_standard_14":
+        return F.when(here, ~e.text.isin(*sorted(STANDARD_14)))
     left = F.when(here, (e.length if c.use == "length" else e.number).cast("double"))
     if c.op == "mod":
         return F.when(left == F.floor(left), F.pmod(left.cast("bigint"), F.lit(int(c.factor))) == F.lit(int(c.value)))
@@ -118,7 +124,10 @@ def compile_cond(c: Cond, fields: Fields) -> Column:
         return F.when(left == F.floor(left), left.cast("bigint").bitwiseAND(mask) == (mask if c.op == "bits_set" else F.lit(0)))
     if c.other:
         o = fields(c.other)
-        right = F.lit(c.add) + F.lit(c.factor) * F.when(F.coalesce(o.present, F.lit(False)), o.number.cast("double"))
+        right = F.lit(c.add) + F.lit(c.factor) * F.when(F.coalesce(o.present, F.lit(False)), (o.length if c.other_use == "length" else o.number).cast("double"))
+        if c.minus:
+            m = fields(c.minus)
+            right = right - F.when(F.coalesce(m.present, F.lit(False)), m.number.cast("double"))
     else:
         right = F.lit(float(c.value)).cast("double")
     t = F.lit(TOLERANCE)

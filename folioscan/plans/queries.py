@@ -643,9 +643,9 @@ def pdf_convert_roundtrip(spark, sf_dir):
     return convert(_files(spark, sf_dir), "strict_1b")[0].select("file_id", title("content").alias("title"), "rounds")
 
 
-@query(f"SELECT doc_id AS file_id, CASE WHEN {_of('nothing')} THEN '' ELSE md5(text) END AS md5 FROM documents WHERE NOT {_of('cmyk', 'nesting', 'operator', 'intent_op', 'inline_lzw', 'invisible', 'default_cmyk', 'default_other')} AND NOT starts_with([{', '.join(repr(k) for k, _, _ in pdf_fixture.DEFECTS)}][doc_id % {_N} + 1], 'font_') AND NOT starts_with([{', '.join(repr(k) for k, _, _ in pdf_fixture.DEFECTS)}][doc_id % {_N} + 1], 'cid_')")
+@query(f"SELECT doc_id AS file_id, CASE WHEN {_of('nothing')} THEN '' ELSE md5(text) END AS md5 FROM documents WHERE NOT {_of('cmyk', 'nesting', 'operator', 'intent_op', 'inline_lzw', 'invisible', 'default_cmyk', 'default_other', 'colorants_function')} AND NOT starts_with([{', '.join(repr(k) for k, _, _ in pdf_fixture.DEFECTS)}][doc_id % {_N} + 1], 'font_') AND NOT starts_with([{', '.join(repr(k) for k, _, _ in pdf_fixture.DEFECTS)}][doc_id % {_N} + 1], 'cid_')")
 def pdf_content_text(spark, sf_dir):
     """The whole text of each file whose content keeps it, from its content's operators."""
-    gone = [k for k, (n, _, _) in enumerate(pdf_fixture.DEFECTS) if n in ("cmyk", "nesting", "operator", "intent_op", "inline_lzw", "invisible", "default_cmyk", "default_other") or n.startswith(("font_", "cid_"))]
+    gone = [k for k, (n, _, _) in enumerate(pdf_fixture.DEFECTS) if n in ("cmyk", "nesting", "operator", "intent_op", "inline_lzw", "invisible", "default_cmyk", "default_other", "colorants_function") or n.startswith(("font_", "cid_"))]
     t = content_texts(_files(spark, sf_dir).where(~(F.col("file_id") % _N).isin(gone)))
     return t.select("file_id", F.when(F.col("pages") == 0, "").otherwise(F.md5("text")).alias("md5"))

@@ -103,7 +103,8 @@ def largest_cid(cmap: str) -> int:
 class Walk:
     """All rows of one file."""
 
-    def __init__(self, file_id: int, data: bytes):
+    def __init__(self, file_id: int, data: bytes, model=None):
+        self.model = model
         self.file_id, self.doc, self.rows, self.page, self.pages = file_id, Document(data).open(), [], 0, 0
         self.coverage: list[str] = []
         self.seen: set[int] = set()
@@ -126,7 +127,7 @@ class Walk:
         self.used = content_usage(d, self.ops)
         try:
             trailer = Dict(d.trailer)
-            self.visit(trailer, ["trailer"], 0, None)
+            self.visit(trailer, ["trailer"], 0, None, "FileTrailer" if self.model else "")
         except RecursionError:
             d.faults.append(("GraphResolutionFailure", 0))
         for num in list(d.xref):
@@ -169,7 +170,7 @@ class Walk:
         spaces = self.doc.resolve(resources.get("ColorSpace")) if isinstance(resources, Dict) else None
         return [m for m, k in DEFAULT_SPACES.items() if isinstance(spaces, Dict) and self.doc.resolve(spaces.get(k)) is not None]
 
-    def visit(self, v: object, roles: list[str], depth: int, num: int | None) -> None:
+    def visit(self, v: object, roles: list[str], depth: int, num: int | None, om_type: str = "") -> None:
         d = self.doc
         if not isinstance(v, (Dict, list)) or id(v) in self.seen or depth > 900:
             return
@@ -180,6 +181,8 @@ class Walk:
             self.page = self.pages
             roles = [*roles, "page"]
             self.defaults = self.replaced(d.resolve(v.get("Resources")))
+        if om_type:
+            roles = [*roles, "=" + om_type]
         if isinstance(v, Dict) and v.is_stream and v.get("Subtype") == "Form" and id(v) not in self.used.forms:
             roles = [*roles, "unreached"]
         entries = [(k, entry(d.resolve(x), isinstance(x, Ref))) for k, x in items]
@@ -206,7 +209,8 @@ class Walk:
             else:
                 own = ["content"] if "content" in roles else []
             own += [x[5:] for x in roles if x.startswith("each:")]
-            self.visit(child, own, depth + 1, x.num if isinstance(x, Ref) else None)
+            below = self.model.child(om_type, k, "array" if isinstance(child, list) else "stream" if child.is_stream else "dict", child, d.resolve) if om_type else ""
+            self.visit(child, own, depth + 1, x.num if isinstance(x, Ref) else None, below)
 
     def font_faults(self, v: Dict) -> list[str]:
         """What a font dictionary states against its program and its use."""
@@ -362,12 +366,12 @@ def record_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(plain, schema=_ARROW)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], model=None) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     for b in batches:
         for file_id, content in zip(b.column(0).to_pylist(), b.column(1)):
             try:
-                held += Walk(file_id, content.as_py() or b"").run()
+                held += Walk(file_id, content.as_py() or b"", model).run()
             except (ParseError, ValueError, TypeError, AttributeError, KeyError, IndexError, RecursionError) as x:  # damaged beyond reading
                 # anything but a ParseError may be a fault of a rule and not of the file: its kind and place are kept
                 at = x.__traceback__
@@ -392,10 +396,11 @@ def spread(files: DataFrame) -> DataFrame:
     return files if files.rdd.getNumPartitions() >= enough else files.repartition(enough, F.xxhash64("file_id"))
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """The rows of files (file_id, content). A file that can't be opened has one row with the fault; where reading it
+def nodes(files: DataFrame, model=None) -> DataFrame:
+    """The rows of files (file_id, content). With a model (folioscan.plans.model_tsv) containers that its links reach from
+    the trailer on have its types among their roles, behind an equals sign. A file that can't be opened has one row with the fault; where reading it
     broke off, its entry ~unread says how, which unread_files() lists."""
-    return spread(files.select(F.col("file_id").cast("bigint").alias("file_id"), "content")).mapInArrow(_rows, StructType.fromDDL(NODES))
+    return spread(files.select(F.col("file_id").cast("bigint").alias("file_id"), "content")).mapInArrow(lambda batches: _rows(batches, model), StructType.fromDDL(NODES))
 
 
 def unread_files(rows: DataFrame) -> DataFrame:
