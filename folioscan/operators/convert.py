@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import xmp
-from folioscan.operators import colour_repair, font_repair
+from folioscan.operators import colour_repair, font_repair, raster_repair
 from folioscan.functions.decoders import lzw
 from folioscan.operators.fixpoint import MAX_ROUNDS, repair
 from folioscan.operators.graph import written
@@ -456,7 +456,7 @@ FIXERS: dict[str, Callable[[Editor], None]] = {
     "extGStateFixer": graphics_states, "annotationFlagsFixer": annotation_flags, "formFixer": fields, "imageMetadataFixer": image_metadata, "postScriptXObjectFixer": postscript,
     "optionalContentFixer": drop("OCProperties"), "viewerPrefFixer": viewer, "fileSpecFixer": file_specs, "fontDictFixer": font_dicts, "type0FontFixer": composite_fonts, "cmapCIDClampFixer": cmap_cids, "trueTypeEncodingFixer": true_type_encodings,
     "fontMetricFixer": font_repair.metrics, "fontSubsetMetaFixer": font_repair.subset_meta, "deviceColourFixer": lambda e: colour_repair.default_spaces(e, profile_bytes), "deviceNColorantsFixer": lambda e: colour_repair.colorants(e, write_content),
-    "resourceDictPruneFixer": colour_repair.prune, "pagesTreeArrayFixer": big_arrays, "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "inlineImageLZWFixer": inline_lzw, "transparencyFlattener": plain_groups,
+    "resourceDictPruneFixer": colour_repair.prune, "pagesTreeArrayFixer": big_arrays, "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "inlineImageLZWFixer": inline_lzw, "transparencyFlattener": lambda e: (raster_repair.bake_soft_masks(e), plain_groups(e)),
     **dict.fromkeys(("missingRequiredKeyFixer", "wrongValueTypeFixer", "disallowedValueFixer", "indirectRequiredFixer", "post14KeyFixer", "constraintFixer"), object_model),
 }
 
@@ -552,12 +552,47 @@ def apply_fixers(files: DataFrame, issues: DataFrame) -> DataFrame:
     return files.join(need, "file_id", "left").select("file_id", "content", "fixers").mapInArrow(run, "file_id bigint, content binary")
 
 
-def convert(files: DataFrame, profile: Profile | str = "a_1b", max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def flatten_bytes(data: bytes, pages: list[int]) -> bytes:
+    """The file with these pages as images; one in which none can be painted stays byte for byte."""
+    try:
+        e = Editor(data)
+        if not raster_repair.backstop(e, pages):
+            return data
+        colour_repair.default_spaces(e, profile_bytes)
+        return e.write()
+    except (ParseError, ValueError, TypeError, AttributeError, KeyError, IndexError, RecursionError):
+        return data
+
+
+def raster_backstop(fixed: DataFrame, issues: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """Files (file_id, content) and their issues, where pages that still have issues became images in those files that
+    have fewer issues so. Only files with such pages are painted and verified again."""
+    pages = issues.where("page > 0").groupBy("file_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [flatten_bytes(c, p) for c, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["file_id", "flat"])
+
+    flat = written(fixed.join(pages, "file_id").select("file_id", "content", "pages").mapInArrow(run, "file_id bigint, flat binary"), "flat")
+    again = written(evaluate(nodes(flat.select("file_id", F.col("flat").alias("content"))), profile), "issues")
+    n = lambda i, name: i.groupBy("file_id").agg(F.count(F.lit(1)).alias(name))
+    counts = flat.select("file_id").join(n(issues, "before"), "file_id").join(n(again, "after"), "file_id", "left")
+    better = written(counts.where("coalesce(after, 0) < before").select("file_id"), "better")
+    kept = fixed.join(flat.join(better, "file_id", "left_semi"), "file_id", "left").select("file_id", F.coalesce("flat", "content").alias("content"))
+    left = issues.join(better, "file_id", "left_anti").unionByName(again.join(better, "file_id", "left_semi"))
+    return kept, left
+
+
+def convert(files: DataFrame, profile: Profile | str = "a_1b", max_rounds: int = MAX_ROUNDS, raster: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, results, issues): the files mended (file_id, content, rounds), whether each is valid now, and what is
-    left. A valid file stays byte for byte."""
+    left. A valid file stays byte for byte. With raster pages that no fixer mends become images, where all they show can
+    be painted."""
     p = profiles()[profile] if isinstance(profile, str) else profile
     start = written(files.select(F.col("file_id").cast("bigint").alias("file_id"), "content"), "files")
     fixed, issues, rounds = repair(start, lambda s: evaluate(written(nodes(s), "nodes"), p), apply_fixers, max_rounds)
+    if raster:
+        fixed, issues = raster_backstop(fixed, issues, p)
     return fixed.join(rounds, "file_id").select("file_id", "content", "rounds"), results(fixed, issues), issues
 
 

@@ -624,7 +624,7 @@ def pdf_metadata(spark, sf_dir):
 
 #: Defects that no fixer mends.
 _LEFT = (
-    "image_bits image_mask soft_mask font_subtype font_base font_program font_missing separation cmap_name symbolic_cmap model_missing font_shown cid_glyph cid_compact_glyph cid_missing big_array big_dict colorants postscript nothing"
+    "image_bits image_mask font_subtype font_base font_program font_missing separation cmap_name symbolic_cmap model_missing font_shown cid_glyph cid_compact_glyph cid_missing big_array big_dict colorants postscript nothing"
 ).split()
 
 
