@@ -115,6 +115,8 @@ class Walk:
 
     def row(self, kind: str, **x) -> dict:
         r = {"file_id": self.file_id, "node_id": len(self.rows), "obj_num": None, "page": self.page, "kind": kind, "roles": [], "op": None, "seq": None, "entries": [], "faults": [], "coverage": self.coverage} | x
+        if r["obj_num"] is not None and r["obj_num"] >= 1 << 31:
+            r["obj_num"] = None  # beyond what a file may number
         self.rows.append(r)
         return r
 
@@ -132,7 +134,7 @@ class Walk:
             d.faults.append(("GraphResolutionFailure", 0))
         for num in list(d.xref):
             d.resolve(Ref(num, 0))
-        faults = [{"rule": r, "page": p} for r, p in dict.fromkeys(d.faults)] + [{"rule": "GraphicsStateNesting", "page": p} for p in self.deep]
+        faults = [{"rule": r, "page": 0} for r, _ in dict.fromkeys(d.faults)] + [{"rule": "GraphicsStateNesting", "page": p} for p in self.deep]
         self.page = 0
         self.row("file", entries=self.header(), faults=faults + self.metadata())
         return self.rows

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from folioscan.functions.decoders import decode_chain
 
 MAX_DEPTH = 1000
+#: Missing numbers in a row that a table lists as free; more begin a subsection.
+MAX_FREE = 1000
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))  # two frames a level
 SPACE = b" \t\r\n\f\0"
 DELIMITERS = b"()<>[]{}/%"
@@ -136,7 +138,8 @@ class Lexer:
         if kind == "name":
             return unescape_name(m["name"])
         if kind == "int":
-            return int(m["int"])
+            digits = m["int"]
+            return int(digits) if len(digits) < 40 else float(b"-1e40" if digits[:1] == b"-" else b"1e40")  # beyond any limit
         if kind == "real":
             return float(m["real"])
         if kind == "word":
@@ -570,7 +573,15 @@ def write_document(objects: dict[int, object], trailer: dict, version: str = "1.
             out += format_value(v)
         out += b"\nendobj\n"
     start, size = len(out), max(objects, default=0) + 1
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % size
-    for num in range(1, size):
-        out += b"%010d 00000 n \n" % at[num] if num in at else b"0000000000 65535 f \n"
+    out += b"xref\n"
+    runs: list[list[int]] = [[0, 0]]  # first and last number of each subsection; small gaps are free entries
+    for num in sorted(at):
+        if num - runs[-1][1] <= MAX_FREE:
+            runs[-1][1] = num
+        else:
+            runs.append([num, num])
+    for first, last in runs:
+        out += b"%d %d\n" % (first, last - first + 1)
+        for num in range(first, last + 1):
+            out += b"%010d 00000 n \n" % at[num] if num in at else b"0000000000 65535 f \n"
     return bytes(out) + b"trailer\n" + format_value({**trailer, "Size": size}) + b"\nstartxref\n%d\n%%%%EOF\n" % start
