@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterable
 
 from folioscan.functions.ccitt import decode_ccitt
 
@@ -30,6 +31,16 @@ def inflate(data: bytes, limit: int = MAX_INFLATED) -> bytes:
         return b"".join(parts)
 
 
+def deflate(data: bytes, fast: bool = False) -> bytes:
+    return zlib.compress(data, 1 if fast else -1)
+
+
+def deflate_rows(rows: Iterable[bytes]) -> bytes:
+    """Rows compressed one after another, of which no more than one is held."""
+    z = zlib.compressobj()
+    return b"".join([*(z.compress(r) for r in rows), z.flush()])
+
+
 def ascii_hex(data: bytes) -> bytes:
     digits = bytes(c for c in data.partition(b">")[0] if c in b"0123456789abcdefABCDEF")
     return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())

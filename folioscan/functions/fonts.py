@@ -1017,3 +1017,132 @@ def subset_bits(f: Program) -> bytes | None:
     for c in cids:
         out[c // 8] |= 0x80 >> c % 8
     return bytes(out)
+
+
+# writing TrueType
+
+
+def build_tables(tables: dict[str, bytes]) -> bytes:
+    """A font file of tables by tag; its checksums aren't set."""
+    head, body, start = struct.pack(">IHHHH", 0x10000, len(tables), 0, 0, 0), b"", 12 + 16 * len(tables)
+    for tag, data in sorted(tables.items()):
+        head += tag.encode("latin-1") + struct.pack(">III", 0, start + len(body), len(data))
+        body += data + b"\0" * (-len(data) % 4)
+    return head + body
+
+
+def _glyphs(t: dict[str, bytes], glyphs: list[bytes]) -> dict[str, bytes]:
+    """The tables with these outlines, by long offsets."""
+    at, body = [0], b""
+    for g in glyphs:
+        body += g + b"\0" * (-len(g) % 4)
+        at.append(len(body))
+    head = t["head"][:50].ljust(50, b"\0") + b"\0\1" + t["head"][52:].ljust(2, b"\0")
+    return t | {"glyf": body, "loca": b"".join(struct.pack(">I", a) for a in at), "head": head}
+
+
+def promote_empty_glyphs(data: bytes) -> bytes:
+    """Glyphs that have a width but no outline get a record without contours, so that they count as there; the same bytes
+    where there is none such."""
+    t = sfnt(data)
+    if not t or not {"head", "loca", "glyf", "maxp"} <= set(t):
+        return data
+    glyphs = [glyph_data(t, g) for g in range(glyph_count(t))]
+    blank = [k for k, g in enumerate(glyphs) if k and not g and advance(t, k)]
+    if not blank:
+        return data
+    for k in blank:
+        glyphs[k] = b"\0" * 12
+    return build_tables(_glyphs(t, glyphs))
+
+
+def component_ids(glyph: bytes) -> list[int]:
+    """The glyphs that a glyph is composed of."""
+    out, at = [], 10
+    while i16(glyph, 0) < 0 and at + 4 <= len(glyph):
+        flags = u16(glyph, at)
+        out.append(u16(glyph, at + 2))
+        at += 4 + (4 if flags & 1 else 2) + (2 if flags & 8 else 4 if flags & 0x40 else 8 if flags & 0x80 else 0)
+        if not flags & 0x20:
+            break
+    return out
+
+
+def _renumbered(glyph: bytes, to: dict[int, int]) -> bytes:
+    out, at = bytearray(glyph), 10
+    while i16(glyph, 0) < 0 and at + 4 <= len(glyph):
+        flags = u16(glyph, at)
+        out[at + 2 : at + 4] = struct.pack(">H", to.get(u16(glyph, at + 2), 0))
+        at += 4 + (4 if flags & 1 else 2) + (2 if flags & 8 else 4 if flags & 0x40 else 8 if flags & 0x80 else 0)
+        if not flags & 0x20:
+            break
+    return bytes(out)
+
+
+def subset_true_type(data: bytes, characters: list[int]) -> tuple[bytes, dict[int, int]] | None:
+    """A font of the glyphs of these characters, and of those they are composed of, with a map of them, and the glyph
+    of each character it has; None of what is no font with a Unicode map."""
+    t = sfnt(data)
+    codes = code_map(cmaps(t).get((3, 1)) or cmaps(t).get((0, 3))) if t else None
+    if not t or codes is None or not {"head", "hhea", "hmtx", "maxp", "loca", "glyf"} <= set(t):
+        return None
+    wanted = [0]
+    for c in sorted(set(characters)):
+        if (g := codes.get(c)) and g not in wanted:
+            wanted.append(g)
+    for g in wanted:  # grows on the way
+        wanted += [x for x in dict.fromkeys(component_ids(glyph_data(t, g))) if x not in wanted]
+    to = {g: k for k, g in enumerate(wanted)}
+    own = {c: to[codes[c]] for c in sorted(set(characters)) if codes.get(c) in to and codes.get(c)}
+    n = u16(t["hhea"], 34)
+    metrics = b"".join(t["hmtx"][4 * (k := min(g, n - 1)) : 4 * k + 2] + b"\0\0" for g in wanted)
+    segments = [(c, (g - c) & 0xFFFF) for c, g in own.items() if c < 0xFFFF] + [(0xFFFF, 1)]
+    pack = lambda v: b"".join(struct.pack(">H", x) for x in v)
+    sub = struct.pack(">HHHHHHH", 4, 16 + 8 * len(segments), 0, 2 * len(segments), 0, 0, 0) + pack(c for c, _ in segments) + b"\0\0" + pack(c for c, _ in segments) + pack(d for _, d in segments) + b"\0\0" * len(segments)
+    tables = _glyphs({k: t[k] for k in ("head", "hhea", "maxp")}, [_renumbered(glyph_data(t, g), to) for g in wanted])
+    tables |= {"hmtx": metrics, "hhea": t["hhea"][:34] + struct.pack(">H", len(wanted)), "maxp": t["maxp"][:4] + struct.pack(">H", len(wanted)) + t["maxp"][6:], "cmap": struct.pack(">HHHHI", 0, 1, 3, 1, 12) + sub}
+    return build_tables(tables), own
+
+
+def to_unicode_map(data: bytes) -> dict[int, int]:
+    """Code to character of a map of codes to Unicode; of several characters the first."""
+    out: dict[int, int] = {}
+    text = data.decode("latin-1")
+    first = lambda h: int(h[:4].ljust(4, "0"), 16)
+    for kind, body in re.findall(r"beginbf(char|range)(.*?)endbf", text, re.S):
+        tokens = re.findall(r"<([0-9A-Fa-f\s]*)>|(\[)|(\])", body)
+        flat = ["[" if a else "]" if b else re.sub(r"\s", "", h) for h, a, b in tokens]
+        k = 0
+        while k + 1 < len(flat):
+            if kind == "char":
+                if flat[k] and flat[k + 1]:
+                    out[int(flat[k], 16)] = first(flat[k + 1])
+                k += 2
+                continue
+            if k + 2 >= len(flat) or not flat[k] or not flat[k + 1]:
+                break
+            low, high = int(flat[k], 16), int(flat[k + 1], 16)
+            if flat[k + 2] == "[":
+                end = flat.index("]", k) if "]" in flat[k:] else len(flat)
+                out |= {low + i: first(h) for i, h in enumerate(flat[k + 3 : end]) if h and low + i <= high}
+                k = end + 1
+            else:
+                out |= {c: first(flat[k + 2]) + c - low for c in range(low, min(high, low + 0xFFFF) + 1)}
+                k += 3
+    return out
+
+
+Face = tuple[str, bool, bool]
+
+
+def pick_face(name: str, flags: int = 0, weight: float = 0) -> Face:
+    """The family (mono, serif or sans) and whether bold and slanted, by a font's name, flags and weight."""
+    n = name.lower()
+    has = lambda *parts: any(p in n for p in parts)
+    if flags & 1 or has("courier", "mono", "consol", "typewriter"):
+        family = "mono"
+    elif has("arial", "helvet", "sans", "verdana", "calibri", "tahoma"):
+        family = "sans"
+    else:
+        family = "serif" if flags & 2 or has("times", "serif", "roman", "georgia", "garamond", "palatino", "book") else "sans"
+    return family, weight >= 600 or bool(flags & 1 << 18) or has("bold", "black", "heavy"), bool(flags & 64) or has("italic", "oblique")

@@ -193,11 +193,16 @@ def corrupt(seed_name: str, name: str, number: int) -> bytes:
     return CORRUPTIONS[name](SEEDS[seed_name](), random.Random(f"{seed_name} {name} {number}"))
 
 
-def generate_files(spark: SparkSession, first: int, n: int) -> DataFrame:
-    """file_id, content of the files of n numbers from first on, built in the tasks."""
+def build_files(numbers: DataFrame) -> DataFrame:
+    """file_id, content of the file of each number (file_id), built in the tasks."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(generate, b.column(0).to_pylist()), pa.binary())], ["file_id", "content"])
 
-    return spark.range(first, first + n).select(F.col("id").alias("file_id")).mapInArrow(build, "file_id bigint, content binary")
+    return numbers.select(F.col("file_id").cast("bigint").alias("file_id")).mapInArrow(build, "file_id bigint, content binary")
+
+
+def generate_files(spark: SparkSession, first: int, n: int) -> DataFrame:
+    """The files of n numbers from first on."""
+    return build_files(spark.range(first, first + n).select(F.col("id").alias("file_id")))

@@ -164,3 +164,20 @@ def namespace_bindings(text: Column) -> Column:
 def same_text(info: Column, packet: Column) -> Column:
     """Whether an information entry and a packet's value agree but for white space around them; null is the empty text."""
     return F.trim(F.coalesce(info, F.lit(""))) == F.trim(F.coalesce(packet, F.lit("")))
+
+
+def float_array(texts: Column) -> Column:
+    """An array of numbers from one of texts; null if any of them is no number."""
+    numbers = F.transform(texts, lambda x: x.try_cast("double"))
+    return F.when(F.forall(numbers, lambda n: n.isNotNull()), numbers)
+
+
+def is_integer(c: Column) -> Column:
+    return c.rlike("^[+-]?[0-9]+$")
+
+
+def default_appearance(c: Column) -> tuple[Column, Column]:
+    """The size of the font that an appearance string sets, 0 without, and its operators of colour in order."""
+    number = "[-+]?[0-9]*[.]?[0-9]+"
+    size = F.coalesce(F.try_element_at(F.regexp_extract_all(c, F.lit(rf"/[^\s/]+\s+({number})\s+Tf(?![^\s])"), F.lit(1)), F.lit(-1)).try_cast("double"), F.lit(0.0))
+    return size, F.regexp_extract_all(c, F.lit(rf"((?:{number}\s+)+(?:g|rg|k))(?![^\s])"), F.lit(1))

@@ -385,6 +385,22 @@ def big_arrays(e: Editor) -> None:
             d["Kids"] = nodes
 
 
+def oversized_structure(e: Editor) -> None:
+    """A structure tree with an array beyond the limit goes, with what refers to it."""
+    tree, seen = e.get(e.catalog.get("StructTreeRoot")), set()
+    todo = [tree]
+    while todo:
+        v = e.get(todo.pop())
+        if isinstance(v, (dict, list)) and id(v) not in seen:
+            seen.add(id(v))
+            if isinstance(v, list) and len(v) > 8191:
+                e.catalog.pop("StructTreeRoot", None)
+                e.catalog.pop("MarkInfo", None)
+                drop("StructParents", "StructParent")(e)
+                return
+            todo += [x for k, x in v.items() if k not in ("P", "Pg", "Parent")] if isinstance(v, dict) else v
+
+
 def plain_groups(e: Editor) -> None:
     """A transparency group goes where every graphics state of the file is opaque, and a mask that is opaque goes too."""
     plain = all(g.get("CA", 1) == 1 and g.get("ca", 1) == 1 and g.get("BM", "Normal") in ("Normal", "Compatible") and g.get("SMask") in (None, "None") for g in e.under("ExtGState"))
@@ -456,7 +472,7 @@ FIXERS: dict[str, Callable[[Editor], None]] = {
     "extGStateFixer": graphics_states, "annotationFlagsFixer": annotation_flags, "formFixer": fields, "imageMetadataFixer": image_metadata, "postScriptXObjectFixer": postscript,
     "optionalContentFixer": drop("OCProperties"), "viewerPrefFixer": viewer, "fileSpecFixer": file_specs, "fontDictFixer": font_dicts, "type0FontFixer": composite_fonts, "cmapCIDClampFixer": cmap_cids, "trueTypeEncodingFixer": true_type_encodings,
     "fontMetricFixer": font_repair.metrics, "fontSubsetMetaFixer": font_repair.subset_meta, "deviceColourFixer": lambda e: colour_repair.default_spaces(e, profile_bytes), "deviceNColorantsFixer": lambda e: colour_repair.colorants(e, write_content),
-    "resourceDictPruneFixer": colour_repair.prune, "pagesTreeArrayFixer": big_arrays, "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "inlineImageLZWFixer": inline_lzw, "transparencyFlattener": lambda e: (raster_repair.bake_soft_masks(e), plain_groups(e)),
+    "resourceDictPruneFixer": colour_repair.prune, "pagesTreeArrayFixer": lambda e: (big_arrays(e), oversized_structure(e)), "nameTooLongFixer": long_names, "lzwStreamFixer": lzw_streams, "inlineImageLZWFixer": inline_lzw, "transparencyFlattener": lambda e: (raster_repair.bake_soft_masks(e), plain_groups(e)),
     **dict.fromkeys(("missingRequiredKeyFixer", "wrongValueTypeFixer", "disallowedValueFixer", "indirectRequiredFixer", "post14KeyFixer", "constraintFixer"), object_model),
 }
 
@@ -514,6 +530,7 @@ def prepare(e: Editor) -> None:
         if d is not e.catalog:
             d.pop("Metadata", None)
     e.catalog["Metadata"] = e.add(packet)
+    font_repair.promote(e)
     model = dominant_model(e)
     if model:
         s = Dict(N=3 if model == "rgb" else 4)
@@ -521,13 +538,16 @@ def prepare(e: Editor) -> None:
         e.catalog["OutputIntents"] = [e.add(Dict(Type=Name("OutputIntent"), S=Name("GTS_PDFA1"), OutputConditionIdentifier=Lit(b"Custom"), DestOutputProfile=e.add(s)))]
 
 
-def fix_bytes(data: bytes, fixers: list[str], first: bool = True) -> bytes:
-    """The file with these fixers applied; one that can't be read stays as it is."""
+def fix_bytes(data: bytes, fixers: list[str], first: bool = True, faces: dict | None = None) -> bytes:
+    """The file with these fixers applied; one that can't be read stays as it is. faces are the programs that fonts may
+    be substituted by."""
     try:
         e = Editor(data)
         if first:
             prepare(e)
         for f in fixers:
+            if f == "fontSubstitutionFixer" and faces:
+                font_repair.substitute(e, faces)
             if f in FIXERS:
                 FIXERS[f](e)
         return e.write()
@@ -535,7 +555,7 @@ def fix_bytes(data: bytes, fixers: list[str], first: bool = True) -> bytes:
         return data
 
 
-def apply_fixers(files: DataFrame, issues: DataFrame) -> DataFrame:
+def apply_fixers(files: DataFrame, issues: DataFrame, faces: dict | None = None) -> DataFrame:
     """Files with the fixers of their issues applied, in the textual order of clauses. The join is on file_id, with
     the short lists of fixers."""
     checks = sorted((c for c in all_checks()), key=lambda c: (c.clause, c.subclause))
@@ -546,7 +566,7 @@ def apply_fixers(files: DataFrame, issues: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [fix_bytes(c, f or []) if c else c for c, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            out = [fix_bytes(c, f or [], faces=faces) if c else c for c, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["file_id", "content"])
 
     return files.join(need, "file_id", "left").select("file_id", "content", "fixers").mapInArrow(run, "file_id bigint, content binary")
@@ -584,13 +604,14 @@ def raster_backstop(fixed: DataFrame, issues: DataFrame, profile: Profile) -> tu
     return kept, left
 
 
-def convert(files: DataFrame, profile: Profile | str = "a_1b", max_rounds: int = MAX_ROUNDS, raster: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def convert(files: DataFrame, profile: Profile | str = "a_1b", max_rounds: int = MAX_ROUNDS, raster: bool = False, faces: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, results, issues): the files mended (file_id, content, rounds), whether each is valid now, and what is
-    left. A valid file stays byte for byte. With raster pages that no fixer mends become images, where all they show can
+    left. A valid file stays byte for byte. faces are TrueType programs by (family, bold, slanted), as pick_face() names
+    them, from which fonts without a usable program are substituted; without them such fonts stay. With raster pages that no fixer mends become images, where all they show can
     be painted."""
     p = profiles()[profile] if isinstance(profile, str) else profile
     start = written(files.select(F.col("file_id").cast("bigint").alias("file_id"), "content"), "files")
-    fixed, issues, rounds = repair(start, lambda s: evaluate(written(nodes(s), "nodes"), p), apply_fixers, max_rounds)
+    fixed, issues, rounds = repair(start, lambda s: evaluate(written(nodes(s), "nodes"), p), lambda s, i: apply_fixers(s, i, faces), max_rounds)
     if raster:
         fixed, issues = raster_backstop(fixed, issues, p)
     return fixed.join(rounds, "file_id").select("file_id", "content", "rounds"), results(fixed, issues), issues

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from folioscan.functions import fonts
 from folioscan.sources.content_usage import Usage, content_usage
-from folioscan.sources.pdf_bytes import Dict, Lit, tokenize_content
+from folioscan.sources.pdf_bytes import Dict, Lit, Name, tokenize_content
 
 
 def _ops(e):
@@ -81,3 +81,104 @@ def subset_meta(e) -> None:
             s = Dict()
             e.set_body(s, bits)
             f["CIDSet"] = e.add(s)
+
+
+def promote(e) -> None:
+    """Blank glyphs of programs by CID become explicit."""
+    for d in list(e.dicts()):
+        f = e.get(d.get("FontDescriptor"))
+        s = e.get(f.get("FontFile2")) if d.get("Subtype") == "CIDFontType2" and isinstance(f, Dict) else None
+        if isinstance(s, Dict) and s.is_stream:
+            try:
+                data = e.body(s)
+            except ValueError:
+                continue
+            if (new := fonts.promote_empty_glyphs(data)) != data:
+                e.set_body(s, new)
+                s["Length1"] = len(new)
+
+
+def needs_substitute(p: fonts.Program) -> bool:
+    """Whether a font has no program that can be read, or lacks a glyph in use."""
+    readable = {"FontFile": lambda: fonts.type1(p.data), "FontFile2": lambda: fonts.sfnt(p.data), "FontFile3": lambda: fonts.cff(p.data)}
+    return p.kind not in readable or readable[p.kind]() is None or "SubsetGlyphCoverage" in fonts.font_faults(p)
+
+
+def _embed(e, d: Dict, f: Dict, data: bytes, name: str, flags: int) -> None:
+    s = Dict(Length1=len(data))
+    e.set_body(s, data)
+    for k in ("FontFile", "FontFile2", "FontFile3", "CharSet", "CIDSet"):
+        f.pop(k, None)
+    f.update(Type=Name("FontDescriptor"), FontName=Name(name), Flags=flags, FontFile2=e.add(s))
+    f.setdefault("ItalicAngle", 0)
+    f.setdefault("StemV", 80)
+    f.setdefault("Ascent", 900)
+    f.setdefault("Descent", -200)
+    f.setdefault("CapHeight", 700)
+    f.setdefault("FontBBox", [-200, -250, 1200, 1000])
+    d["BaseFont"] = Name(name)
+
+
+def substitute(e, faces: dict[fonts.Face, bytes]) -> int:
+    """Fonts without a usable program get a subset of a face that fits them, of the characters they show; how many did.
+    faces are TrueType programs by (family, bold, slanted); a font whose face isn't among them, or lacks a character, or
+    whose codes don't tell characters, stays."""
+    n = 0
+    parents = {id(e.get(k)): d for d in list(e.dicts()) if d.get("Subtype") == "Type0" and isinstance(kids := e.get(d.get("DescendantFonts")), list) for k in kids}
+    for d, p in list(_programs(e)):
+        if p is None and d.get("Subtype") in ("Type1", "MMType1", "TrueType", "CIDFontType2", "CIDFontType0"):
+            d["FontDescriptor"] = e.add(Dict())
+            p = next((q for x, q in _programs(e) if x is d), None)
+        if p is None or p.subtype == "Type3" or not needs_substitute(p) or not p.used:
+            continue
+        f = e.get(d["FontDescriptor"])
+        base = str(e.get(d.get("BaseFont")) or "")
+        flags = e.get(f.get("Flags"))
+        face = fonts.pick_face(fonts.SUBSET_TAG.sub("", base), flags if isinstance(flags, int) else 0, fonts.number(e.get(f.get("FontWeight"))) or 0)
+        if face not in faces:
+            continue
+        own = e.get(parents.get(id(d), d).get("ToUnicode"))
+        told: dict[int, int] = {}
+        if isinstance(own, Dict) and own.is_stream:
+            try:
+                told = fonts.to_unicode_map(e.body(own))
+            except ValueError:
+                pass
+        simple = not p.subtype.startswith("CIDFont")
+        table = fonts.code_to_unicode(p.enc) if simple and p.enc is not None else fonts.code_to_unicode("StandardEncoding") if simple else []
+        character = {c: told.get(c) or (table[c] if c < len(table) else 0) for c in sorted(p.used)}
+        made = fonts.subset_true_type(faces[face], list(character.values())) if all(character.values()) else None
+        if made is None or any(u not in made[1] for u in character.values()):
+            continue
+        data, glyph = made
+        t = fonts.sfnt(data)
+        name = f"SUBSET+{fonts.SUBSET_TAG.sub('', base) or 'Font'}"
+        if simple:
+            first, last = min(character), max(character)
+            d.update(Subtype=Name("TrueType"), FirstChar=first, LastChar=last, Widths=[fonts.advance(t, glyph[character[c]]) if c in character else 0 for c in range(first, last + 1)])
+            win = fonts.code_to_unicode("WinAnsiEncoding")
+            names = {c: u for c, u in character.items() if win[c] != u}
+            reverse = {u: n for n in fonts.encoding("WinAnsiEncoding") if n and (u := fonts.to_unicode(n))}
+            d["Encoding"] = Dict(Type=Name("Encoding"), BaseEncoding=Name("WinAnsiEncoding"), Differences=[x for c, u in names.items() for x in (c, Name(reverse.get(u, f"uni{u:04X}")))]) if names else Name("WinAnsiEncoding")
+            _embed(e, d, f, data, name, 32)
+        else:
+            # the CIDs are the numbers of the glyphs, so that the map is the identity
+            glyphs = [b""] * (max(character) + 1)
+            for c, u in character.items():
+                glyphs[c] = fonts.glyph_data(t, glyph[u]) or b"\0" * 12
+            widths = [fonts.advance(t, glyph[character[c]]) if c in character else 0 for c in range(len(glyphs))]
+            em = fonts.u16(t["head"], 18) or 1000
+            order = b"".join((w * em // 1000).to_bytes(2, "big") + b"\0\0" for w in widths)
+            tables = fonts._glyphs({k: t[k] for k in ("head", "hhea", "maxp")}, glyphs)
+            count = len(glyphs).to_bytes(2, "big")
+            tables |= {"hmtx": order, "hhea": t["hhea"][:34] + count, "maxp": t["maxp"][:4] + count + t["maxp"][6:]}
+            d.update(Subtype=Name("CIDFontType2"), CIDToGIDMap=Name("Identity"), W=[x for c in sorted(character) for x in (c, [widths[c]])])
+            _embed(e, d, f, fonts.build_tables(tables), name, 4)
+            bits = fonts.subset_bits(fonts.program_of(d, e.get, lambda x: e.body(x) if isinstance(x, Dict) and x.is_stream else None, None))
+            stream_ = Dict()
+            e.set_body(stream_, bits)
+            f["CIDSet"] = e.add(stream_)
+            if id(d) in parents:
+                parents[id(d)]["BaseFont"] = Name(name)
+        n += 1
+    return n

@@ -145,3 +145,8 @@ def multiset_equal(a: DataFrame, b: DataFrame) -> bool:
     y = b.select(*cols).groupBy(*cols).count().withColumnRenamed("count", "m")
     on = [x[c].eqNullSafe(y[c]) for c in cols]
     return x.join(y, on, "full").where(~F.col("n").eqNullSafe(F.col("m"))).limit(1).count() == 0
+
+
+def parent_slots(edges: DataFrame) -> DataFrame:
+    """dst, slots of edges (src, key, dst): where each node is referred to from, in order."""
+    return edges.groupBy("dst").agg(F.array_sort(F.collect_set(F.struct("src", "key"))).alias("slots"))

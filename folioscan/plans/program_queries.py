@@ -8,17 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.functions import ccitt, colour, fonts, raster
+from folioscan.functions import ccitt, colour, decoders, fonts, pdf_generator, raster, scalars
 from folioscan.functions import font_fixture as made
 from folioscan.functions import pdf_fixture as fx
 from folioscan.functions.pdf_functions import parse_function
+from folioscan.operators import graph
 from folioscan.operators.convert import convert
 from folioscan.operators.results import issues_by_check
 from folioscan.operators.rules import verify
 from folioscan.plans.catalog import profiles
 from folioscan.plans.queries import _N, _WANTED, _files, _of, table
 from folioscan.sources.content_usage import page_dicts
-from folioscan.sources.pdf import spread
+from folioscan.sources.pdf import nodes, spread
 from folioscan.sources.pdf_bytes import Dict, Document, Name
 
 QUERIES: dict = {}
@@ -296,3 +297,74 @@ _OFF = sorted(set(range(1, 158)) - set(profiles()["a_1b"].enabled))
 @query(f"SELECT doc_id AS file_id, coalesce(sum(n) FILTER (check_id NOT IN ({', '.join(map(str, _OFF))})), 0)::BIGINT AS n_issues FROM documents LEFT JOIN {_WANTED} ON doc_id % {_N} = defect AND NOT {_of(*_UNREACHED)} GROUP BY doc_id")
 def pdf_verify_lenient(spark, sf_dir):
     return verify(_files(spark, sf_dir), "a_1b", reread=False)[1].select("file_id", F.col("n_issues").cast("bigint").alias("n_issues"))
+
+
+@query("SELECT doc_id, string_agg(c || ':' || u, ' ' ORDER BY c) AS found FROM (SELECT doc_id, doc_id % 90 + i AS c, 65 + (doc_id + i) % 50 AS u FROM documents, range(0, 4) AS t(i)) GROUP BY doc_id")
+def font_to_unicode(spark, sf_dir):
+    """Maps of codes to characters, by single codes, by a range, or by a range of an array."""
+
+    def one(k: int) -> str:
+        pairs = [(k % 90 + i, 65 + (k + i) % 50) for i in range(4)]
+        body = "".join(f"<{c:02x}> <{u:04x}>" for c, u in pairs)
+        text = f"4 beginbfchar {body} endbfchar" if k % 2 else f"1 beginbfrange <{pairs[0][0]:02x}> <{pairs[-1][0]:02x}> [{' '.join(f'<{u:04x}>' for _, u in pairs)}] endbfrange"
+        return " ".join(f"{c}:{u}" for c, u in sorted(fonts.to_unicode_map(text.encode()).items()))
+
+    return _each(spark, sf_dir, one)
+
+
+@query(f"SELECT doc_id, '3 glyphs, ' || string_agg((64 + g) || '=' || {_W}, ' ' ORDER BY g) AS found FROM documents, range(1, 5) AS t(g) WHERE g IN (doc_id % 4 + 1, (doc_id + 1) % 4 + 1) GROUP BY doc_id")
+def font_subsets(spark, sf_dir):
+    """The subset of a font of four glyphs by two of its characters."""
+
+    def one(k: int) -> str:
+        data, own = fonts.subset_true_type(made.build_sfnt([0, *(_width(k, g) for g in range(1, 5))], {64 + g: g for g in range(1, 5)}), [65 + k % 4, 65 + (k + 1) % 4])
+        t = fonts.sfnt(data)
+        return f"{fonts.glyph_count(t)} glyphs, " + " ".join(f"{c}={fonts.advance(t, g)}" for c, g in sorted(own.items()))
+
+    return _each(spark, sf_dir, one)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE [c_acctbal, c_nationkey::DOUBLE] END AS v, c_custkey % 4 > 0 AS whole FROM customer")
+def scalar_number_arrays(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    last = F.when(F.col("c_custkey") % 4 == 0, "none").otherwise(F.col("c_nationkey").cast("string"))
+    return c.select("c_custkey", scalars.float_array(F.array(F.col("c_acctbal").cast("string"), last)).alias("v"), scalars.is_integer(last).alias("whole"))
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS size, ['0.5 g', p_size || ' 0 1 rg'] AS colours FROM part")
+def scalar_default_appearance(spark, sf_dir):
+    text = F.format_string("/Helv %d Tf 0.5 g /%s %d Tf %d 0 1 rg", F.col("p_size") + 1, F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), "p_size", "p_size")
+    size, colours = scalars.default_appearance(text)
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("size"), colours.alias("colours"))
+
+
+@query("SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ' ' ORDER BY o_orderkey) AS slots FROM orders GROUP BY o_custkey")
+def parent_slots(spark, sf_dir):
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_orderstatus").alias("key"), F.col("o_custkey").alias("dst"))
+    text = F.array_join(F.transform("slots", lambda s: F.concat(s.src.cast("string"), F.lit(":"), s.key)), " ")
+    return graph.parent_slots(e).select(F.col("dst").alias("o_custkey"), text.alias("slots"))
+
+
+@query("SELECT doc_id, md5(text) AS found FROM documents")
+def deflated_rows(spark, sf_dir):
+    """The whole text, deflated in rows and in one, at both levels, comes back."""
+
+    @F.pandas_udf("string")
+    def trip(t: pd.Series) -> pd.Series:
+        out = []
+        for x in t:
+            raw = x.encode()
+            ways = [decoders.deflate_rows(raw[k : k + 100] for k in range(0, len(raw), 100)), decoders.deflate(raw), decoders.deflate(raw, fast=True)]
+            back = {decoders.inflate(w) for w in ways}
+            out.append(back.pop().decode() if len(back) == 1 else "")
+        return pd.Series(out)
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(trip("text")).alias("found"))
+
+
+@query("SELECT doc_id AS file_id, 1::BIGINT AS files FROM documents")
+def generated_files(spark, sf_dir):
+    """A broken file for each number: each is read, or has its fault."""
+    numbers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"))
+    rows = nodes(pdf_generator.build_files(spread(numbers)))
+    return rows.where("kind = 'file'").groupBy("file_id").agg(F.count(F.lit(1)).alias("files"))

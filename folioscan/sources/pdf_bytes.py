@@ -286,6 +286,24 @@ class Document:
             self.stream_section(t["XRefStm"])
         return t["Prev"] if type(t.get("Prev")) is int else None
 
+    def first_page_trailer(self) -> Dict | None:
+        """The trailer of the first section in the file's order that has a root, as files for the web begin with; None
+        without one. It reads the sections apart from what the document knows."""
+        for m in re.finditer(rb"(?m)^xref\b", self.data):
+            own = Document(self.data)
+            try:
+                own.section(m.start())
+            except (ParseError, ValueError, IndexError):
+                continue
+            if "Root" in own.trailer:
+                return own.trailer
+        return None
+
+    @property
+    def effective_trailer(self) -> Dict:
+        """The first page's trailer of a file that says it is linearized, else the trailer."""
+        return (self.first_page_trailer() if b"/Linearized" in self.data[:1024] else None) or self.trailer
+
     def stream_section(self, at: int) -> int | None:
         _, s = self.object_at(at)
         if not isinstance(s, Dict) or s.get("Type") != "XRef" or s.raw is None:

@@ -103,3 +103,32 @@ def test_rules(change, want):
 
 def test_type3():
     assert f.type3_fault(65, 66, [500.0, 600.0], {65: "a", 66: "b"}, {"a": 502.0}) and not f.type3_fault(65, 66, [500.0, 600.0], {65: "a", 66: "b"}, {"a": 500.9}) and not f.type3_fault(65, 65, [500.0, 600.0], {66: "b"}, {"b": 1.0})
+
+
+def test_subsets():
+    face = fx.build_sfnt([0, 500, 600, 700], {65: 1, 66: 2, 0x20AC: 3}, em=2000)
+    data, own = f.subset_true_type(face, [0x20AC, 65, 90])
+    t = f.sfnt(data)
+    assert own == {65: 1, 0x20AC: 2} and f.glyph_count(t) == 3 and [f.advance(t, g) for g in range(3)] == [0, 250, 350] and f.code_map(f.cmaps(t)[3, 1]) == own
+    assert f.true_type_outline(t, 1) == f.true_type_outline(f.sfnt(face), 1) and f.subset_true_type(b"nothing", [65]) is None
+    # a composed glyph brings its parts, under their new numbers
+    t = f.sfnt(face)
+    composed = b"\xff\xff" + b"\0" * 8 + (0x0023).to_bytes(2, "big") + (3).to_bytes(2, "big") + b"\0\x0a\0\x14" + (0x0003).to_bytes(2, "big") + (1).to_bytes(2, "big") + b"\0\0\0\0"
+    whole = f.build_tables(f._glyphs(t, [b"", f.glyph_data(t, 1), composed, f.glyph_data(t, 3)]))
+    data, own = f.subset_true_type(whole, [66])
+    t = f.sfnt(data)
+    assert own == {66: 1} and f.component_ids(f.glyph_data(t, 1)) == [2, 3] and len(f.true_type_outline(t, 1)) == 2 and min(x for x, _ in f.true_type_outline(t, 1)[0]) == 10
+
+
+def test_blank_glyphs_and_maps_to_unicode():
+    data = fx.build_sfnt([0, 500, 300, 0], {65: 1}, empty=(0, 2, 3))
+    new = f.sfnt(f.promote_empty_glyphs(data))
+    assert f.present(new, 2) and not f.present(f.sfnt(data), 2) and not f.glyph_data(new, 3) and f.true_type_outline(new, 2) == [] and f.promote_empty_glyphs(b"x") == b"x"
+    assert f.promote_empty_glyphs(fx.build_sfnt([0, 500], {65: 1})) == fx.build_sfnt([0, 500], {65: 1})
+    text = b"2 beginbfchar <01> <0041> <02> <00660069> endbfchar 2 beginbfrange <10> <12> <0061> <20> <22> [<0030> <0031>] endbfrange"
+    assert f.to_unicode_map(text) == {1: 65, 2: 0x66, 16: 97, 17: 98, 18: 99, 32: 48, 33: 49} and f.to_unicode_map(b"") == {}
+
+
+@pytest.mark.parametrize("name, flags, weight, want", [("Courier-Bold", 0, 0, ("mono", True, False)), ("ArialMT", 0, 0, ("sans", False, False)), ("Times-BoldItalic", 0, 0, ("serif", True, True)), ("Own", 1, 0, ("mono", False, False)), ("Own", 2 + 64, 700, ("serif", True, True)), ("Own", 0, 0, ("sans", False, False))])
+def test_faces(name, flags, weight, want):
+    assert f.pick_face(name, flags, weight) == want

@@ -2,10 +2,13 @@
 
 from folioscan import cli
 from folioscan.functions import pdf_fixture
+from folioscan.functions.font_fixture import build_sfnt
 from folioscan.operators.convert import Editor, convert, fix_bytes, write_content
 from folioscan.operators.rules import verify
 from folioscan.plans.catalog import check_by_name
-from folioscan.sources.pdf_bytes import Document, Ref, tokenize_content
+from folioscan.sources.content_usage import page_dicts
+from folioscan.sources.pdf import Walk
+from folioscan.sources.pdf_bytes import Dict, Document, Name, Ref, tokenize_content, write_document
 from folioscan.streaming.files import verify_stream
 
 
@@ -46,3 +49,85 @@ def test_stream_and_command_line(spark, tmp_path, capsys):
     assert cli.main(["verify", str(folder)]) == 1
     said = capsys.readouterr().out
     assert "2 files, 1 valid, 1 issues" in said and "TrailerID: 1" in said
+
+
+def _converted(change, faces=None):
+    """Issues of a changed file after conversion with some faces, and the file."""
+    o, t = pdf_fixture.base("a text")
+    change(o, t)
+    data = write_document(o, t)
+    fixed = fix_bytes(data, ["fontSubstitutionFixer", "fontMetricFixer", "fontSubsetMetaFixer", "pagesTreeArrayFixer", "resourceDictPruneFixer"], faces=faces)
+    rows = Walk(1, fixed).run()
+    return [x["rule"] for r in rows for x in r["faults"]], Document(fixed).open()
+
+
+FACE = build_sfnt([0, 500, 620, 700], {120: 1, 121: 2, 0xE9: 3})
+
+
+def test_substitution_of_simple_fonts():
+    def missing(o, t):
+        o[9].pop("FontFile2")
+        o[8].update(FirstChar=120, LastChar=121, Widths=[400, 400], BaseFont=Name("Helvetica"))
+        o[7] = pdf_fixture.stream(b"BT /F0 9 Tf (xy) Tj ET")
+
+    faults, doc = _converted(missing, {("sans", False, False): FACE})
+    font = doc.path("Root", "Pages", "Kids", "0", "Resources", "Font", "F0")
+    assert faults == [] and doc.resolve(font["FontDescriptor"])["FontFile2"] and font["Widths"] == [500, 620] and font["BaseFont"].endswith("+Helvetica") and font["Encoding"] == "WinAnsiEncoding"
+    for faces in (None, {("mono", False, False): FACE}, {("sans", False, False): build_sfnt([0, 500], {120: 1})}):
+        _, doc = _converted(missing, faces)
+        assert "FontFile2" not in doc.path("Root", "Pages", "Kids", "0", "Resources", "Font", "F0", "FontDescriptor")
+
+    def no_descriptor(o, t):
+        o[8] = Dict(Type=Name("Font"), Subtype=Name("Type1"), BaseFont=Name("Helvetica"), Encoding=Dict(Differences=[1, Name("eacute")]))
+        o[7] = pdf_fixture.stream(b"BT /F0 9 Tf <01> Tj ET")
+
+    faults, doc = _converted(no_descriptor, {("sans", False, False): FACE})
+    font = doc.path("Root", "Pages", "Kids", "0", "Resources", "Font", "F0")
+    assert faults == [] and font["Subtype"] == "TrueType" and font["Widths"] == [700] and font["Encoding"]["Differences"] == [1, "eacute"]
+
+
+def test_substitution_of_fonts_by_cid():
+    def missing(o, t):
+        pdf_fixture._type0(encoding=Name("Identity-H"))(o, t, "")
+        o[9].pop("FontFile2")
+        o[18]["W"] = [3, [400], 7, [400]]
+        o[20] = pdf_fixture.stream(b"2 beginbfchar <0003> <0078> <0007> <00E9> endbfchar")
+        o[8]["ToUnicode"] = Ref(20, 0)
+        o[7] = pdf_fixture.stream(b"BT /F0 9 Tf <00030007> Tj ET")
+
+    faults, doc = _converted(missing, {("sans", False, False): FACE})
+    cid = doc.resolve(doc.path("Root", "Pages", "Kids", "0", "Resources", "Font", "F0", "DescendantFonts")[0])
+    assert faults == [] and cid["W"] == [3, [500], 7, [700]]
+
+
+def test_big_structures():
+    def kids(o, t):
+        for k in range(8200):
+            o[100 + k] = Dict(Type=Name("Page"), Parent=Ref(2, 0), MediaBox=[0, 0, 9, 9])
+        o[2].update(Kids=[Ref(100 + k, 0) for k in range(8200)], Count=8200)
+        o[1]["StructTreeRoot"] = Dict(Type=Name("StructTreeRoot"), K=[0] * 9000)
+        o[3]["StructParents"] = 1
+
+    _, doc = _converted(kids)
+    top = doc.path("Root", "Pages")
+    assert len(top["Kids"]) == 3 and top["Count"] == 8200 and sum(doc.resolve(k)["Count"] for k in top["Kids"]) == 8200 and len(list(page_dicts(doc))) == 8200 and doc.path("Root", "StructTreeRoot") is None
+
+
+def test_first_page_trailer():
+    data = pdf_fixture.make("t", 0)
+    first = b"%PDF-1.4\n9 0 obj\n<</Linearized 1>>\nendobj\nxref\n9 1\n0000000009 00000 n \ntrailer\n<</Root 1 0 R /Size 10 /ID [<0a> <0a>]>>\nstartxref\n0\n%%EOF\n"
+    doc = Document(first + data).open()
+    assert doc.first_page_trailer()["ID"][0] == b"0a" and doc.effective_trailer["ID"][0] == b"0a"
+    assert Document(data).open().effective_trailer["ID"][0] == b"00ff" and Document(b"%PDF-").first_page_trailer() is None
+
+
+def test_issue_counts_by_window(spark, tmp_path):
+    from folioscan.streaming.files import issue_counts
+
+    rows = [(1, "2024-01-01 10:05:00"), (1, "2024-01-01 10:50:00"), (2, "2024-01-01 10:10:00"), (1, "2024-01-01 11:10:00"), (1, "2024-01-01 14:00:00")]
+    spark.createDataFrame(rows, "check_id int, t string").selectExpr("check_id", "to_timestamp(t) as ts").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("check_id int, ts timestamp").parquet(f"{tmp_path}/in")
+    q = issue_counts(stream).writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.check_id, str(r.window.start)[11:13]): r.n for r in spark.table("counts").collect()}
+    assert got == {(1, "10"): 2, (2, "10"): 1, (1, "11"): 1}
