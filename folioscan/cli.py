@@ -24,10 +24,14 @@ def main(args: list[str]) -> int:
     p.add_argument("--profile", default="a_1b", choices=sorted(profiles()))
     p.add_argument("--out")
     a = p.parse_args(args)
-    spark = SparkSession.builder.appName("folioscan").getOrCreate()
+    spark = SparkSession.builder.appName("folioscan").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     files = read_files(spark, a.folder)
     if a.command == "meta":
-        files_meta(files).drop("xmp").show(1000, truncate=80)
+        meta = files_meta(files).drop("xmp")
+        if a.out:
+            meta.write.mode("overwrite").parquet(a.out)
+        for r in meta.toLocalIterator():
+            print(f"{r.file_id} {r.version} {r.pages} pages, part {r.part}{r.conformance or ''} {dict(r.info or {})}")
         return 0
     if a.command == "verify":
         issues, results = verify(files, a.profile)
@@ -40,7 +44,7 @@ def main(args: list[str]) -> int:
     if a.out and a.command == "verify":
         report.write.mode("overwrite").parquet(a.out)
     totals = results.agg(F.count(F.lit(1)).alias("files"), F.count_if("valid").alias("valid"), F.sum("n_issues").alias("issues")).first()
-    for r in report.limit(1000).collect():
+    for r in report.toLocalIterator():  # a partition at a time
         print(f"{'PASS' if r.valid else 'FAIL'} {r.path}" + (f"\n{r.report}" if r.report else ""))
     print(f"{totals.files} files, {totals.valid} valid, {totals.issues or 0} issues")
     return int(totals.valid != totals.files)

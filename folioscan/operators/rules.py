@@ -16,6 +16,7 @@ from folioscan.functions import scalars
 from folioscan.operators.graph import written
 from folioscan.operators.usage import OPERATORS
 from folioscan.plans.catalog import Profile, check_by_name, profiles
+from folioscan.plans.expressions import Entry, expr, quoted
 from folioscan.plans.object_model import model_findings
 from folioscan.sources.pdf import nodes
 
@@ -28,25 +29,25 @@ CMAPS = "Identity-H Identity-V GB-EUC-H GB-EUC-V GBpc-EUC-H GBpc-EUC-V GBK-EUC-H
 LATER_VIEWER_KEYS = ("PrintScaling", "Duplex", "PickTrayByPDFSize", "NumCopies")
 
 
-def e(key: str) -> Column:
-    return F.col("entries")[key]
+def e(key: str) -> Entry:
+    return Entry(key)
 
 
 def has(key: str) -> Column:
     """The entry is there and not null."""
-    return F.coalesce(e(key).k != "null", F.lit(False))
+    return expr(f"coalesce({Entry(key).at}.k != 'null', false)")
 
 
 def name(key: str) -> Column:
-    return F.when(e(key).k == "name", e(key).s)
+    return expr(f"case when {Entry(key).at}.k = 'name' then {Entry(key).at}.s end")
 
 
 def role(r: str) -> Column:
-    return F.array_contains("roles", r)
+    return expr(f"array_contains(roles, {quoted(r)})")
 
 
 def truth(key: str) -> Column:
-    return (e(key).k == "bool") & (e(key).s == "true")
+    return expr(f"{Entry(key).at}.k = 'bool' and {Entry(key).at}.s = 'true'")
 
 
 def own_keys() -> Column:
@@ -54,11 +55,11 @@ def own_keys() -> Column:
 
 
 def bit(key: str, n: int) -> Column:
-    return F.coalesce(e(key).n, F.lit(0.0)).cast("bigint").bitwiseAND(F.lit(1 << n - 1)) != 0
+    return expr(f"cast(coalesce({Entry(key).at}.n, 0.0D) as bigint) & {1 << n - 1}L != 0")
 
 
 def uncovered(key: str) -> Column:
-    return ~F.array_contains("coverage", e(key).s)
+    return expr(f"not array_contains(coverage, {Entry(key).at}.s)")
 
 
 def value_tests(v: Column) -> dict[str, Column]:
@@ -246,7 +247,7 @@ def _found(application: str, profile: Profile) -> Column:
     empty = F.array().cast("array<int>")
 
     def of(gate: Column, rules: dict[str, Column]) -> list[Column]:
-        own = [F.when(v, F.lit(enabled[k])) for k, v in rules.items() if k in enabled]
+        own = [F.when(v, expr(str(enabled[k]))) for k, v in rules.items() if k in enabled]
         return [F.when(gate, F.array_compact(F.array(*own))).otherwise(empty)] if own else []
 
     kind, rules = F.col("kind"), container_rules()
@@ -270,16 +271,22 @@ def _found(application: str, profile: Profile) -> Column:
     return F.concat(*parts) if parts else empty
 
 
+def _known_faults(profile: Profile) -> Column:
+    """The faults of a row of nodes() whose rules are enabled."""
+    names = [c.name for c in profile.checks()]
+    return F.filter("faults", lambda f: f.rule.isin(*names) if names else F.lit(False))
+
+
 def _issues(profile: Profile) -> Column:
     """The issues of a row of nodes(), an array of (check_id, page): what its rules find, and its faults."""
-    enabled = {c.name: c.check_id for c in profile.checks()}
     kinds = "array<struct<check_id:int,page:int>>"
     own = F.transform(found(profile), lambda k: F.struct(k.alias("check_id"), F.col("page").alias("page"))).cast(kinds)
+    enabled = [(c.name, c.check_id) for c in profile.checks()]
     if not enabled:
         return own
-    ids = F.create_map(*[x for k, v in enabled.items() for x in (F.lit(k), F.lit(v))])
-    of = F.filter(F.transform("faults", lambda f: F.struct(ids[f.rule].alias("check_id"), f.page.alias("page"))), lambda x: x.check_id.isNotNull())
-    return F.when(F.size("faults") > 0, F.concat(own, of.cast(kinds))).otherwise(own)
+    ids = expr("map(" + ", ".join(f"{quoted(k)}, {v}" for k, v in enabled) + ")")
+    of = F.transform(_known_faults(profile), lambda f: F.struct(ids[f.rule].alias("check_id"), f.page.alias("page"))).cast(kinds)
+    return F.concat(own, of)
 
 
 def evaluate(rows: DataFrame, profile: Profile) -> DataFrame:
@@ -289,7 +296,7 @@ def evaluate(rows: DataFrame, profile: Profile) -> DataFrame:
 
 def file_results(rows: DataFrame, profile: Profile) -> DataFrame:
     """file_id, valid, n_issues of the files of nodes(), in one scan of their rows."""
-    n = rows.select("file_id", F.size(_issues(profile)).alias("n")).groupBy("file_id").agg(F.sum("n").alias("n_issues"))
+    n = rows.select("file_id", (F.size(found(profile)) + F.size(_known_faults(profile))).alias("n")).groupBy("file_id").agg(F.sum("n").alias("n_issues"))
     return n.select("file_id", (F.col("n_issues") == 0).alias("valid"), "n_issues")
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.plans.catalog import check_by_name
-from folioscan.plans.conditions import Cond, Entry, Fields, compile_cond
+from folioscan.plans.conditions import Cond, Fields, compile_cond
+from folioscan.plans.conditions import Entry as Operand
+from folioscan.plans.expressions import Entry, expr, quoted
 
 #: Kinds of values by the schema's types.
 KINDS = {
@@ -38,7 +40,7 @@ class KeyDef:
 
 
 @dataclass(frozen=True)
-class Field(Entry):
+class Field(Operand):
     """An entry with its kind, and whether it is a reference."""
 
     kind: Column | None = None
@@ -47,8 +49,8 @@ class Field(Entry):
 
 def map_fields(key: str) -> Field:
     """Entries of the rows of folioscan.sources.pdf."""
-    e = F.col("entries")[key]
-    return Field(F.coalesce(e.k != "null", F.lit(False)), F.when(e.k.isin("name", "int", "bool"), e.s), e.n, e.len, e.k, e.ref)
+    e = Entry(key)
+    return Field(expr(f"coalesce({e.at}.k != 'null', false)"), expr(f"case when {e.at}.k in ('name', 'int', 'bool') then {e.at}.s end"), e.n, e.len, e.k, e.ref)
 
 
 def column_fields(columns: dict[str, tuple[Column, str]]) -> Fields:
@@ -71,7 +73,8 @@ def findings(type_name: str, defs: list[KeyDef], fields: Fields) -> list[Column]
     out = []
 
     def flag(when: Column, rule: str, key: str) -> None:
-        out.append(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(check_by_name(rule).check_id).alias("check_id"), F.lit(type_name).alias("om_type"), F.lit(key).alias("om_key"))))
+        issue = expr(f"named_struct('check_id', {check_by_name(rule).check_id}, 'om_type', {quoted(type_name)}, 'om_key', {quoted(key)})")
+        out.append(F.when(when, issue))  # null doesn't flag
 
     for d in defs:
         f = fields(d.key)
