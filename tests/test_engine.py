@@ -1,6 +1,8 @@
 """Catalog, conditions, results, graphs and repair; queries against DuckDB."""
 
 import os
+from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from folioscan.operators import graph, results, schema
 from folioscan.operators.fixpoint import repair
 from folioscan.operators.rules import verify
 from folioscan.plans import conditions as c
-from folioscan.plans import queries
+from folioscan.plans import program_queries, queries
 from folioscan.plans.catalog import all_checks, check_by_clause, check_by_name, checks_for_clause, clause_key, full_profile, profiles
 
 DATA = "/root/testdata/sf0.001"
@@ -84,6 +86,24 @@ def test_pages_of_a_deep_tree(spark):
         graph.page_index(tree, max_depth=5)
 
 
+def test_unused_fonts_and_forms_of_a_lenient_profile(spark):
+    from folioscan.functions import pdf_fixture
+    from folioscan.sources.pdf_bytes import Name, write_document
+
+    def build(content):
+        o, t = pdf_fixture.base("text")
+        o[7] = pdf_fixture.stream(content)
+        o[9].pop("FontFile2")
+        o[14]["OPI"] = Name("x")
+        return write_document(o, t)
+
+    files = spark.createDataFrame([(1, build(b"q Q")), (2, build(b"/Fm0 Do BT /F0 9 Tf (x) Tj ET"))], "file_id bigint, content binary")
+    names = {x.check_id: x.name for x in all_checks()}
+    got = lambda p: sorted((r.file_id, names[r.check_id]) for r in verify(files, p)[0].collect())
+    both = [(k, n) for k in (1, 2) for n in ("FormOPI", "SimpleNotEmbedded")]
+    assert got("strict_1b") == both and got("a_1b") == both[2:]
+
+
 def test_repair_stops(spark):
     state = spark.createDataFrame([(1, 0), (2, 2), (3, 9), (4, -1)], "file_id bigint, n int")  # 4 can't be mended
     evaluate = lambda s: s.where("n <> 0").select("file_id", F.explode(F.when(F.col("n") < 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.col("n")))).alias("check_id"))
@@ -98,9 +118,16 @@ def test_pruned_profile_is_filtered_full_profile(spark):
 
     files = pdf_fixture.make_files(spark.createDataFrame([(k, "a text") for k in range(len(pdf_fixture.DEFECTS))] + [(1000, None)], "file_id bigint, text string"))
     whole, valid = verify(files, full_profile())
-    part, _ = verify(files, profiles()["a_1b"].remove("TrailerID"))
-    want = results.filter_by_profile(whole, profiles()["a_1b"].remove("TrailerID"))
+    lenient = profiles()["a_1b"].remove("TrailerID")
+    plain = replace(lenient, skip_unreachable_forms=False, skip_unused_simple_fonts=False)
+    part, _ = verify(files, plain)
+    want = results.filter_by_profile(whole, plain)
     key = lambda df: sorted(tuple(r) for r in df.collect())
+    # the flags of the lenient profile pass over what a form that nothing shows breaks, and nothing else
+    flagged, _ = verify(files, lenient)
+    names_of = {k: n for k, (n, _, _) in enumerate(pdf_fixture.DEFECTS)}
+    less = Counter(key(part)) - Counter(key(flagged))
+    assert {names_of[k] for k, _, _ in less} == {"form_ref", "form_opi", "form_subtype2", "form_ps"} and not Counter(key(flagged)) - Counter(key(part))
     assert key(part) == key(want) and {r.file_id for r in valid.where("valid").collect()} == {k for k, (_, _, w) in enumerate(pdf_fixture.DEFECTS) if not w}
     names = {x.check_id: x.name for x in all_checks()}
     found = {}
@@ -116,15 +143,16 @@ SOME = ["profile_filter", "summary_report", "checks_natural_order", "violation_m
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", [*SOME, *program_queries.QUERIES])
 def test_query_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     for t in os.listdir(DATA):
         con.execute(f"create view {t.split('.')[0]} as select * from '{DATA}/{t}'")
-    want = con.sql(queries.SQL[name])
+    con.execute("SET TimeZone = 'UTC'")
+    want = con.sql((queries.SQL | program_queries.SQL)[name])
     cols = sorted(want.columns)
     rows = lambda table: sorted(repr(tuple(r[k] for k in cols)) for r in table.to_pylist())
-    got = queries.QUERIES[name](spark, DATA).toArrow()
+    got = (queries.QUERIES | program_queries.QUERIES)[name](spark, DATA).toArrow()
     assert sorted(got.column_names) == cols and rows(got) == rows(want.to_arrow_table()) != []
