@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,14 +16,25 @@ MERGED_ROUNDS = 20
 MAX_TREE_DEPTH = 1 << 16
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder (spark.checkpoint.dir) instead of a growing plan."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir). Only a local master, as in tests, may do without: it
+    gets a temporary one that goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("folioscan.graph.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="folioscan-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="folioscan-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("folioscan.graph.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder instead of a growing plan."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
