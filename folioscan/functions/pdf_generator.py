@@ -127,7 +127,7 @@ CORRUPTIONS: dict[str, Corruption] = {
     "length_long": _swap(rb"/Length \d+", b"/Length 1048576"), "length_negative": _swap(rb"/Length \d+", b"/Length -5"), "length_text": _swap(rb"/Length \d+", b"/Length (none)"), "payload": _swap(rb"(stream\r?\n)(.+?)(\r?\nendstream)", _payload),
     "filter": _swap(rb"/(Flate|ASCIIHex|ASCII85)Decode", b"/NoSuchDecode"), "dangling": _swap(rb"\d+ 0 R", b"9876 0 R"), "self_reference": _swap(rb"/Type /Catalog", b"/Type /Catalog /Own 1 0 R"), "huge_number": _swap(rb"\d+ 0 obj", b"4294967299 0 obj"),
     "open_dictionary": _swap(rb"<<", b"<< << "), "open_array": _swap(rb"/Kids ?\[", b"/Kids [[[["), "open_string": _swap(rb"/Type /(Catalog|Pages?)", b"/Own (never closed"), "name_escape": _swap(rb"/(Type|Kids|Count)", rb"/\1#zz"),
-    "deep": _swap(rb"/MediaBox ?\[", lambda m, r: b"/Deep " + b"[" * 3000 + b"]" * 3000 + b" " + m[0]), "parameters": _swap(rb"/FlateDecode", b"/FlateDecode /DecodeParms <</Predictor 15 /Columns -1 /Colors 99 /BitsPerComponent 128>>"),
+    "deep": _swap(rb"/MediaBox ?\[", lambda m, r: b"/Deep " + b"[" * 3000 + b"]" * 3000 + b" " + m[0]), "parameters": _swap(rb"/FlateDecode", b"/FlateDecode /DecodeParms <</Colors 77 /Columns -3 /BitsPerComponent 64 /Predictor 14>>"),
     "widths": _swap(rb"/W ?\[[^]]*\]", b"/W [9 9 9]"), "widths_none": _swap(rb"/W ?\[[^]]*\]", b"/W [0 0 0]"), "index": _swap(rb"/Index ?\[[^]]*\]", b"/Index [9999 9999]"), "members": _swap(rb"/N \d+", b"/N 999999"), "first": _swap(rb"/First \d+", b"/First 999999"),
     "zeros": _zeros, "flips": _flips,
 }
@@ -155,7 +155,7 @@ def _value(rng: random.Random, most: int, depth: int) -> object:
 
 
 def _entries(rng: random.Random, most: int, depth: int) -> Dict:
-    keys = ["Type", "Subtype", "Kids", "Parent", "Count", "Contents", "Resources", "Length", "Filter", "Annots", "S", "Metadata"]
+    keys = "Annots Contents Count Filter Kids Length Metadata Parent Resources S Subtype Type".split()
     return Dict({rng.choice(keys): _value(rng, most, depth) for _ in range(rng.randrange(6))})
 
 

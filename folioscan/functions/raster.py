@@ -15,6 +15,7 @@ from folioscan.functions import colour, fonts
 from folioscan.sources.pdf_bytes import Dict, Hex, Name, tokenize_content
 
 SAMPLES, CURVE_STEPS, MAX_FORMS, MAX_PIXELS = 4, 12, 24, 1 << 26
+PAINT = frozenset("n f F f* S s B B* b b*".split())
 Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 Path = list[list[tuple[float, float]]]
@@ -308,7 +309,7 @@ class Renderer:
                 at = (x, y)
                 path.append([apply(state.ctm, *q) for q in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))])
                 closed.append(True)
-            elif op in ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "n"):
+            elif op in PAINT:
                 paint(op[0] in "fFBb", op.endswith("*"), op[0] in "SsBb", op[0] in "sb")
             elif op in ("W", "W*"):
                 pending = op == "W*"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscan.functions.xmp import ISO_DATE
+from folioscan.functions.xmp import ISO_DATE, ISO_PARTS
 
 
 def is_hex_string(c: Column) -> Column:
@@ -59,7 +59,7 @@ def pdf_date_to_iso(c: Column) -> Column:
 
 
 def iso_to_pdf_date(c: Column) -> Column:
-    g = lambda k: F.regexp_extract(c, r"^(\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:\.\d+)?)?(Z|[+-]\d\d:\d\d)?)?)?)?$", k)
+    g = lambda k: F.regexp_extract(c, f"^{ISO_PARTS}$", k)
     zone = F.when(g(7).isin("", "Z"), g(7)).otherwise(F.concat(F.substring(g(7), 1, 3), F.lit("'"), F.substring(g(7), 5, 2), F.lit("'")))
     return F.when(g(1) != "", F.concat(F.lit("D:"), g(1), g(2), g(3), g(4), g(5), g(6), zone))
 

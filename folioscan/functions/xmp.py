@@ -64,6 +64,10 @@ _CLOCK = f"T{_TWO}:{_TWO}(?::{_TWO}(?:[.][0-9]+)?)?(?:{_ZONE})?"
 ISO_DATE = f"[0-9]{{4}}(?:-{_TWO}(?:-{_TWO}(?:{_CLOCK})?)?)?"
 
 
+#: The same, its parts in groups: year, month, day, hour, minute, second, zone.
+ISO_PARTS = f"([0-9]{{4}})(?:-({_TWO})(?:-({_TWO})(?:T({_TWO}):({_TWO})(?::({_TWO})(?:[.][0-9]+)?)?({_ZONE})?)?)?)?"
+
+
 def date_digits(text: str) -> str:
     return re.sub(r"\D", "", text)
 
@@ -90,7 +94,7 @@ def pdf_date_to_iso(text: str) -> str | None:
 
 
 def iso_to_pdf_date(text: str) -> str | None:
-    m = re.fullmatch(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:\.\d+)?)?(Z|[+-]\d\d:\d\d)?)?)?)?", text or "")
+    m = re.fullmatch(ISO_PARTS, text or "")
     if not m:
         return None
     zone = m[7] or ""

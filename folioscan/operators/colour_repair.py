@@ -9,7 +9,7 @@ from folioscan.functions.pdf_functions import parse_function
 from folioscan.operators.font_repair import usage_of
 from folioscan.sources.pdf_bytes import Dict, Name, tokenize_content
 
-CATEGORIES = ("Font", "XObject", "ColorSpace", "Pattern", "Shading", "ExtGState", "Properties")
+CATEGORIES = tuple("ColorSpace ExtGState Font Pattern Properties Shading XObject".split())
 MAX_ENTRIES, MAX_COLORANTS = 4095, 8
 _PAINT = {"gray": "g", "rgb": "rg", "cmyk": "k"}
 

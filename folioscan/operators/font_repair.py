@@ -107,7 +107,7 @@ def needs_substitute(p: fonts.Program) -> bool:
 def _embed(e, d: Dict, f: Dict, data: bytes, name: str, flags: int) -> None:
     s = Dict(Length1=len(data))
     e.set_body(s, data)
-    for k in ("FontFile", "FontFile2", "FontFile3", "CharSet", "CIDSet"):
+    for k in "CharSet CIDSet FontFile FontFile2 FontFile3".split():
         f.pop(k, None)
     f.update(Type=Name("FontDescriptor"), FontName=Name(name), Flags=flags, FontFile2=e.add(s))
     f.setdefault("ItalicAngle", 0)

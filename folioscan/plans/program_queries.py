@@ -218,7 +218,7 @@ _GAMMA = "CASE WHEN {0} <= 0.0031308 THEN 12.92 * {0} ELSE 1.055 * power({0}, 1
 
 @query(f"""WITH l AS (SELECT {_ROW}, l_quantity * 2.0::DOUBLE AS L, l_discount * 400 - 20 AS a, l_tax * 400 - 20 AS b FROM lineitem), f AS (SELECT row_id, (L + 16) / 116 AS fy, (L + 16) / 116 + a / 500 AS fx, (L + 16) / 116 - b / 200 AS fz FROM l),
 x AS (SELECT row_id, 0.9642 * ({_FI.format('fx')}) AS x, {_FI.format('fy')} AS y, 0.8249 * ({_FI.format('fz')}) AS z FROM f),
-r AS (SELECT row_id, greatest(0, least(1, 3.1338561 * x - 1.6168667 * y - 0.4906146 * z)) AS r, greatest(0, least(1, 0.0719453 * x - 0.2289914 * y + 1.4052427 * z)) AS b FROM x)
+r AS (SELECT row_id, greatest(0, least(1, 3.1338561 * x - 0.4906146 * z - 1.6168667 * y)) AS r, greatest(0, least(1, 1.4052427 * z + 0.0719453 * x - 0.2289914 * y)) AS b FROM x)
 SELECT row_id, round({_GAMMA.format('r')}, 4) AS red, round({_GAMMA.format('b')}, 4) AS blue FROM r""")
 def colour_lab(spark, sf_dir):
     def run(d: pd.Series, t: pd.Series, q: pd.Series) -> pd.DataFrame:
