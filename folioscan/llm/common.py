@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 RANGE_ROWS = 1_000_000
 #: Ranges at most: what a task orders grows with the rows beyond MOST_RANGES times that many, and spills to disk.
 MOST_RANGES = 1 << 16
+#: Parts of the rows without a number to order by.
+NULL_PARTS = 1024
 #: At most this many keys can each hold more than 1/HOT_KEYS of the rows, which bounds what is broadcast.
 HOT_KEYS = 1000
 
@@ -102,6 +104,12 @@ def range_of(column: Column, bounds: list) -> Column:
     return search(F.coalesce(column.cast("bigint"), F.lit(0)), column.isNotNull())
 
 
+def ordered_part(column: Column, tie: Column, bounds: list) -> Column:
+    """A part for number_gapless() along the order of column, nulls first, and then of tie, a number below 2^32. Nulls,
+    of which there may be very many, are in NULL_PARTS parts by tie."""
+    return F.when(column.isNull(), F.shiftright(tie.cast("bigint") * NULL_PARTS, 32) - NULL_PARTS).otherwise(range_of(column, bounds)).cast("int")
+
+
 def number_gapless(df: DataFrame, group: list[str], part: str, order: list[Column], name: str) -> DataFrame:
     """Adds a number, gapless from 0 within each group, in the order given.
 

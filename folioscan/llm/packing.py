@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize, number_gapless, only, range_bounds, range_of, read_table
+from folioscan.llm.common import materialize, number_gapless, only, ordered_part, range_bounds, read_table
 
 CAPACITY, END_ID = 1024, 2
 #: By default neither of these binds before the tokens do.
@@ -169,8 +169,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, max_documents: int = MA
         return pd.DataFrame({"sequence_id": table[at, 4] + sequence, "offset": table[at, 5] + place * length})
 
     bounds = range_bounds(pieces, "doc_id", sum(histogram.values()))
-    pieces = pieces.withColumn("_part", range_of(F.col("doc_id"), bounds))
-    ranked = number_gapless(pieces, ["length"], "_part", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_rank")
+    pieces = pieces.withColumn("_part", ordered_part(F.col("doc_id"), F.col("ids_crc32"), bounds))
+    ranked = number_gapless(pieces, ["length"], "_part", [F.col("doc_id"), F.col("ids_crc32"), F.col("piece")], "_rank")
     return ranked.withColumn("_at", find("length", "_rank")).select("doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset")
 
 

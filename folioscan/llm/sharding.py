@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize, number_gapless, only, range_bounds, range_of, read_table
+from folioscan.llm.common import materialize, number_gapless, only, ordered_part, range_bounds, read_table
 
 SHARDS, SHARDS_PER_RACK, RACKS_PER_REGION = 40, 4, 5
 #: Shards that share racks and regions.
@@ -111,7 +111,7 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, weights: dict[in
     d = place(place(d, "doc_id", shards, "shard", weights), "doc_id", shards + 1, "grown_shard", weights)
     d = materialize(d, "shards")
     bounds = range_bounds(d, "doc_id", d.count())
-    d = d.withColumn("_part", range_of(F.col("doc_id"), bounds))
+    d = d.withColumn("_part", ordered_part(F.col("doc_id"), F.col("text_crc32"), bounds))
     d = number_gapless(d, ["shard"], "_part", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
     return d.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

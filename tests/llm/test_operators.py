@@ -439,6 +439,19 @@ def test_sharding_by_more_parts(spark, monkeypatch):
     assert sorted(rows(sharding.shard_documents(d)), key=repr) == want
 
 
+def test_many_rows_without_a_number(spark):
+    d = spark.createDataFrame([(None if k % 3 else k, f"t{k % 700}") for k in range(3000)], "doc_id bigint, text string")
+    got = sharding.shard_documents(d).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append((r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"], r.slot))
+    for b in by.values():
+        b.sort(key=lambda x: x[4])
+        assert [x[4] for x in b] == list(range(len(b))) and [x[:4] for x in b] == sorted(x[:4] for x in b)
+    packed = packing.pack(d).collect()
+    assert len({(r.sequence_id, r.offset) for r in packed}) == 3000 == len(packed)
+
+
 # 6
 
 
