@@ -80,6 +80,13 @@ def summary(issues: DataFrame) -> DataFrame:
     return n.groupBy("file_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(line)), lambda x: x.text)).alias("report"))
 
 
+def messages(issues: DataFrame) -> DataFrame:
+    """file_id, message: each issue as a sentence of its rule, and of its page, if it has one."""
+    heads = issues.sparkSession.createDataFrame([(c.check_id, f"{c.clause}/{c.subclause} {c.description}") for c in all_checks()], "check_id int, head string")
+    where = F.when(F.col("page") > 0, F.concat(F.lit(" on page "), F.col("page").cast("string"))).otherwise(F.lit(" in the document"))
+    return issues.join(F.broadcast(heads), "check_id").select("file_id", F.concat("head", where).alias("message"))
+
+
 def violation_counts(issues: DataFrame) -> DataFrame:
     """file_id, signature: the multiset of rules as a sorted text of check and count."""
     pair = F.struct("check_id", "n")

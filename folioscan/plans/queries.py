@@ -107,6 +107,14 @@ def summary_report(spark, sf_dir):
     return results.summary(lane_issues(spark, sf_dir))
 
 
+_HEADS = "(VALUES " + ", ".join(f"({x.check_id}, '{x.clause}/{x.subclause} {x.description}')" for x in _USED) + ") AS h(check_id, head)"
+
+
+@query(f"SELECT file_id, head || CASE WHEN page > 0 THEN ' on page ' || page ELSE ' in the document' END AS message FROM {ISSUES} JOIN {_HEADS} USING (check_id)")
+def issue_messages(spark, sf_dir):
+    return results.messages(lane_issues(spark, sf_dir))
+
+
 @query(f"SELECT file_id, check_id, row_number() OVER (PARTITION BY file_id ORDER BY natural_order) AS rank FROM (SELECT DISTINCT file_id, check_id FROM {ISSUES}) JOIN {CATALOG} USING (check_id)")
 def checks_natural_order(spark, sf_dir):
     return results.distinct_checks(lane_issues(spark, sf_dir)).select("file_id", "check_id", F.col("rank").cast("bigint").alias("rank"))

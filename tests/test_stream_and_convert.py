@@ -131,3 +131,27 @@ def test_issue_counts_by_window(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.check_id, str(r.window.start)[11:13]): r.n for r in spark.table("counts").collect()}
     assert got == {(1, "10"): 2, (2, "10"): 1, (1, "11"): 1}
+
+
+def test_files_as_an_object(spark, tmp_path):
+    from folioscan.files import Files
+
+    n = {k: i for i, (k, _, _) in enumerate(pdf_fixture.DEFECTS)}
+    wanted = ["none", "no_id", "model_rotate", "nothing"]
+    data = spark.createDataFrame([(n[k], "a text") for k in wanted], "file_id bigint, text string")
+    files = Files(pdf_fixture.make_files(data))
+    flag = lambda df: {r.file_id: r.valid for r in df.collect()}
+    assert flag(files.is_pdfa()) == {n["none"]: True, n["no_id"]: False, n["model_rotate"]: False, n["nothing"]: False}
+    assert flag(files.is_pdf()) == flag(files.verify_object_model()[1]) == {n["none"]: True, n["no_id"]: True, n["model_rotate"]: False, n["nothing"]: True}
+    said = [r.message for r in files.messages().collect() if r.file_id in (n["no_id"], n["model_rotate"])]
+    assert sorted(said) == ["6.1.3/1 trailer id in the document", f"{check_by_name('ConstraintViolated').clause}/{check_by_name('ConstraintViolated').subclause} constraint violated on page 1"]
+    assert {r.file_id for r in files.report().collect()} == {n[k] for k in wanted[1:]} and files.unread().count() == 0
+    mended, results, _ = files.convert()
+    assert flag(results) == {n["none"]: True, n["no_id"]: True, n["model_rotate"]: True, n["nothing"]: False}
+    saved = {r.file_id: r.bytes for r in mended.save(f"file://{tmp_path}/out").collect()}
+    again = Files.open(spark, f"{tmp_path}/out")
+    assert len(saved) == 4 and {p.name for p in (tmp_path / "out").iterdir()} == {f"{n[k]}.pdf" for k in wanted} and again.is_pdfa().where("valid").count() == 3
+    meta = {r.pages for r in again.page_counts().collect()}, {r.version for r in again.versions().collect()}, {(r.part, r.conformance) for r in again.claimed_conformance().collect()}
+    assert meta == ({0, 1}, {"1.4", None}, {("1", "B"), (None, None)}) and again.xmp().where("xmp is not null").count() == 3 and again.metadata().count() == 4
+    model, _, left = files.convert_object_model()
+    assert left.count() == 0 and model.files.count() == 4
