@@ -578,6 +578,40 @@ def format_value(v: object) -> bytes:
     raise TypeError(type(v))
 
 
+def reachable(objects: dict[int, object], trailer: dict) -> list[int]:
+    """The numbers of the objects that the trailer leads to, in the order of first encounter, keys in order."""
+    out: dict[int, None] = {}
+    todo: list[object] = [trailer]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, Ref):
+            if v.num in out or v.num not in objects:
+                continue
+            out[v.num] = None
+            v = objects[v.num]
+        if isinstance(v, dict):
+            todo += [x for _, x in sorted(v.items(), reverse=True)]
+        elif isinstance(v, list):
+            todo += v[::-1]
+    return list(out)
+
+
+def renumbered(objects: dict[int, object], trailer: dict) -> tuple[dict[int, object], Dict]:
+    """Only what the trailer leads to, numbered from 1 in the order of first encounter; references to nothing are null."""
+    to = {num: k for k, num in enumerate(reachable(objects, trailer), 1)}
+
+    def copy(v: object) -> object:
+        if isinstance(v, Ref):
+            return Ref(to[v.num], 0) if v.num in to else None
+        if isinstance(v, dict):
+            d = Dict({k: copy(x) for k, x in v.items()})
+            d.raw = v.raw if isinstance(v, Dict) else None
+            return d
+        return [copy(x) for x in v] if isinstance(v, list) else v
+
+    return {k: copy(objects[num]) for num, k in to.items()}, copy(trailer)
+
+
 def write_document(objects: dict[int, object], trailer: dict, version: str = "1.4") -> bytes:
     """Objects by number as a file with a classic table; Length and Size are set."""
     out, at = bytearray(b"%PDF-" + version.encode() + b"\n%\xe2\xe3\xcf\xd3\n"), {}

@@ -103,3 +103,18 @@ def test_xmp():
     assert xmp.pdf_date_to_iso("D:2024010203") == "2024-01-02T03:00Z" and xmp.pdf_date_to_iso("D:20240102030405+01'30'") == "2024-01-02T03:04:05+01:30" and xmp.pdf_date_to_iso("x") is None
     assert xmp.iso_to_pdf_date("2024-01-02T03:04:05+01:30") == "D:20240102030405+01'30'" and xmp.iso_to_pdf_date("2024-01") == "D:202401"
     assert xmp.is_date("2024-01") and not xmp.is_date("2024-1")
+
+
+def test_renumbering_keeps_what_is_reachable():
+    from folioscan.sources.pdf_bytes import reachable, renumbered
+
+    o, t = fx.base("text")
+    o[40] = Dict(Type=Name("Unreachable"))
+    o[3]["Own"] = Ref(99, 0)
+    assert reachable(o, t)[:2] == [16, 1] and 40 not in reachable(o, t)
+    new, trailer = renumbered(o, t)
+    assert sorted(new) == list(range(1, len(new) + 1)) and len(new) == len(o) - 1 and trailer["Info"] == Ref(1, 0) and trailer["Root"] == Ref(2, 0)
+    doc = Document(write_document(new, trailer)).open()
+    page = doc.path("Root", "Pages", "Kids", "0")
+    assert page["Own"] is None and doc.path("Info", "Title") == o[16]["Title"] and doc.decoded(doc.resolve(page["Contents"])) == Document(write_document(o, t)).open().decoded(o[7])
+    assert renumbered(new, trailer) == (new, trailer)
