@@ -3,7 +3,7 @@
 The model's symbols are characters. Its counts stay in tables sharded by n-gram. The n-grams of the corpus, each once,
 are joined order by order with the counts, the contexts' sums and the probabilities of the shorter n-grams, so the
 tables that meet grow with the distinct n-grams and not with the text, and no text is shuffled. The resulting
-probabilities are sent to the tasks if they are few enough; if not, each bucket of documents is joined with those it
+probabilities are sent to the tasks, slice by slice, if they are few enough; if not, each bucket of documents is joined with those it
 needs. A document is rejected if its perplexity exceeds a quantile of the trusted documents of its language.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +30,8 @@ FOLDS, TRUSTED_DOCS = 4, 40_000
 QUANTILE, LEAST_TRUSTED = 0.995, 20
 #: Log-perplexity that is allowed above the quantile, and more for a short text: this over the root of its symbols.
 SLACK, SHORT_SLACK = 0.1, 4.0
-#: Rows of probabilities (20 bytes each) that may be sent to every task.
-SENT_ROWS = 3_000_000
+#: Rows of probabilities (16 bytes each) that may be sent to every task, and of those that the driver holds at once, about.
+SENT_ROWS, HELD_ROWS = 3_000_000, 500_000
 #: Characters handled at once; documents of a bucket in the way by buckets, about.
 CHUNK_CHARS, BUCKET_DOCS = 2_000_000, 5_000
 BEGIN, END = "\x02", "\x03"
@@ -174,21 +175,36 @@ class Counts:
         return lower
 
 
-def _score(texts: list[str], n: int, keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text, the sum of the logarithms and the number of symbols; keys is sorted and has all n-grams."""
+#: Slices of the probabilities: sorted keys, and their logarithms.
+Slices = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _logs(keys: np.ndarray, slices: Slices) -> np.ndarray:
+    """The logarithms of keys, each of which one of the slices has."""
+    out = np.full(len(keys), np.nan)
+    for known, logs in slices:
+        if len(known):
+            inside = np.flatnonzero((keys >= known[0]) & (keys <= known[-1]))
+            at = np.searchsorted(known, keys[inside])
+            hit = known[at] == keys[inside]
+            out[inside[hit]] = logs[at[hit]]
+    if np.isnan(out).any():
+        raise ValueError("an n-gram without a probability")
+    return out
+
+
+def _score(texts: list[str], n: int, slices: Slices) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the sum of the logarithms and the number of symbols; slices have all n-grams."""
     _, _, own, starts = _windows(texts, n)
     codes, unique = pd.factorize(own)
-    at = np.searchsorted(keys, unique)
-    if len(at) and (at.max() >= len(keys) or (keys[at] != unique).any()):
-        raise ValueError("an n-gram without a probability")
-    return np.add.reduceat(logs[at][codes], starts), np.array([len(t) + 1 for t in texts])
+    return np.add.reduceat(_logs(unique, slices)[codes], starts), np.array([len(t) + 1 for t in texts])
 
 
 SCORED = "doc_id bigint, lang string, text_hash bigint, symbols bigint, log_perplexity double"
 
 
-def _scored(b: pa.RecordBatch, texts: list[str], n: int, keys: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
-    sums, symbols = _score(texts, n, keys, logs)
+def _scored(b: pa.RecordBatch, texts: list[str], n: int, slices: Slices) -> pa.RecordBatch:
+    sums, symbols = _score(texts, n, slices)
     nll = [None if not t else float(x) for t, x in zip(texts, -sums / symbols)]
     return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(symbols, pa.int64()), pa.array(nll, pa.float64())], ["doc_id", "lang", "text_hash", "symbols", "log_perplexity"])
 
@@ -207,20 +223,39 @@ def _sorted(grams: pa.ChunkedArray, p: pa.ChunkedArray, n: int) -> tuple[np.ndar
     return keys[at], logs[at]
 
 
+def _send(p: DataFrame, rows: int, n: int) -> list[Broadcast]:
+    """The rows (g, p) of a table of n-grams as broadcast slices. Tasks turn the n-grams into keys, and the driver holds
+    one slice at a time, the keys with the same first bits."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, logs = _sorted(pa.chunked_array([b.column(0)]), pa.chunked_array([b.column(1)]), n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(logs)], ["key", "log"])
+
+    keyed, sent = materialize(p.select("g", "p").mapInArrow(key, "key bigint, log double"), "keys"), []
+    bits = (max(0, rows - 1) // HELD_ROWS).bit_length()
+    for k in range(1 << bits):
+        part = keyed.where(F.shiftrightunsigned("key", 64 - bits) == k) if bits else keyed
+        table = part.toArrow()
+        keys = table.column("key").to_numpy()
+        at = np.argsort(keys, kind="stable")
+        sent.append(p.sparkSession.sparkContext.broadcast((keys[at], table.column("log").to_numpy()[at])))
+    return sent
+
+
 def score(documents: DataFrame, counts: Counts, sent_rows: int = SENT_ROWS) -> DataFrame:
     """doc_id, lang, text_hash, symbols and log_perplexity (null for a text without symbols) of each of documents."""
-    n, spark = counts.n, documents.sparkSession
+    n = counts.n
     texts = documents.select("text")
     p = materialize(counts.probabilities(materialize(distinct_grams(texts, n), "grams")), "probabilities")
     d = documents.select("doc_id", "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    if p.count() <= sent_rows:
-        table = p.toArrow()
-        sent = spark.sparkContext.broadcast(_sorted(table.column(0), table.column(1), n))
+    if (rows := p.count()) <= sent_rows:
+        sent = _send(p, rows, n)
 
         def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, logs = sent.value
+            slices = [s.value for s in sent]
             for b, ts in _chunks(batches, 3):
-                yield _scored(b, ts, n, keys, logs)
+                yield _scored(b, ts, n, slices)
 
         return d.mapInArrow(score_all, schema(SCORED))
     # by buckets of documents, each with the probabilities of its own n-grams
@@ -237,8 +272,8 @@ def score(documents: DataFrame, counts: Counts, sent_rows: int = SENT_ROWS) -> D
     asked = d.select("bucket", "text").mapInArrow(ask, "bucket int, g string").distinct().join(p, "g").select("bucket", "g", "p")
 
     def score_bucket(docs: pa.Table, probs: pa.Table) -> pa.Table:
-        keys, logs = _sorted(probs.column("g"), probs.column("p"), n)
-        out = [_scored(b, ts, n, keys, logs) for b, ts in _chunks(iter(docs.select(["doc_id", "lang", "text_hash", "text"]).to_batches()), 3)]
+        slices = [_sorted(probs.column("g"), probs.column("p"), n)]
+        out = [_scored(b, ts, n, slices) for b, ts in _chunks(iter(docs.select(["doc_id", "lang", "text_hash", "text"]).to_batches()), 3)]
         return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash", pa.int64()), ("symbols", pa.int64()), ("log_perplexity", pa.float64())]))
 
     return d.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(score_bucket, schema(SCORED))

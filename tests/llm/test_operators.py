@@ -555,6 +555,22 @@ def test_kneser_ney(spark):
     assert abs(sum(p("ab" + x) for x in everything) + p("ab\x01") - 1) < 1e-9
 
 
+def test_probabilities_are_sent_in_slices(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(k, "en", "".join(rng.choices("abcdefgh ", k=200)).strip()) for k in range(60)], "doc_id bigint, lang string, text string")
+    counts = quality.Counts(quality.count_grams(docs.limit(30).select("text"), 3), 3)
+    want = {r.doc_id: r.log_perplexity for r in quality.score(docs, counts, 0).collect()}  # by buckets
+    context, sizes = type(spark.sparkContext), []
+    send = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: (sizes.append(len(value[0])), send(self, value))[1])
+    for held in (10**6, 64):
+        monkeypatch.setattr(quality, "HELD_ROWS", held, raising=False)
+        sizes.clear()
+        got = {r.doc_id: r.log_perplexity for r in quality.score(docs, counts, 10**6).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert 500 < sum(sizes) and (len(sizes) == 1 if held == 10**6 else max(sizes) <= 4 * held + 20)
+
+
 def test_quality_keeps_clean_texts(spark, awkward):
     rng = random.Random(8)
     clean = lambda: " ".join("".join(rng.choices("th ing er on re at".split(), k=rng.randint(1, 4))) for _ in range(60))
