@@ -555,6 +555,25 @@ def test_kneser_ney(spark):
     assert abs(sum(p("ab" + x) for x in everything) + p("ab\x01") - 1) < 1e-9
 
 
+def test_quality_counts_all_trusted_documents(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.expr("char(97 + id % 7)"), F.expr("char(97 + id % 5)")).alias("text"))
+    fold = {r[0]: r[1] for r in d.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(quality.FOLDS))).collect()}
+    p = slow_kn([chr(97 + k % 7) + chr(97 + k % 5) for k in range(n) if fold[k]], quality.ORDER)
+    labels = d.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = {r.text_hash: r.perplexity for r in quality.judge(d, labels).select("text_hash", "perplexity").distinct().collect()}
+    hashes = {r[0]: r[1] for r in d.limit(35).select("text", F.xxhash64("text")).collect()}
+    assert len(hashes) == len(got) == 35
+    for t, h in hashes.items():
+        s = quality.BEGIN * (quality.ORDER - 1) + t + quality.END
+        want = -sum(math.log(p(s[i : i + quality.ORDER])) for i in range(len(t) + 1)) / (len(t) + 1)
+        assert abs(math.log(got[h]) - want) < 1e-9
+
+
 def test_probabilities_are_sent_in_slices(spark, monkeypatch):
     rng = random.Random(9)
     docs = spark.createDataFrame([(k, "en", "".join(rng.choices("abcdefgh ", k=200)).strip()) for k in range(60)], "doc_id bigint, lang string, text string")
