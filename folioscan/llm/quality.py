@@ -2,7 +2,8 @@
 
 The model's symbols are characters. Its counts stay in tables sharded by n-gram. The n-grams of the corpus, each once,
 are joined order by order with the counts, the contexts' sums and the probabilities of the shorter n-grams, so the
-tables that meet grow with the distinct n-grams and not with the text, and no text is shuffled. The resulting
+tables that meet grow with the distinct n-grams and not with the text. Texts are shuffled once, those of the folds that
+are counted, and only to meet more trusted ids than may be sent. The resulting
 probabilities are sent to the tasks, slice by slice, if they are few enough; if not, each bucket of documents is joined with those it
 needs. A document is rejected if its perplexity exceeds a quantile of the trusted documents of its language.
 """
@@ -25,6 +26,8 @@ ORDER = 5
 #: One fold in FOLDS of the trusted documents sets the thresholds, and all of it. The counts come from all of the
 #: others, so no document is judged by a model that has seen the ones that set its threshold.
 FOLDS = 4
+#: Ids of the documents counted that may be sent to every task; the texts are shuffled to meet more of them.
+SENT_IDS = 10_000
 #: Of the trusted documents of a language in that fold, and the fewest that a language of its own needs.
 QUANTILE, LEAST_TRUSTED = 0.995, 20
 #: Log-perplexity that is allowed above the quantile, and more for a short text: this over the root of its symbols.
@@ -317,8 +320,8 @@ def judge(documents: DataFrame, labels: DataFrame, order: int = ORDER, quantile:
     trusted = trusted_ids(labels)
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS))
     chosen = materialize(trusted.where(fold != 0), "trusted")
-    # the texts of the folds counted are joined by shuffle unless Spark finds the ids few
-    counts = Counts(count_grams(d.where(fold != 0).join(chosen, "doc_id", "left_semi").select("text"), order), order)
+    ids = F.broadcast(chosen) if chosen.count() <= SENT_IDS else chosen.hint("merge")
+    counts = Counts(count_grams(d.where(fold != 0).join(ids, "doc_id", "left_semi").select("text"), order), order)
     scored = materialize(score(d, counts, sent_rows), "scored")
     t = thresholds(scored, trusted.where(fold == 0), quantile)
     t = t.select(F.col("lang").alias("t_lang"), "threshold")

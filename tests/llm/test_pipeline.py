@@ -5,6 +5,8 @@ import math
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from folioscan.llm import language, packing, quality, simhash
 
@@ -87,6 +89,19 @@ def test_stages(spark, tmp_path):
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
 
 
+def test_quality_stage_counts_all_trusted_documents(spark, tmp_path):
+    # a sample by the least hashes of doc_id would never see the texts of those with the greatest
+    data = spark.range(60_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(quality.FOLDS))
+    late = data.where(fold != 0).orderBy("h").offset(40_000).first().h
+    text = F.when(F.col("h") >= late, "zyxwv uzyxw vuzyx").otherwise("abcde fabcd efabc")
+    docs = data.select("doc_id", text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    more = spark.createDataFrame([(10**6, "zyxwv uzyxw vuzyx", "en", "s"), (10**6 + 1, "QQQ### QQQ### QQQ", "en", "s")], docs.schema)
+    docs.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.judge_quality(spark, docs.unionByName(more), str(tmp_path))
+    assert [r.doc_id for r in kept.where("doc_id >= 1000000").collect()] == [10**6]
+
+
 def clashing(df):
     """Further columns with the names that stages and operators use themselves."""
     return df.selectExpr("*", "1 as rate", "2 as copies", "'c' as copy", "'k' as _key", "'h' as _hash", "3 as _id", "4 as _chosen", "5 as _mix_rate", "6 as _mix_source", "7 as key", "'l' as _language", "8 as text_hash", "true as keep", "'x' as class_id")
