@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import language, mixing, packing, quality, simhash
-from folioscan.llm.common import fresh, materialize, read_table
+from folioscan.llm.common import fresh, materialize, read_table, unsent
 
 #: A language's least score; the und of texts without a letter has 0.
 LEAST_SCORE = 0.5
@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     d = docs.withColumn(key, language.text_key(F.col("text")))
     p = language.predictions(d.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")), language.train(docs))
     chosen = p.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(F.col("key").alias(key)).distinct()
-    return d.join(chosen, key, "left_semi").select(*columns(docs))
+    return d.join(unsent(chosen), key, "left_semi").select(*columns(docs))
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def keep(docs: DataFrame, chosen: DataFrame, once: bool = False) -> DataFrame:
     key, own, its = fresh("_hash", docs), fresh("_id", docs), fresh("_chosen", docs)
     c = chosen.select(F.col("doc_id").alias(own), F.col("text_hash").alias(its)).distinct()
     d = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    d = d.join(c, d.doc_id.cast("bigint").eqNullSafe(c[own]) & (d[key] == c[its]), "left_semi")
+    d = d.join(unsent(c), d.doc_id.cast("bigint").eqNullSafe(c[own]) & (d[key] == c[its]), "left_semi")
     return (d.dropDuplicates(["doc_id", key]) if once else d).select(*columns(docs))
 
 

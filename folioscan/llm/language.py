@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import materialize, read_table
+from folioscan.llm.common import materialize, read_table, unsent
 
 MAX_N, PENALTY, UNKNOWN = 5, 7.0, "und"
 #: Most words, about, whose scores are sent to the tasks.
@@ -214,11 +214,11 @@ def _unseen(words_: DataFrame, gram_scores: DataFrame, langs: list[str]) -> Data
 
     left, parts = words_, []
     for sizes in ((MAX_N,), tuple(range(MAX_N - 1, 0, -1))):  # most words have a known n-gram of the most characters
-        known = left.mapInArrow(spread(sizes), "word string, item string").join(gram_scores, "item")
+        known = left.mapInArrow(spread(sizes), "word string, item string").join(unsent(gram_scores), "item")
         by = known.groupBy("word", F.length("item").alias("size")).agg(*[F.avg(x).cast("float").alias(x) for x in s])
         best = by.groupBy("word").agg(F.max_by(F.struct(*s), "size").alias("v")).select(F.col("word").alias("item"), "v.*")
         parts.append(materialize(best, "backed"))
-        left = materialize(left.join(parts[-1], "item", "left_anti"), "left")
+        left = materialize(left.join(unsent(parts[-1]), "item", "left_anti"), "left")
     return parts[0].unionByName(parts[1]).unionByName(left.select("item", *[F.lit(PENALTY).cast("float").alias(x) for x in s]))
 
 
@@ -268,11 +268,11 @@ def predictions(texts: DataFrame, counts: Counts) -> DataFrame:
     rest = p.where(F.size("rest") > 0).select("key", "rest", "times").dropDuplicates(["key"])
     rest = materialize(rest.select("key", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("key", F.col("x.rest").alias("item"), F.col("x.times").alias("times")), "rest")
     items = materialize(rest.select("item").distinct(), "items")
-    known = items.join(word_scores.select("item", *s), "item")
-    unseen = materialize(items.join(word_scores.select("item"), "item", "left_anti"), "unseen")
+    known = items.join(unsent(word_scores.select("item", *s)), "item")
+    unseen = materialize(items.join(unsent(word_scores.select("item")), "item", "left_anti"), "unseen")
     scores = materialize(known.unionByName(_unseen(unseen, gram_scores, langs)), "rare")
-    more = rest.join(scores, "item").groupBy("key").agg(F.array(*[F.sum(F.col(x).cast("double") * F.col("times")) for x in s]).alias("more"))
-    j = p.join(more, "key", "left").withColumn("total", F.when(F.col("more").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda a, b: a + b)))
+    more = rest.join(unsent(scores), "item").groupBy("key").agg(F.array(*[F.sum(F.col(x).cast("double") * F.col("times")) for x in s]).alias("more"))
+    j = p.join(unsent(more), "key", "left").withColumn("total", F.when(F.col("more").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda a, b: a + b)))
     j = j.withColumn("mean", F.transform("total", lambda x: x / F.greatest("number", F.lit(1)))).withColumn("best", F.array_min("mean"))
     lang = F.element_at(F.array(*map(F.lit, langs)), F.array_position("mean", F.col("best")).cast("int"))
     power = F.transform("mean", lambda x: F.exp((F.col("best") - x) * float(np.log(10)) * F.least("number", F.lit(EVIDENCE))))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscan.llm.common import materialize, read_table, schema
+from folioscan.llm.common import materialize, read_table, schema, unsent
 
 ORDER = 5
 #: One fold in FOLDS of the trusted documents sets the thresholds, and all of it. The counts come from all of the
@@ -165,13 +165,13 @@ class Counts:
             context = c.groupBy(F.substring("g", 1, k - 1).alias("h")).agg(
                 F.sum("c").alias("total"), (d1 * F.sum((F.col("c") == 1).cast("int")) + d2 * F.sum((F.col("c") == 2).cast("int")) + d3 * F.sum((F.col("c") >= 3).cast("int"))).alias("left")
             )
-            q = asked[k].join(c, "g", "left").withColumn("h", F.substring("g", 1, k - 1)).join(context, "h", "left")
+            q = asked[k].join(unsent(c), "g", "left").withColumn("h", F.substring("g", 1, k - 1)).join(unsent(context), "h", "left")
             own = F.coalesce((F.col("c") - F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)) / F.col("total"), F.lit(0.0))
             rest = F.coalesce(F.col("left") / F.col("total"), F.lit(1.0))
             if lower is None:
                 p = own + rest / (self.symbols + 1)
             else:
-                q = q.withColumn("s", F.substring("g", 2, k - 1)).join(lower.select(F.col("g").alias("s"), F.col("p").alias("ps")), "s")
+                q = q.withColumn("s", F.substring("g", 2, k - 1)).join(unsent(lower.select(F.col("g").alias("s"), F.col("p").alias("ps"))), "s")
                 p = own + rest * F.col("ps")
             lower = q.select("g", p.alias("p"))
         return lower
@@ -271,7 +271,7 @@ def score(documents: DataFrame, counts: Counts, sent_rows: int = SENT_ROWS) -> D
             pairs = pd.DataFrame({"bucket": owner, "key": keys, "at": at}).drop_duplicates(["bucket", "key"])
             yield pa.RecordBatch.from_arrays([pa.array(pairs["bucket"], pa.int32()), pa.array([joined[k : k + n] for k in pairs["at"]], pa.string())], ["bucket", "g"])
 
-    asked = d.select("bucket", "text").mapInArrow(ask, "bucket int, g string").distinct().join(p, "g").select("bucket", "g", "p")
+    asked = d.select("bucket", "text").mapInArrow(ask, "bucket int, g string").distinct().join(unsent(p), "g").select("bucket", "g", "p")
 
     def score_bucket(docs: pa.Table, probs: pa.Table) -> pa.Table:
         slices = [_sorted(probs.column("g"), probs.column("p"), n)]
@@ -290,7 +290,7 @@ def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE
     """lang, threshold: the quantile of the log-perplexity, less what a short text is allowed, in thousandths, of the
     documents given, by language; a language with fewer than least takes that of all. The histograms have some
     thousand bins a language."""
-    s = scored.join(trusted, "doc_id", "left_semi").where("log_perplexity is not null")
+    s = scored.join(unsent(trusted), "doc_id", "left_semi").where("log_perplexity is not null")
     bins = s.select("lang", F.floor((F.col("log_perplexity") - SHORT_SLACK / F.sqrt("symbols")) * 1000).alias("bin")).groupBy("lang", "bin").count()
     bins = materialize(bins, "bins")
 
@@ -320,7 +320,7 @@ def judge(documents: DataFrame, labels: DataFrame, order: int = ORDER, quantile:
     trusted = trusted_ids(labels)
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS))
     chosen = materialize(trusted.where(fold != 0), "trusted")
-    ids = F.broadcast(chosen) if chosen.count() <= SENT_IDS else chosen.hint("merge")
+    ids = F.broadcast(chosen) if chosen.count() <= SENT_IDS else unsent(chosen)
     counts = Counts(count_grams(d.where(fold != 0).join(ids, "doc_id", "left_semi").select("text"), order), order)
     scored = materialize(score(d, counts, sent_rows), "scored")
     t = thresholds(scored, trusted.where(fold == 0), quantile)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from folioscan.llm.common import materialize, read_table, schema
+from folioscan.llm.common import materialize, read_table, schema, unsent
 
 BITS, WORDS = 256, 4
 #: Tables at the least sample, the least and the most sampled coordinates, and how many fewer than the logarithm of the
@@ -292,15 +292,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     roots = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("id"), "root"), "roots")
     while True:
-        near = edges.join(roots.select(F.col("id").alias("b"), "root"), "b").select(F.col("a").alias("id"), "root")
+        near = edges.join(unsent(roots.select(F.col("id").alias("b"), "root")), "b").select(F.col("a").alias("id"), "root")
         least = near.unionByName(roots).groupBy("id").agg(F.min("root").alias("root"))
         # a root's own root, and the least root that the members of a root have found
-        found = least.join(roots.select("id", F.col("root").alias("old")), "id")
+        found = least.join(unsent(roots.select("id", F.col("root").alias("old"))), "id")
         told = found.groupBy(F.col("old").alias("id")).agg(F.min("root").alias("root"))
         least = least.unionByName(told).groupBy("id").agg(F.min("root").alias("root"))
         jump = least.select(F.col("id").alias("jid"), F.col("root").alias("far"))
-        new = materialize(least.join(jump, F.col("root") == F.col("jid"), "left").select("id", F.least("root", "far").alias("root")), "roots")
-        changed = new.join(roots.select("id", F.col("root").alias("old")), "id").where("root <> old").limit(1).count()
+        new = materialize(least.join(unsent(jump), F.col("root") == F.col("jid"), "left").select("id", F.least("root", "far").alias("root")), "roots")
+        changed = new.join(unsent(roots.select("id", F.col("root").alias("old"))), "id").where("root <> old").limit(1).count()
         roots = new
         if not changed:
             return roots
@@ -326,16 +326,16 @@ def near_duplicates(documents: DataFrame, tables: int = TABLES, bucket_rows: int
     links = materialize(near_links(rows, tables, bucket_rows), "links")
     roots = components(links)
     by = links.groupBy("id").agg(F.sum("links").alias("links"))
-    r = rows.join(roots, "id", "left").join(by, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    r = rows.join(unsent(roots), "id", "left").join(unsent(by), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = r.groupBy("root").agg(F.min("least").alias("class"))
-    r = materialize(r.join(least, "root").select("fp", "copies", "class", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    r = materialize(r.join(unsent(least), "root").select("fp", "copies", "class", F.coalesce("links", F.lit(0)).alias("links")), "classes")
     # only fingerprints of several rows can be hot; fewer than 1000 have more than a thousandth of the rows each
     total = f.count()
     hot = F.broadcast(r.where(F.col("copies") > total / 1000).select(*[F.col(c).alias(f"h{c}") for c in r.columns]))
     j = f.join(hot, F.col("fingerprint") == F.col("hfp"), "left")
     key = F.when(F.col("hfp").isNull(), F.col("fingerprint")).otherwise(F.xxhash64("doc_id").cast("string").cast("binary"))
     cold = r.where(F.col("copies") <= total / 1000)
-    j = j.withColumn("key", key).join(cold, F.col("key") == F.col("fp"), "left").withColumn("class", F.coalesce("hclass", "class"))
+    j = j.withColumn("key", key).join(unsent(cold), F.col("key") == F.col("fp"), "left").withColumn("class", F.coalesce("hclass", "class"))
     first = (F.col("class.number") == F.col("number")) & (F.col("class.text_hash") == F.col("text_hash"))
     class_id = F.when(F.col("class.number") != lowest, F.col("class.number"))
     return j.select("doc_id", class_id.alias("class_id"), F.coalesce("hlinks", "links").alias("links"), F.coalesce("hcopies", "copies").alias("copies"), "text_hash", first.alias("first"))

@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from folioscan.llm import extract, fuzzy, language, media, mixing, packing, quality, sharding, simhash, warc
 from folioscan.llm.common import new_folder
 
@@ -590,6 +592,19 @@ def test_probabilities_are_sent_in_slices(spark, monkeypatch):
         assert 500 < sum(sizes) and (len(sizes) == 1 if held == 10**6 else max(sizes) <= 4 * held + 20)
 
 
+def test_growing_tables_are_not_sent(spark, tmp_path):
+    """Spark judges written tables by their compressed files; those that grow with the input are joined by shuffle."""
+    texts = spark.createDataFrame([(f"one two three {k} four",) for k in range(50)], "text string")
+    counts = quality.Counts(quality.count_grams(texts, 3), 3)
+    plans = [counts.probabilities(quality.distinct_grams(texts, 3))._jdf.queryExecution().toString()]
+    docs = spark.createDataFrame([(k, f"some words {k}", "en", "a", 9) for k in range(20)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    chosen = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    plans += [x._jdf.queryExecution().toString() for x in (corpus_pipeline.keep(docs, chosen), corpus_pipeline.identify_language(spark, docs, str(tmp_path)), language.identify(docs))]
+    for plan in plans:
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
 def test_quality_keeps_clean_texts(spark, awkward):
     rng = random.Random(8)
     clean = lambda: " ".join("".join(rng.choices("th ing er on re at".split(), k=rng.randint(1, 4))) for _ in range(60))
