@@ -1,6 +1,7 @@
 """Generated files: the same for a number, and none stops the reader, the rules, the repairs or the painter."""
 
 import random
+import re
 
 import pytest
 
@@ -9,7 +10,7 @@ from folioscan.operators.convert import fix_bytes, flatten_bytes
 from folioscan.operators.rules import verify
 from folioscan.sources.content_usage import page_dicts
 from folioscan.sources.pdf import Walk, files_meta, nodes, unread_files
-from folioscan.sources.pdf_bytes import Document, ParseError
+from folioscan.sources.pdf_bytes import Document, ParseError, tokenize_content
 
 
 def test_seeds_are_files():
@@ -50,3 +51,17 @@ def test_generated_files(spark):
     # what reading broke off in is told apart from what a file breaks
     reasons = [r.reason for r in unread_files(rows).collect()]
     assert len(reasons) < 100, reasons[:5]
+
+
+def test_entries_of_no_bytes():
+    """A table whose entries have no width says nothing of any object, however many it states; the file is recovered."""
+    data = g.seeds()["table_stream"]
+    bad = re.sub(rb"/W ?\[[^]]*\]", b"/W [0 0 0]", re.sub(rb"/Size \d+", b"/Size 1000000", data))
+    doc = Document(bad).open()
+    assert doc.error is None and len(doc.xref) < 10 and len(list(page_dicts(doc))) == 1
+
+
+def test_comments_at_the_end():
+    """Comments at the end of the data hold no token, however many signs begin one."""
+    for end in (b"%" * 60, b"% \t" * 40, b"%abc"):
+        assert tokenize_content(b"q Q " + end) == [("q", []), ("Q", [])]
