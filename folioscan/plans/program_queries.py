@@ -17,7 +17,7 @@ from folioscan.operators.convert import convert
 from folioscan.operators.results import issues_by_check
 from folioscan.operators.rules import verify
 from folioscan.plans.catalog import profiles
-from folioscan.plans.queries import _N, _WANTED, _files, _of, table
+from folioscan.plans.queries import _N, _WANTED, _each_text, _files, _of, table
 from folioscan.sources.content_usage import page_dicts
 from folioscan.sources.pdf import nodes, spread
 from folioscan.sources.pdf_bytes import Dict, Document, Name
@@ -35,7 +35,7 @@ def query(sql: str):
 
 
 def _ids(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"))).withColumnRenamed("file_id", "doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 def _each(spark, sf_dir, one, kind: str = "string") -> DataFrame:
@@ -122,12 +122,8 @@ def font_outlines(spark, sf_dir):
 def font_decryption(spark, sf_dir):
     """The whole text, encrypted as a font's private part is, comes back."""
 
-    @F.pandas_udf("string")
-    def back(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: fonts.decrypt(made.encrypt(x.encode(), 55665), 55665).decode())
-
-    d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text"))
-    return d.select(F.col("file_id").alias("doc_id"), F.md5(back("text")).alias("found"))
+    back = lambda x: None if x is None else fonts.decrypt(made.encrypt(x.encode(), 55665), 55665).decode()
+    return _each_text(spark, sf_dir, back, "found").select("doc_id", F.md5("found").alias("found"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(text, '[^ -~]', '', 'g')) AS found FROM documents")
@@ -243,7 +239,7 @@ def facsimile_roundtrip(spark, sf_dir):
             out.append(ccitt.decode_ccitt(ccitt.encode_ccitt(lines, 8, group4), -1 if group4 else 0, 8, len(lines), black_is_1=True).decode())
         return pd.Series(out)
 
-    return table(spark, sf_dir, "customer").select("c_custkey", trip("c_custkey", "c_name").alias("name"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", trip("c_custkey", "c_name").alias("name"))
 
 
 # painted pages
@@ -349,17 +345,15 @@ def parent_slots(spark, sf_dir):
 def deflated_rows(spark, sf_dir):
     """The whole text, deflated in rows and in one, at both levels, comes back."""
 
-    @F.pandas_udf("string")
-    def trip(t: pd.Series) -> pd.Series:
-        out = []
-        for x in t:
-            raw = x.encode()
-            ways = [decoders.deflate_rows(raw[k : k + 100] for k in range(0, len(raw), 100)), decoders.deflate(raw), decoders.deflate(raw, fast=True)]
-            back = {decoders.inflate(w) for w in ways}
-            out.append(back.pop().decode() if len(back) == 1 else "")
-        return pd.Series(out)
+    def trip(x: str | None) -> str | None:
+        if x is None:
+            return None
+        raw = x.encode()
+        ways = [decoders.deflate_rows(raw[k : k + 100] for k in range(0, len(raw), 100)), decoders.deflate(raw), decoders.deflate(raw, fast=True)]
+        back = {decoders.inflate(w) for w in ways}
+        return back.pop().decode() if len(back) == 1 else ""
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(trip("text")).alias("found"))
+    return _each_text(spark, sf_dir, trip, "found").select("doc_id", F.md5("found").alias("found"))
 
 
 @query("SELECT doc_id AS file_id, 1::BIGINT AS files FROM documents")

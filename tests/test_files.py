@@ -118,3 +118,34 @@ def test_renumbering_keeps_what_is_reachable():
     page = doc.path("Root", "Pages", "Kids", "0")
     assert page["Own"] is None and doc.path("Info", "Title") == o[16]["Title"] and doc.decoded(doc.resolve(page["Contents"])) == Document(write_document(o, t)).open().decoded(o[7])
     assert renumbered(new, trailer) == (new, trailer)
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A table with one row group is one task's, however many partitions its scan has; so are the queries over it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from folioscan.plans import program_queries, queries
+    from folioscan.sources.pdf import slices, spread
+
+    n = 4000
+    text = ["word %d " % (k * k) * 40 for k in range(n)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": text}), f"{tmp_path}/documents.parquet", compression="none")
+    pq.write_table(pa.table({"c_custkey": pa.array(range(n), pa.int64()), "c_name": text}), f"{tmp_path}/customer.parquet", compression="none")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        scan = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        held = lambda d: d.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert len(held(scan)) >= 12 and max(held(scan)) == n
+        once = spread(scan, "doc_id")
+        assert max(held(once)) < n / 4 and sum(held(once)) == n
+        assert spread(once, "doc_id").rdd.getNumPartitions() == once.rdd.getNumPartitions()
+        names = ("ascii_hex_roundtrip", "lzw_roundtrip", "ascii85_roundtrip", "predictor_roundtrip")
+        for q in [*(queries.QUERIES[k] for k in names), *(program_queries.QUERIES[k] for k in ("facsimile_roundtrip", "deflated_rows"))]:
+            assert max(held(q(spark, str(tmp_path)))) < n / 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    big = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 10_000)], ["text"])
+    parts = list(slices(iter([big])))
+    assert max(p.nbytes for p in parts) < 3 << 20 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([big]))
