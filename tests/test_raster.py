@@ -104,3 +104,31 @@ def test_text_of_other_programs(key, data, kind):
     px, missing = painted(b"BT /F0 100 Tf (x) Tj ET", change)
     assert missing == 0 and (px == 0).all(axis=2).sum() == (900 if key == "FontFile" else 1600)
     assert Lit(b"x") == b"x"
+
+
+def test_coverage_line_by_line():
+    """All lines at once, in parts of any size, cover what each line's sorted crossings enclose."""
+    rng, height, width = np.random.default_rng(4), 12, 17
+    for k in range(60):
+        path = [[tuple(p) for p in rng.uniform(-4, 20, (rng.integers(1, 7), 2)).round(k % 3)] for _ in range(3)]
+        want = np.zeros((height, width))
+        for line in range(height * raster.SAMPLES):
+            y, crossings = (line + 0.5) / raster.SAMPLES, []
+            for c in path:
+                for (x0, y0), (x1, y1) in zip(c, c[1:] + c[:1]):
+                    if min(y0, y1) <= y < max(y0, y1):
+                        crossings.append((x0 + (y - y0) * (x1 - x0) / (y1 - y0), 1 if y0 < y1 else -1))
+            crossings.sort()
+            turns = 0
+            for j, (x, sign) in enumerate(crossings[:-1]):
+                turns += sign
+                if (j % 2 == 0) if k % 2 else turns:
+                    a, b = (min(max(v, 0), width) for v in (x, crossings[j + 1][0]))
+                    want[line // raster.SAMPLES] += [max(0, min(b, i + 1) - max(a, i)) / raster.SAMPLES for i in range(width)]
+        assert np.allclose(raster.coverage(path, height, width, bool(k % 2)), want, atol=1e-9)
+    whole = raster.coverage(path, height, width)
+    most, raster.MAX_CROSSINGS = raster.MAX_CROSSINGS, 7
+    try:
+        assert (raster.coverage(path, height, width) == whole).all()
+    finally:
+        raster.MAX_CROSSINGS = most
