@@ -144,6 +144,7 @@ def test_rows_of_one_row_group_are_spread(spark, tmp_path):
         names = ("ascii_hex_roundtrip", "lzw_roundtrip", "ascii85_roundtrip", "predictor_roundtrip")
         for q in [*(queries.QUERIES[k] for k in names), *(program_queries.QUERIES[k] for k in ("facsimile_roundtrip", "deflated_rows"))]:
             assert max(held(q(spark, str(tmp_path)))) < n / 4
+        assert max(held(queries._files(spark, str(tmp_path)))) < n / 4 and max(held(program_queries._ids(spark, str(tmp_path)))) < n / 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     big = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 10_000)], ["text"])
