@@ -155,3 +155,15 @@ def test_files_as_an_object(spark, tmp_path):
     assert meta == ({0, 1}, {"1.4", None}, {("1", "B"), (None, None)}) and again.xmp().where("xmp is not null").count() == 3 and again.metadata().count() == 4
     model, _, left = files.convert_object_model()
     assert left.count() == 0 and model.files.count() == 4
+
+
+def test_conversion_writes_no_rows(spark, monkeypatch):
+    """The rows of files, many times their number, are read by the rules as they come and not written first."""
+    from folioscan.functions import pdf_fixture
+    from folioscan.operators import convert as c
+
+    names, real = [], c.written
+    monkeypatch.setattr(c, "written", lambda df, name: names.append(name) or real(df, name))
+    files = pdf_fixture.make_files(spark.createDataFrame([(k, f"text {k}") for k in range(12)], "file_id bigint, text string"))
+    fixed, results, left = c.convert(files, "strict_1b")
+    assert fixed.count() == results.count() == 12 and "files" in names and "nodes" not in names
