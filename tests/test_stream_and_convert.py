@@ -167,3 +167,15 @@ def test_conversion_writes_no_rows(spark, monkeypatch):
     files = pdf_fixture.make_files(spark.createDataFrame([(k, f"text {k}") for k in range(12)], "file_id bigint, text string"))
     fixed, results, left = c.convert(files, "strict_1b")
     assert fixed.count() == results.count() == 12 and "files" in names and "nodes" not in names
+
+
+def test_titles_keep_their_white_space():
+    """Only spaces and line ends go from around a title, and only runs of ASCII white space become a space, as in SQL;
+    the packet, whose texts are trimmed, still agrees with it."""
+    from folioscan.functions import pdf_fixture
+    from folioscan.operators.convert import fix_bytes, text_of
+    from folioscan.sources.pdf import Walk
+
+    for text, want in (("\tled by a tab", " led by a tab"), ("within\u00a0a title \n", "within\u00a0a title"), ("\u2003wide\t\tends\u3000", "\u2003wide ends\u3000")):
+        for data in (made := pdf_fixture.make(text, 0), fix_bytes(made, [])):
+            assert text_of(data) == want and not [f for r in Walk(1, data).run() for f in r["faults"]]
